@@ -11,9 +11,10 @@ from corpusloom.functions.arrays import first_position, let, sum_of
 
 def topic_counts(assigned: Column, k: int) -> Column:
     """``array<struct<topic, n, ..>>`` -> count per topic, ``array<bigint>``."""
-    return let(assigned, lambda xs: F.array(*[
-        sum_of(F.filter(xs, lambda x, t=t: x["topic"] == t), "n") for t in range(1, k + 1)
-    ]))
+    def of_topic(xs: Column, topic: int) -> Column:
+        return sum_of(F.filter(xs, lambda x: x["topic"] == topic), "n")
+
+    return let(assigned, lambda xs: F.array(*[of_topic(xs, t) for t in range(1, k + 1)]))
 
 
 def smoothed(counts: Column, prior: float) -> Column:

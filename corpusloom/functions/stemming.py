@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # --- fixed values: Porter's suffix rules, (suffix, replacement) --------------
 STEP_2 = (
@@ -129,7 +130,7 @@ def _stem_strings(words: pa.Array) -> pa.Array:
     return stems.take(encoded.indices)
 
 
-@F.arrow_udf("array<string>")
+@F.arrow_udf(T.ArrayType(T.StringType()))
 def stem_array(words: pa.Array) -> pa.Array:
     """Stem every word of an array column; NULL elements stay NULL."""
     lists = words.cast(pa.list_(pa.string()))
@@ -142,7 +143,7 @@ def stem_array(words: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat, mask=mask)
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def stem_word(words: pa.Array) -> pa.Array:
     """Stem a string column."""
     return _stem_strings(words.cast(pa.string()))

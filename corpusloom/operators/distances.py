@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 def pair_terms(nested: DataFrame) -> DataFrame:
     """topic_a < topic_b and their weights x, y in every row of ``weights``."""
-    left = nested.select("weights", F.posexplode("weights").alias("_a", "x"))
-    right = left.select("_a", "x", F.posexplode("weights").alias("_b", "y"))
+    left = nested.select("weights", F.posexplode_outer("weights").alias("_a", "x"))
+    right = left.select("_a", "x", F.posexplode_outer("weights").alias("_b", "y"))
     return right.filter(F.col("_a") < F.col("_b")).select(
         (F.col("_a") + 1).alias("topic_a"), (F.col("_b") + 1).alias("topic_b"), "x", "y"
     )

@@ -125,7 +125,7 @@ def topic_generality(mixtures: DataFrame) -> DataFrame:
     """Mean weight of each topic where it leads (ties included) and elsewhere:
     topic, selected_weight, unselected_weight."""
     rows = mixtures.select(
-        F.array_max("weights").alias("_max"), F.posexplode("weights").alias("topic", "gamma")
+        F.array_max("weights").alias("_max"), F.posexplode_outer("weights").alias("topic", "gamma")
     )
     leads: Column = F.col("gamma") >= F.col("_max")
     return rows.groupBy((F.col("topic") + 1).alias("topic")).agg(

@@ -23,6 +23,7 @@ from corpusloom import schema
 from corpusloom.constants import ALPHA_TOTAL, DELTA
 from corpusloom.functions.mixtures import smoothed, topic_counts
 from corpusloom.operators.distances import pair_terms
+from corpusloom.operators.rows import unnest
 from corpusloom.session import checkpoint_dir, cut_lineage
 
 
@@ -86,13 +87,13 @@ def doc_topics(model: LDAModel, dtm: DataFrame) -> DataFrame:
 
 def assign_topics(terms: DataFrame, topic: Column) -> DataFrame:
     """``assigned`` array<struct<term, topic, n>> from ``unigrams``; ``topic``
-    is an expression over ``term``. Documents without terms drop out."""
+    is an expression over ``term``."""
     return terms.select(
         "*",
         F.transform("unigrams", lambda u: F.struct(
             u["item"].alias("term"), topic(u["item"]).alias("topic"), u["n"].alias("n"),
         )).alias("assigned"),
-    ).filter(F.col("length") > 0)
+    )
 
 
 def nest_assignments(long: DataFrame) -> DataFrame:
@@ -113,7 +114,7 @@ def posterior_gamma(assigned: DataFrame, k: int, alpha: float | None = None) ->
 def posterior_beta(assigned: DataFrame, k: int, delta: float = DELTA) -> DataFrame:
     """(n_tw + delta) / (n_t + V delta): term, weights."""
     counts = (
-        assigned.select(F.explode("assigned").alias("a")).select("a.*")
+        unnest(assigned, "assigned", "a").select("a.*")
         .groupBy("term").agg(F.array(*[
             F.sum(F.when(F.col("topic") == t, F.col("n")).otherwise(F.lit(0).cast("bigint")))
             for t in range(1, k + 1)
@@ -125,7 +126,7 @@ def posterior_beta(assigned: DataFrame, k: int, delta: float = DELTA) -> DataFra
 # --- long forms -------------------------------------------------------------------
 
 def _long(nested: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    return nested.select(*keys, F.posexplode("weights").alias("topic", value)).withColumn(
+    return nested.select(*keys, F.posexplode_outer("weights").alias("topic", value)).withColumn(
         "topic", F.col("topic") + 1
     )
 

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.constants import BIGRAM_T, PUBLISHER_WORDS, TRIGRAM_T
 from corpusloom.functions.arrays import count_items, let, sum_of
-from corpusloom.functions.stemming import stem_array
+from corpusloom.functions.stemming import stem_array, stem_word
+from corpusloom.operators.rows import evaluated_once, unnest
 from corpusloom.functions.text import mask_stems, mask_words, ngram_term, ngrams, tokenize
 
 
@@ -27,15 +28,18 @@ def with_words(docs: DataFrame, lexicon: Iterable[str], *, stem: bool = True,
                name: str = "words") -> DataFrame:
     """Replace ``text`` by the filtered (and stemmed) words, position by
     position, NULL where a token was dropped."""
-    words = mask_words(tokenize(F.col("text")), lexicon, drop_words)
+    words = mask_words("_tokens", lexicon, drop_words)
     if stem:
         words = stem_array(words)
-    return docs.withColumn(name, mask_stems(words, min_length)).drop("text")
+    return (
+        docs.withColumn("_tokens", tokenize(F.col("text")))
+        .withColumn(name, mask_stems(words, min_length)).drop("text", "_tokens")
+    )
 
 
 def word_rows(docs: DataFrame) -> DataFrame:
     """Long form of ``words``: doc_id, pos (from 1), word."""
-    return docs.select("doc_id", F.posexplode("words").alias("pos", "word")).filter(
+    return docs.select("doc_id", F.posexplode_outer("words").alias("pos", "word")).filter(
         F.col("word").isNotNull()
     ).withColumn("pos", F.col("pos") + 1)
 
@@ -43,13 +47,10 @@ def word_rows(docs: DataFrame) -> DataFrame:
 def stem_vocab(docs: DataFrame, lexicon: Iterable[str], *,
                drop_words: Iterable[str] = PUBLISHER_WORDS) -> DataFrame:
     """Every distinct word that reaches the stemmer, with its stem."""
-    from corpusloom.functions.stemming import stem_word
-
-    words = mask_words(tokenize(F.col("text")), lexicon, drop_words)
-    return (
-        docs.select(F.explode(F.array_distinct(words)).alias("word"))
-        .filter(F.col("word").isNotNull()).distinct()
-        .select("word", stem_word("word").alias("stem"))
+    words = mask_words("_tokens", lexicon, drop_words)
+    tokens = docs.select(tokenize(F.col("text")).alias("_tokens"))
+    return unnest(tokens, F.array_distinct(words), "word").distinct().select(
+        "word", stem_word("word").alias("stem")
     )
 
 
@@ -105,9 +106,15 @@ def doc_terms(docs: DataFrame, *, bigram_t: float = BIGRAM_T,
     - ``unigrams`` array<struct<item, n>>: words occurring more than once
     - ``length``: their total count
     - ``bigrams``, ``trigrams`` array<struct<w1, .., n, t>>: collocations
+
+    Documents in which no word occurs twice have none of these and drop out.
     """
-    counted = docs.withColumn(
-        "unigrams", count_items(F.array_compact("words"), min_count=2)
+    others = [c for c in docs.columns if c != "words"]
+    counted = evaluated_once(
+        docs,
+        {"words": F.col("words"),
+         "unigrams": count_items(F.array_compact("words"), min_count=2)},
+        F.size("unigrams") > 0, *others,
     ).withColumn("length", sum_of(F.col("unigrams"), "n"))
     words, counts, length = F.col("words"), F.col("unigrams"), F.col("length")
     return counted.withColumns({
@@ -118,21 +125,19 @@ def doc_terms(docs: DataFrame, *, bigram_t: float = BIGRAM_T,
 
 def ngram_counts(docs: DataFrame, n: int) -> DataFrame:
     """Frequency of every n-gram in every document (before any test)."""
-    grams = docs.select("doc_id", F.explode(count_items(ngrams(F.col("words"), n))).alias("g"))
+    grams = unnest(docs, count_items(ngrams(F.col("words"), n)), "g", "doc_id")
     return grams.select("doc_id", "g.item.*", "g.n")
 
 
 def term_counts(docs: DataFrame, min_count: int = 1) -> DataFrame:
     """Frequency of every word in every document."""
-    counts = docs.select(
-        "doc_id", F.explode(count_items(F.array_compact("words"), min_count)).alias("u")
-    )
+    counts = unnest(docs, count_items(F.array_compact("words"), min_count), "u", "doc_id")
     return counts.select("doc_id", F.col("u.item").alias("term"), "u.n")
 
 
 def unigrams(terms: DataFrame) -> DataFrame:
     """Long form of ``doc_terms().unigrams``."""
-    return terms.select("doc_id", F.explode("unigrams").alias("u")).select(
+    return unnest(terms, "unigrams", "u", "doc_id").select(
         "doc_id", F.col("u.item").alias("term"), "u.n"
     )
 
@@ -140,12 +145,12 @@ def unigrams(terms: DataFrame) -> DataFrame:
 def collocations(terms: DataFrame, n: int) -> DataFrame:
     """Long form of the document collocations of n words, with their t."""
     column = "bigrams" if n == 2 else "trigrams"
-    return terms.select("doc_id", F.explode(column).alias("g")).select("doc_id", "g.*")
+    return unnest(terms, column, "g", "doc_id").select("doc_id", "g.*")
 
 
 def doc_length(terms: DataFrame) -> DataFrame:
     """Length of documents that have any repeated word."""
-    return terms.filter(F.col("length") > 0).select("doc_id", "length")
+    return terms.select("doc_id", "length")
 
 
 # --- statistics across documents ------------------------------------------------
@@ -179,11 +184,13 @@ def prune_vocab(counts: DataFrame, min_df: int, max_df: int) -> DataFrame:
 
 def all_terms(terms: DataFrame, min_df: int, max_df: int) -> DataFrame:
     """Pruned words plus all collocations: doc_id, term, n."""
-    grams = terms.select("doc_id", F.explode(F.concat(*[
-        F.transform(column, lambda g, size=size: F.struct(
-            ngram_term(g, size).alias("term"), g["n"].alias("n")))
-        for column, size in (("bigrams", 2), ("trigrams", 3))
-    ])).alias("g")).select("doc_id", "g.*")
+    def glued(column: str, size: int) -> Column:
+        return F.transform(
+            column, lambda g: F.struct(ngram_term(g, size).alias("term"), g["n"].alias("n"))
+        )
+
+    both = F.concat(glued("bigrams", 2), glued("trigrams", 3))
+    grams = unnest(terms, both, "g", "doc_id").select("doc_id", "g.*")
     return prune_vocab(unigrams(terms), min_df, max_df).unionByName(grams)
 
 

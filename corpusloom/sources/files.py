@@ -42,8 +42,9 @@ def read_csv(spark: SparkSession, path: str, columns: T.StructType) -> DataFrame
 
 def read_papers_glob(spark: SparkSession, folder: str, pattern: str = "*2014-2019.csv",
                      columns: T.StructType = schema.RECENT_PAPERS) -> DataFrame:
-    """All files of a folder that match, stacked. Columns are taken by header
-    name, so files may order theirs differently or hold more."""
+    """All files of a folder that match, stacked; extra columns are dropped.
+    Files must share their header: a different one raises instead of putting
+    values into wrong columns."""
     rows = (
         spark.read.option("header", True).options(**_CSV)
         .option("pathGlobFilter", pattern).option("enforceSchema", False)
