@@ -68,7 +68,7 @@ DOCS = f"""docs as (
          concat_ws(' ', title, {cleaned('abstract')}) as text
   from papers where coalesce(abstract, '') <> '')"""
 
-TOKENS = f"""tokens as (
+TOKENS = f"""tokens as materialized (
   select doc_id, unnest(tk) as word, generate_subscripts(tk, 1) as pos
   from (select doc_id, regexp_extract_all(lower(text), {lit(TOKEN_PORTABLE)}) as tk from docs))"""
 
@@ -151,45 +151,50 @@ stems as (select word,
 
 # --- terms --------------------------------------------------------------------
 
-WORDS = f"""words as (
+WORDS = f"""words as materialized (
   select doc_id, pos, case when {_KEEP} and {_KEEP_STEM} then word end as word from tokens)"""
-STEMMED = f"""words as (
+STEMMED = f"""words as materialized (
   select doc_id, pos, case when {_KEEP_STEM} then word end as word
   from (select t.doc_id, t.pos, s.stem as word from tokens t left join stems s on t.word = s.word))"""
 COUNTS = "counts as (select doc_id, word as term, count(*) as n from words where word is not null group by all)"
-REPEATED = "repeated as (select * from counts where n > 1)"
-LENGTHS = "lengths as (select doc_id, cast(sum(n) as bigint) as length from repeated group by all)"
+REPEATED = "repeated as materialized (select * from counts where n > 1)"
+LENGTHS = "lengths as materialized (select doc_id, cast(sum(n) as bigint) as length from repeated group by all)"
 DF = "df as (select term, count(*) as df from repeated group by all)"
 VOCAB = f"vocab as (select * from df where df >= {MIN_DF} and df <= {MAX_DF})"
 PRUNED = "pruned as (select r.* from repeated r semi join vocab v on r.term = v.term)"
 NEXT = """neighbours as (
   select doc_id, word as w1, lead(word, 1) over p as w2, lead(word, 2) over p as w3
   from words window p as (partition by doc_id order by pos))"""
-BIGRAMS = """bigrams as (
+BIGRAMS = """bigrams as materialized (
   select doc_id, w1, w2, count(*) as n from neighbours
   where w1 is not null and w2 is not null group by all)"""
-TRIGRAMS = """trigrams as (
+TRIGRAMS = """trigrams as materialized (
   select doc_id, w1, w2, w3, count(*) as n from neighbours
   where w1 is not null and w2 is not null and w3 is not null group by all)"""
-TWO = f"""two as (select * from (
-  select g.*, (p - q) / sqrt(p * (1 - p) / l) as t from (
-    select b.doc_id, b.w1, b.w2, b.n, cast(l.length as double) as l, b.n / cast(l.length as double) as p,
-           a.n / cast(l.length as double) * (c.n / cast(l.length as double)) as q
-    from bigrams b
-    join repeated a on b.doc_id = a.doc_id and b.w1 = a.term
-    join repeated c on b.doc_id = c.doc_id and b.w2 = c.term
-    join lengths l on b.doc_id = l.doc_id) g) where t > {BIGRAM_T})"""
-THREE = f"""three as (select * from (
-  select g.*, (p - q) / sqrt(p * (1 - p) / l) as t from (
-    select b.doc_id, b.w1, b.w2, b.w3, b.n, cast(l.length as double) as l,
-           b.n / cast(l.length as double) as p,
-           a.n / cast(l.length as double) * (c.n / cast(l.length as double))
-             * (d.n / cast(l.length as double)) as q
-    from trigrams b
-    join repeated a on b.doc_id = a.doc_id and b.w1 = a.term
-    join repeated c on b.doc_id = c.doc_id and b.w2 = c.term
-    join repeated d on b.doc_id = d.doc_id and b.w3 = d.term
-    join lengths l on b.doc_id = l.doc_id) g) where t > {TRIGRAM_T})"""
+
+
+def scored(n: int, threshold: float) -> str:
+    """Collocations of n words: one join per word on (document, word), one on
+    the document, then the t test. Joins are materialized one by one; planned
+    together they are reordered into pairs of words within a document."""
+    name, source = {2: ("two", "bigrams"), 3: ("three", "trigrams")}[n]
+    steps, last = [], source
+    for j in range(1, n + 1):
+        step = f"{name}_{j}"
+        steps.append(f"""{step} as materialized (
+  select g.*, r.n as n{j} from {last} g join repeated r on g.doc_id = r.doc_id and g.w{j} = r.term)""")
+        last = step
+    words = ", ".join(f"w{j}" for j in range(1, n + 1))
+    chance = " * ".join(f"(n{j} / cast(length as double))" for j in range(1, n + 1))
+    steps.append(f"""{name} as materialized (select * from (
+  select *, (p - q) / sqrt(p * (1 - p) / l) as t from (
+    select g.doc_id, {words}, g.n, cast(length as double) as l,
+           g.n / cast(length as double) as p, {chance} as q
+    from {last} g join lengths on g.doc_id = lengths.doc_id)) where t > {threshold})""")
+    return ",\n".join(steps)
+
+
+TWO, THREE = scored(2, BIGRAM_T), scored(3, TRIGRAM_T)
 ALL = """all_terms as (
   select doc_id, term, n from pruned
   union all select doc_id, w1 || '_' || w2, n from two
