@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.constants import CLEAN_RULES, LAST_FULL_YEAR
@@ -74,16 +75,26 @@ def stack(*tables: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), tables)
 
 
+def _packed(order: Sequence[str]) -> Column:
+    """One or two integer columns as one number that sorts the same way."""
+    if len(order) == 1:
+        return F.col(order[0])
+    first, second = order
+    shift = F.lit(Decimal(2**64))
+    return F.col(first).cast("decimal(12,0)") * shift + F.col(second).cast("decimal(20,0)")
+
+
 def first_per_key(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """The first row of every key value, whole; ``order`` identifies a row.
+    """The first row of every key value, whole. ``order`` is one or two integer
+    columns that identify a row.
 
     The minimum is pre-aggregated before the shuffle, so a key that holds a
-    third of the table sends one row per task. The rows themselves are then
-    fetched by their unique order columns, which cannot be skewed.
+    third of the table sends one row per task. It is kept as a single number,
+    which hash aggregation can update in place. The rows themselves are then
+    fetched by that unique number, which cannot be skewed.
     """
-    first = df.groupBy(key).agg(F.min(F.struct(*order)).alias("_first"))
-    wanted = first.select(*[F.col(f"_first.{c}").alias(c) for c in order])
-    return df.join(wanted, list(order), "left_semi")
+    first = df.groupBy(key).agg(F.min(_packed(order)).alias("_first")).select("_first")
+    return df.join(first, _packed(order) == F.col("_first"), "left_semi")
 
 
 def distinct_by_title(papers: DataFrame, order: Sequence[str] = ("source_ord", "doc_id")) -> DataFrame:

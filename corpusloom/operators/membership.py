@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from corpusloom import schema
 from corpusloom.functions.labels import has_label, label_array, mentions_label
 from corpusloom.functions.mixtures import dominant, dominant_wide
+from corpusloom.operators.models import nest_gamma
+from corpusloom.session import small
 
 
 # --- dominant topic ---------------------------------------------------------------
@@ -17,11 +19,9 @@ def dominant_topic(mixtures: DataFrame, *keep: str) -> DataFrame:
     return mixtures.select("doc_id", *keep, dominant(F.col("weights")).alias("dom_topic"))
 
 
-def dominant_topic_long(gamma: DataFrame) -> DataFrame:
-    """Same from long gamma; the lowest topic wins a tie."""
-    return gamma.groupBy("doc_id").agg(
-        F.max_by("topic", F.struct("gamma", -F.col("topic"))).alias("dom_topic")
-    )
+def dominant_topic_long(gamma: DataFrame, k: int) -> DataFrame:
+    """Same from long gamma, gathered to one row per document first."""
+    return dominant_topic(nest_gamma(gamma, k))
 
 
 def dominant_topic_wide(wide: DataFrame, k: int, *keep: str) -> DataFrame:
@@ -43,9 +43,8 @@ def topic_size_named(sizes: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def with_topic_name(df: DataFrame, names: DataFrame, topic: str = "topic") -> DataFrame:
-    """Add the topic's name; NULL when it has none. A model's topics are few
-    (k rows), Spark broadcasts them by their size."""
-    named = names.select(F.col("topic").alias(topic), "topic_name")
+    """Add the topic's name; NULL when it has none."""
+    named = small(names.select(F.col("topic").alias(topic), "topic_name"))
     return df.join(named, topic, "left")
 
 

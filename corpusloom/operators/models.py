@@ -16,7 +16,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.clustering import LDA, DistributedLDAModel, LDAModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom import schema
@@ -192,12 +192,13 @@ def topic_count_sweep(dtm: DataFrame, index: DataFrame, ks: Sequence[int], seed:
 
 
 def rank_topic_counts(scores: DataFrame) -> DataFrame:
-    """Scores rescaled to [0, 1], and which k is best: k, score, scaled, is_best."""
-    low = scores.agg(F.min("score")).scalar()
-    high = scores.agg(F.max("score")).scalar()
-    best = scores.agg(F.max_by("k", F.struct("score", -F.col("k")))).scalar()
+    """Scores rescaled to [0, 1], and which k is best: k, score, scaled, is_best.
+    One row per k, so a window over all of them is small."""
+    everything = Window.partitionBy()
+    low, high = F.min("score").over(everything), F.max("score").over(everything)
+    best_first = Window.orderBy(F.desc("score"), "k")
     return scores.select(
         "k", "score",
         F.try_divide(F.col("score") - low, high - low).alias("scaled"),
-        (F.col("k") == best).alias("is_best"),
+        (F.row_number().over(best_first) == 1).alias("is_best"),
     )

@@ -69,7 +69,9 @@ def popularity_by_period(popularity: DataFrame, scheme: str) -> DataFrame:
 
 
 def trend_class(change: Column) -> Column:
-    return F.when(change > HOT_ABOVE, "Hot").when(change < COLD_BELOW, "Cold").otherwise("Neutral")
+    """Hot, Cold or Neutral; NULL without a change (a single period)."""
+    return F.when(change > HOT_ABOVE, "Hot").when(change < COLD_BELOW, "Cold") \
+        .when(change.isNotNull(), "Neutral")
 
 
 def topic_trend(by_period: DataFrame) -> DataFrame:

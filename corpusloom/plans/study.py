@@ -49,7 +49,7 @@ def fit_topics(papers: DataFrame, lexicon: Iterable[str], k: int, seed: int, *ke
     """Corpus to topics. Text is processed once: its terms are checkpointed
     before the vocabulary, the matrix and the fit read them repeatedly."""
     per_doc = cut_lineage(document_terms(papers, lexicon, stem=stem, drop_words=drop_words))
-    kept = terms.all_terms(per_doc, *bounds)
+    kept = cut_lineage(terms.all_terms(per_doc, *bounds))
     index = cut_lineage(dtm.term_index(kept))
     matrix = cut_lineage(dtm.to_dtm(kept, index))
     model = models.fit_lda(matrix, k, seed, max_iter, optimizer)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -42,10 +44,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from there. A lost
-    executor then costs a re-read, not the whole text pipeline again."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table below the checkpoint folder and go on from there.
+
+    A lost executor then costs a re-read, not the whole text pipeline again, and
+    later steps read only the columns they need.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """Mark a dimension table for broadcast if it has at most ``max_rows`` rows;
+    a larger one is joined by shuffle. Reads no further than the bound."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
 def plan_bytes(df: DataFrame) -> int:

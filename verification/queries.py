@@ -164,7 +164,8 @@ def trigram_collocations(spark, sf):
 
 
 def all_terms(spark, sf):
-    return terms.all_terms(t.document_terms(spark, sf), MIN_DF, MAX_DF)
+    # read three times (words, their frequencies, collocations): written once
+    return terms.all_terms(cut_lineage(t.document_terms(spark, sf)), MIN_DF, MAX_DF)
 
 
 def corpus_totals(spark, sf):
@@ -255,7 +256,7 @@ def dominant_topic(spark, sf):
 
 
 def dominant_topic_long(spark, sf):
-    return membership.dominant_topic_long(models.long_gamma(t.mixtures(spark, sf, K)))
+    return membership.dominant_topic_long(models.long_gamma(t.mixtures(spark, sf, K)), K)
 
 
 def dominant_topic_exported(spark, sf):
@@ -452,15 +453,14 @@ def ranked_topic_counts(spark, sf):
 # --- model fits (rows only: other engines have no LDA) ------------------------
 
 def _matrix(spark, sf):
-    kept = cut_lineage(
-        terms.all_terms(t.document_terms(spark, sf, stem=True), MIN_DF, MAX_DF)
-    )
+    per_doc = cut_lineage(t.document_terms(spark, sf, stem=True))
+    kept = cut_lineage(terms.all_terms(per_doc, MIN_DF, MAX_DF))
     index = cut_lineage(dtm.term_index(kept))
-    return kept, index, cut_lineage(dtm.to_dtm(kept, index))
+    return index, cut_lineage(dtm.to_dtm(kept, index))
 
 
 def document_term_matrix(spark, sf):
-    kept = all_terms(spark, sf)
+    kept = cut_lineage(all_terms(spark, sf))
     matrix = dtm.to_dtm(kept, dtm.term_index(kept))
     return matrix.select("doc_id", F.unwrap_udt("features").alias("v")).select(
         "doc_id",
@@ -471,19 +471,19 @@ def document_term_matrix(spark, sf):
 
 
 def lda_topics(spark, sf):
-    _, index, matrix = _matrix(spark, sf)
+    index, matrix = _matrix(spark, sf)
     beta = models.topic_terms(models.fit_lda(matrix, K, seed=13, max_iter=10), index)
     return ranking.top_terms(models.long_beta(beta), 20)
 
 
 def lda_doc_topics(spark, sf):
-    _, _, matrix = _matrix(spark, sf)
+    _, matrix = _matrix(spark, sf)
     model = models.fit_lda(matrix, 4, seed=1, max_iter=10)
     return models.long_gamma(models.doc_topics(model, matrix))
 
 
 def topic_count_sweep(spark, sf):
-    _, index, matrix = _matrix(spark, sf)
+    index, matrix = _matrix(spark, sf)
     scores = models.topic_count_sweep(matrix, index, (2, 4, 8), seed=1, max_iter=5)
     return models.rank_topic_counts(scores)
 
