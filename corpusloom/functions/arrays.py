@@ -1,61 +1,38 @@
-"""Array expressions that keep a document's work inside its own row."""
+"""Array expressions that keep a document's work inside its own row.
 
-from __future__ import annotations
-
-from collections.abc import Callable
+They are SQL text for ``F.expr``: nested lambdas read better there, and one
+parse is much quicker than assembling them call by call from Python.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once per row and use it in ``body``.
+def let(value: str, name: str, body: str) -> str:
+    """Evaluate ``value`` once per row and use it as ``name`` in ``body``.
 
     Catalyst may inline a projected expression into a lambda that mentions it,
     which would evaluate it again for every array element. A lambda variable
     cannot be inlined.
     """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def count_items(items: Column, min_count: int = 1) -> Column:
+def count_items(items: str, min_count: int = 1) -> str:
     """``array<T>`` -> ``array<struct<item T, n bigint>>``, items seen at least
     ``min_count`` times, in sorted order.
 
     Sorting puts equal items side by side, so counts are distances between the
     places where a run starts: O(m log m) for m items, no shuffle.
     """
-
-    def from_sorted(s: Column) -> Column:
-        run_start = F.transform(
-            s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)
-        )
-
-        def from_starts(starts: Column) -> Column:
-            runs = F.transform(
-                starts,
-                lambda p, j: F.struct(
-                    F.get(s, p).alias("item"),
-                    (F.coalesce(F.get(starts, j + 1), F.size(s)) - p)
-                    .cast("bigint").alias("n"),
-                ),
-            )
-            if min_count > 1:
-                runs = F.filter(runs, lambda r: r["n"] >= min_count)
-            return runs
-
-        return let(F.array_compact(run_start), from_starts)
-
-    return let(F.sort_array(items), from_sorted)
-
-
-def sum_of(items: Column, field: str, sql_type: str = "bigint") -> Column:
-    """Sum one field of an array of structs."""
-    return F.aggregate(
-        items, F.lit(0).cast(sql_type), lambda acc, x: acc + x[field].cast(sql_type)
-    )
-
-
-def first_position(values: Column, wanted: Column) -> Column:
-    """1-based position of the first element equal to ``wanted``."""
-    return F.array_position(values, wanted).cast("int")
+    run_starts = "array_compact(transform(s, (x, i) -> case when i = 0 or x <> get(s, i - 1) then i end))"
+    runs = """transform(starts, (p, j) -> named_struct(
+        'item', get(s, p),
+        'n', cast(coalesce(get(starts, j + 1), size(s)) - p as bigint)))"""
+    if min_count > 1:
+        runs = f"filter({runs}, r -> r.n >= {min_count})"
+    return let(f"sort_array({items})", "s", let(run_starts, "starts", runs))
+
+
+def sum_of(items: str, field: str) -> str:
+    """Sum one integer field of an array of structs."""
+    return f"aggregate({items}, 0L, (total, x) -> total + x.{field})"

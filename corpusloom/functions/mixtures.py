@@ -6,37 +6,28 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusloom.functions.arrays import first_position, let, sum_of
+from corpusloom.functions.arrays import let, sum_of
 
 
-def topic_counts(assigned: Column, k: int) -> Column:
-    """``array<struct<topic, n, ..>>`` -> count per topic, ``array<bigint>``."""
-    def of_topic(xs: Column, topic: int) -> Column:
-        return sum_of(F.filter(xs, lambda x: x["topic"] == topic), "n")
+def posterior(assigned: str, k: int, prior: float) -> Column:
+    """Weights (n_t + prior) / (n + k prior) from a named column
+    ``array<struct<topic, n, ..>>``."""
+    of_topic = sum_of(f"filter({assigned}, x -> x.topic = t)", "n")
+    counts = f"transform(sequence(1, {k}), t -> {of_topic})"
+    prior_sql = f"{float(prior)!r}D"
+    total = f"aggregate(c, 0L, (a, n) -> a + n) + {k} * {prior_sql}"
+    return F.expr(let(counts, "c", let(total, "d", f"transform(c, n -> (n + {prior_sql}) / d)")))
 
-    return let(assigned, lambda xs: F.array(*[of_topic(xs, t) for t in range(1, k + 1)]))
 
-
-def smoothed(counts: Column, prior: float) -> Column:
-    """(n_t + prior) / (sum n + k * prior) for every topic."""
-    total = F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return let(
-        F.struct(
-            counts.alias("c"),
-            (total + F.size(counts) * F.lit(float(prior))).alias("denominator"),
-        ),
-        lambda e: F.transform(e["c"], lambda n: (n + F.lit(float(prior))) / e["denominator"]),
-    )
-
-
-def dominant(weights: Column) -> Column:
-    """Topic holding the first maximum, so the lowest id wins a tie."""
-    return let(weights, lambda w: first_position(w, F.array_max(w)))
+def dominant(weights: str) -> Column:
+    """Topic holding the first maximum of a named column, so the lowest id wins
+    a tie."""
+    return F.expr(let(weights, "w", "cast(array_position(w, array_max(w)) as int)"))
 
 
 def dominant_wide(columns: list[Column]) -> Column:
     """Same over one column per topic."""
-    return first_position(F.array(*columns), F.greatest(*columns))
+    return F.array_position(F.array(*columns), F.greatest(*columns)).cast("int")
 
 
 def topic_short_name(name: Column) -> Column:

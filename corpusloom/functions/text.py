@@ -87,22 +87,14 @@ def mask_stems(stems: Column, min_length: int = 3) -> Column:
     )
 
 
-def ngrams(words: Column, n: int) -> Column:
-    """``array<struct<w1, .., wn>>`` of n neighbouring words; n-grams touching a
-    NULL (dropped) position are left out. Shorter documents give no n-gram."""
-
-    def grams(ws: Column) -> Column:
-        def at(w: Column, i: Column) -> Column:
-            parts = [w] + [F.get(ws, i + j) for j in range(1, n)]
-            present = parts[0].isNotNull()
-            for p in parts[1:]:
-                present = present & p.isNotNull()
-            named = [p.alias(f"w{j + 1}") for j, p in enumerate(parts)]
-            return F.when(present, F.struct(*named))
-
-        return F.array_compact(F.transform(ws, at))
-
-    return let(words, grams)
+def ngrams(words: str, n: int) -> str:
+    """SQL for ``array<struct<w1, .., wn>>`` of n neighbouring words; n-grams
+    touching a NULL (dropped) position are left out. Shorter documents have none."""
+    later = [f"get(ws, i + {j})" for j in range(1, n)]
+    present = " and ".join(f"{w} is not null" for w in ["w", *later])
+    fields = ", ".join(f"'w{j}', {w}" for j, w in enumerate(["w", *later], start=1))
+    gram = f"case when {present} then named_struct({fields}) end"
+    return let(words, "ws", f"array_compact(transform(ws, (w, i) -> {gram}))")
 
 
 def ngram_term(gram: Column, n: int) -> Column:

@@ -16,7 +16,7 @@ from corpusloom.session import small
 
 def dominant_topic(mixtures: DataFrame, *keep: str) -> DataFrame:
     """doc_id, (kept columns), dom_topic; no shuffle, the weights are one row."""
-    return mixtures.select("doc_id", *keep, dominant(F.col("weights")).alias("dom_topic"))
+    return mixtures.select("doc_id", *keep, dominant("weights").alias("dom_topic"))
 
 
 def dominant_topic_long(gamma: DataFrame, k: int) -> DataFrame:

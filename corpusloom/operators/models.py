@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import schema
 from corpusloom.constants import ALPHA_TOTAL, DELTA
-from corpusloom.functions.mixtures import smoothed, topic_counts
+from corpusloom.functions.mixtures import posterior
 from corpusloom.operators.distances import pair_terms
 from corpusloom.operators.rows import unnest
 from corpusloom.session import checkpoint_dir, cut_lineage
@@ -106,9 +106,7 @@ def nest_assignments(long: DataFrame) -> DataFrame:
 def posterior_gamma(assigned: DataFrame, k: int, alpha: float | None = None) -> DataFrame:
     """(n_dt + alpha) / (n_d + k alpha), inside the document's row."""
     alpha = ALPHA_TOTAL / k if alpha is None else alpha
-    return assigned.withColumn(
-        "weights", smoothed(topic_counts(F.col("assigned"), k), alpha)
-    ).drop("assigned")
+    return assigned.withColumn("weights", posterior("assigned", k, alpha)).drop("assigned")
 
 
 def posterior_beta(assigned: DataFrame, k: int, delta: float = DELTA) -> DataFrame:

@@ -8,7 +8,6 @@ no shuffle and no join. Only statistics *across* documents are aggregated.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 from math import floor
 
 from pyspark.sql import Column, DataFrame
@@ -67,36 +66,27 @@ def min_count_for_trigram(threshold: float) -> int:
     return floor(27 * threshold * threshold / 32) + 1 if threshold > 0 else 1
 
 
-def collocation_t(n_gram: Column, n_words: list[Column], length: Column) -> Column:
-    """Student t of an n-gram against its words occurring independently."""
-    size = length.cast("double")
-    p = n_gram / size
-    chance = reduce(lambda a, b: a * b, [n / size for n in n_words])
-    return F.try_divide(p - chance, F.sqrt(p * (1 - p) / size))
+def collocation_t(n_gram: str, n_words: list[str], length: str) -> str:
+    """SQL for Student's t of an n-gram against its words occurring independently."""
+    size = f"cast({length} as double)"
+    p = f"({n_gram} / {size})"
+    chance = " * ".join(f"({n} / {size})" for n in n_words)
+    return f"try_divide({p} - {chance}, sqrt({p} * (1 - {p}) / {size}))"
 
 
-def _collocations(words: Column, counts: Column, length: Column, n: int,
-                  threshold: float) -> Column:
+def _collocations(n: int, threshold: float) -> Column:
+    """Tested n-grams of a row that holds words, unigrams and length."""
     at_least = min_count_for_bigram if n == 2 else min_count_for_trigram
-    candidates = count_items(ngrams(words, n), at_least(threshold))
-    by_word = F.map_from_entries(counts)
-
-    def score(env: Column) -> Column:
-        def one(c: Column) -> Column:
-            parts = [c["item"][f"w{j}"] for j in range(1, n + 1)]
-            seen = [F.try_element_at(env["by_word"], p) for p in parts]
-            return F.struct(
-                *[p.alias(f"w{j + 1}") for j, p in enumerate(parts)],
-                c["n"].alias("n"),
-                collocation_t(c["n"], seen, env["length"]).alias("t"),
-            )
-        return F.filter(F.transform(env["candidates"], one), lambda g: g["t"] > threshold)
-
-    return let(
-        F.struct(candidates.alias("candidates"), by_word.alias("by_word"),
-                 length.alias("length")),
-        score,
-    )
+    candidates = count_items(ngrams("words", n), at_least(threshold))
+    parts = [f"c.item.w{j}" for j in range(1, n + 1)]
+    t = collocation_t("c.n", [f"try_element_at(doc.by_word, {w})" for w in parts], "doc.length")
+    fields = ", ".join(f"'w{j}', {w}" for j, w in enumerate(parts, start=1))
+    scored = f"transform(doc.candidates, c -> named_struct({fields}, 'n', c.n, 't', {t}))"
+    return F.expr(let(
+        f"named_struct('candidates', {candidates}, 'by_word', map_from_entries(unigrams), 'length', length)",
+        "doc",
+        f"filter({scored}, g -> g.t > {float(threshold)!r}D)",
+    ))
 
 
 def doc_terms(docs: DataFrame, *, bigram_t: float = BIGRAM_T,
@@ -113,25 +103,24 @@ def doc_terms(docs: DataFrame, *, bigram_t: float = BIGRAM_T,
     counted = evaluated_once(
         docs,
         {"words": F.col("words"),
-         "unigrams": count_items(F.array_compact("words"), min_count=2)},
+         "unigrams": F.expr(count_items("array_compact(words)", min_count=2))},
         F.size("unigrams") > 0, *others,
-    ).withColumn("length", sum_of(F.col("unigrams"), "n"))
-    words, counts, length = F.col("words"), F.col("unigrams"), F.col("length")
+    ).withColumn("length", F.expr(sum_of("unigrams", "n")))
     return counted.withColumns({
-        "bigrams": _collocations(words, counts, length, 2, bigram_t),
-        "trigrams": _collocations(words, counts, length, 3, trigram_t),
+        "bigrams": _collocations(2, bigram_t),
+        "trigrams": _collocations(3, trigram_t),
     }).drop("words")
 
 
 def ngram_counts(docs: DataFrame, n: int) -> DataFrame:
     """Frequency of every n-gram in every document (before any test)."""
-    grams = unnest(docs, count_items(ngrams(F.col("words"), n)), "g", "doc_id")
+    grams = unnest(docs, F.expr(count_items(ngrams("words", n))), "g", "doc_id")
     return grams.select("doc_id", "g.item.*", "g.n")
 
 
 def term_counts(docs: DataFrame, min_count: int = 1) -> DataFrame:
     """Frequency of every word in every document."""
-    counts = unnest(docs, count_items(F.array_compact("words"), min_count), "u", "doc_id")
+    counts = unnest(docs, F.expr(count_items("array_compact(words)", min_count)), "u", "doc_id")
     return counts.select("doc_id", F.col("u.item").alias("term"), "u.n")
 
 

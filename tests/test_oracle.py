@@ -27,6 +27,8 @@ def by_name(rows, columns):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, duck, name):
     df = QUERIES[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     expected = duck.sql(SQL[name])
     types = {c: TYPES[str(t)] for c, t in zip(expected.columns, expected.types)}
     assert {f.name: f.dataType.simpleString() for f in df.schema} == types

@@ -9,21 +9,12 @@ from verification import tables
 
 SF = "/root/testdata/sf0.001"
 QUERIES = entry_module.queries()
-EAGER = {"lda_topics", "lda_doc_topics", "topic_count_sweep", "ranked_topic_counts",
-         "all_terms", "corpus_totals", "dtm_summary", "top_total_terms", "document_term_matrix",
-         "dominant_topic_exported"}
 
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - EAGER))
-def test_no_cross_joins(spark, name):
-    text = plan(QUERIES[name](spark, SF))
-    assert "CartesianProduct" not in text and "NestedLoopJoin" not in text
-
-
 @pytest.fixture
 def raw(spark):
     """Documents as a plain scan, not redistributed."""

@@ -17,8 +17,8 @@ SF = "/root/testdata/sf0.01"
 
 def t_of(spark, n, parts, length):
     df = spark.createDataFrame([(n, *parts, length)], ["n"] + [f"n{i}" for i in range(len(parts))] + ["l"])
-    columns = [F.col(f"n{i}") for i in range(len(parts))]
-    return df.select(terms.collocation_t(F.col("n"), columns, F.col("l")).alias("t")).first()["t"]
+    t = terms.collocation_t("n", [f"n{i}" for i in range(len(parts))], "l")
+    return df.select(F.expr(t).alias("t")).first()["t"]
 
 
 @pytest.mark.parametrize("n,parts,length,expected", [
