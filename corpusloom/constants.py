@@ -10,14 +10,15 @@ PUBLISHER_WORDS = (
 PUBLISHER_WORDS_COMBINED = PUBLISHER_WORDS + ("australia",)
 
 # --- fixed values: abstract cleaning, applied in this order ------------------
-# (?s) lets "." run over line ends, so a notice is cut to the end of the text.
+# (text a match must hold, pattern). (?s) lets "." run over line ends, so a
+# notice is cut to the end of the text.
 CLEAN_RULES = (
-    r"(?s)©.*",
-    r"(?s)(Crown Copyright|Copyright).*",
-    r"(?s)\(C\) [0-9].*",
-    r"(?s)\(c\) [0-9].*",
-    r"\[No abstract available\]",
-    r"from Authors",
+    ("©", r"(?s)©.*"),
+    ("Copyright", r"(?s)(Crown Copyright|Copyright).*"),
+    ("(C) ", r"(?s)\(C\) [0-9].*"),
+    ("(c) ", r"(?s)\(c\) [0-9].*"),
+    ("[No abstract available]", r"\[No abstract available\]"),
+    ("from Authors", r"from Authors"),
 )
 
 # --- fixed values: document-frequency bounds per corpus (min, max) -----------

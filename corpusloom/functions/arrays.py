@@ -22,15 +22,19 @@ def count_items(items: str, min_count: int = 1) -> str:
     ``min_count`` times, in sorted order.
 
     Sorting puts equal items side by side, so counts are distances between the
-    places where a run starts: O(m log m) for m items, no shuffle.
+    places where a run starts: O(m log m) for m items, no shuffle. If single
+    items do not count, they go first: most of a text occurs once.
     """
+    ordered = f"sort_array({items})"
     run_starts = "array_compact(transform(s, (x, i) -> case when i = 0 or x <> get(s, i - 1) then i end))"
     runs = """transform(starts, (p, j) -> named_struct(
         'item', get(s, p),
         'n', cast(coalesce(get(starts, j + 1), size(s)) - p as bigint)))"""
     if min_count > 1:
+        ordered = let(ordered, "a", "filter(a, (x, i) -> x = get(a, i + 1) or x = get(a, i - 1))")
+    if min_count > 2:
         runs = f"filter({runs}, r -> r.n >= {min_count})"
-    return let(f"sort_array({items})", "s", let(run_starts, "starts", runs))
+    return let(ordered, "s", let(run_starts, "starts", runs))
 
 
 def sum_of(items: str, field: str) -> str:

@@ -17,11 +17,11 @@ from corpusloom.functions.arrays import let
 # long runs without spaces.
 TOKEN = (
     r"_*+(?:(?:"
-    r"[\p{L}\p{M}]++(?:[.'’][\p{L}\p{M}]++)*+"
-    r"|\p{Nd}++(?:[.,;'’]\p{Nd}++)*+"
+    r"[a-z\p{L}\p{M}]++(?:[.'’][a-z\p{L}\p{M}]++)*+"
+    r"|[0-9\p{Nd}]++(?:[.,;'’][0-9\p{Nd}]++)*+"
     r")_*+)++"
 )
-# same language without possessive marks, for engines that lack them
+# same language for engines without possessive marks
 TOKEN_PORTABLE = TOKEN.replace("++", "+").replace("*+", "*")
 
 # What a lenient string-to-number conversion accepts in a lower-case token.
@@ -63,17 +63,23 @@ def stop_words(*languages: str) -> tuple[str, ...]:
     return tuple(sorted(merged))
 
 
-def mask_words(tokens: str, lexicon: Iterable[str], drop_words: Iterable[str]) -> Column:
+def mask_words(tokens: str, lexicon: Iterable[str], drop_words: Iterable[str],
+               min_length: int = 3) -> Column:
     """Replace dropped tokens of a named array column by NULL and keep every
     token at its position, so that n-grams still mean neighbours in the raw text.
 
+    All word filters in one test, cheapest first. A number either holds a digit
+    or is spelled inf(inity). Stemming takes letters off the end only, so digits
+    and too short words can be dropped before it.
+
     Written as one SQL expression: a lexicon of a thousand literals is parsed in
     one go instead of crossing from Python word by word.
     """
-    unwanted = ", ".join(_sql_literal(w) for w in sorted(set(lexicon) | set(drop_words)))
-    listed = f"w in ({unwanted})" if unwanted else "false"
+    unwanted = sorted(set(lexicon) | set(drop_words) | {"inf", "infinity"})
+    listed = ", ".join(_sql_literal(w) for w in unwanted)
     return F.expr(
-        f"transform({tokens}, w -> case when not {listed} and not rlike(w, r'{NUMBER}') then w end)"
+        f"transform({tokens}, w -> case when length(w) >= {min_length} "
+        f"and not w in ({listed}) and not rlike(w, '{DIGIT}') then w end)"
     )
 
 
@@ -82,19 +88,16 @@ def _sql_literal(word: str) -> str:
 
 
 def mask_stems(stems: Column, min_length: int = 3) -> Column:
-    return F.transform(
-        stems, lambda s: F.when(min_len(s, min_length) & no_digit(s), s)
-    )
+    """Drop stems that came out too short."""
+    return F.transform(stems, lambda s: F.when(min_len(s, min_length), s))
 
 
 def ngrams(words: str, n: int) -> str:
-    """SQL for ``array<struct<w1, .., wn>>`` of n neighbouring words; n-grams
-    touching a NULL (dropped) position are left out. Shorter documents have none."""
-    later = [f"get(ws, i + {j})" for j in range(1, n)]
-    present = " and ".join(f"{w} is not null" for w in ["w", *later])
-    fields = ", ".join(f"'w{j}', {w}" for j, w in enumerate(["w", *later], start=1))
-    gram = f"case when {present} then named_struct({fields}) end"
-    return let(words, "ws", f"array_compact(transform(ws, (w, i) -> {gram}))")
+    """SQL for an array of n-grams, words joined by a space (tokens hold none).
+    A NULL (dropped) position or the end of the text makes the whole n-gram NULL
+    and is left out."""
+    later = "".join(f", ' ', get(ws, i + {j})" for j in range(1, n))
+    return let(words, "ws", f"array_compact(transform(ws, (w, i) -> concat(w{later})))")
 
 
 def ngram_term(gram: Column, n: int) -> Column:

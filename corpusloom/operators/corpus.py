@@ -17,12 +17,16 @@ def with_abstract(papers: DataFrame) -> DataFrame:
     return papers.filter(F.coalesce(F.col("abstract"), F.lit("")) != "")
 
 
-def clean_abstract(papers: DataFrame, rules: Sequence[str] = CLEAN_RULES) -> DataFrame:
-    """Cut publisher boilerplate out of the abstract, rule after rule."""
-    cleaned = reduce(
-        lambda text, rule: F.regexp_replace(text, rule, ""), rules, F.col("abstract")
-    )
-    return papers.withColumn("abstract", cleaned)
+def clean_abstract(papers: DataFrame,
+                   rules: Sequence[tuple[str, str]] = CLEAN_RULES) -> DataFrame:
+    """Cut publisher boilerplate out of the abstract, rule after rule. A plain
+    substring test spares the regular expression where it cannot match."""
+    for needed, pattern in rules:
+        text = F.col("abstract")
+        papers = papers.withColumn("abstract", F.when(
+            text.contains(needed), F.regexp_replace(text, pattern, "")
+        ).otherwise(text))
+    return papers
 
 
 def with_text(papers: DataFrame) -> DataFrame:

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from corpusloom.constants import BIGRAM_T, PUBLISHER_WORDS, TRIGRAM_T
 from corpusloom.functions.arrays import count_items, let, sum_of
 from corpusloom.functions.stemming import stem_array, stem_word
-from corpusloom.functions.text import mask_stems, mask_words, ngram_term, ngrams, tokenize
+from corpusloom.functions.text import (
+    mask_stems, mask_words, ngram_term, ngrams, not_numeric, remove_words, tokenize,
+)
 from corpusloom.operators.rows import evaluated_once, unnest
 
 
@@ -27,12 +29,12 @@ def with_words(docs: DataFrame, lexicon: Iterable[str], *, stem: bool = True,
                name: str = "words") -> DataFrame:
     """Replace ``text`` by the filtered (and stemmed) words, position by
     position, NULL where a token was dropped."""
-    words = mask_words("_tokens", lexicon, drop_words)
+    words = mask_words("_tokens", lexicon, drop_words, min_length)
     if stem:
-        words = stem_array(words)
+        words = mask_stems(stem_array(words), min_length)
     return (
         docs.withColumn("_tokens", tokenize(F.col("text")))
-        .withColumn(name, mask_stems(words, min_length)).drop("text", "_tokens")
+        .withColumn(name, words).drop("text", "_tokens")
     )
 
 
@@ -46,11 +48,12 @@ def word_rows(docs: DataFrame) -> DataFrame:
 def stem_vocab(docs: DataFrame, lexicon: Iterable[str], *,
                drop_words: Iterable[str] = PUBLISHER_WORDS) -> DataFrame:
     """Every distinct word that reaches the stemmer, with its stem."""
-    words = mask_words("_tokens", lexicon, drop_words)
-    tokens = docs.select(tokenize(F.col("text")).alias("_tokens"))
-    return unnest(tokens, F.array_distinct(words), "word").distinct().select(
-        "word", stem_word("word").alias("stem")
+    word = F.col("word")
+    distinct_in_doc = F.array_distinct(tokenize(F.col("text")))
+    reaching = unnest(docs, distinct_in_doc, "word").filter(
+        remove_words(word, {*lexicon, *drop_words}) & not_numeric(word)
     )
+    return reaching.distinct().select("word", stem_word("word").alias("stem"))
 
 
 # --- per-document statistics ----------------------------------------------------
@@ -74,11 +77,21 @@ def collocation_t(n_gram: str, n_words: list[str], length: str) -> str:
     return f"try_divide({p} - {chance}, sqrt({p} * (1 - {p}) / {size}))"
 
 
+def _repeated_words(max_listed: int = 64) -> str:
+    """``words`` without those that occur once, which are in no collocation (its
+    count is at most that of each word). Looking words up in a list costs its
+    length, so a document with many repeated words keeps all of them; the result
+    is the same, the n-grams merely are more."""
+    listed = "transform(unigrams, u -> u.item)"
+    masked = let(listed, "seen", "transform(words, w -> if(array_contains(seen, w), w, null))")
+    return f"if(size(unigrams) <= {max_listed}, {masked}, words)"
+
+
 def _collocations(n: int, threshold: float) -> Column:
     """Tested n-grams of a row that holds words, unigrams and length."""
     at_least = min_count_for_bigram if n == 2 else min_count_for_trigram
     candidates = count_items(ngrams("words", n), at_least(threshold))
-    parts = [f"c.item.w{j}" for j in range(1, n + 1)]
+    parts = [f"split_part(c.item, ' ', {j})" for j in range(1, n + 1)]
     t = collocation_t("c.n", [f"try_element_at(doc.by_word, {w})" for w in parts], "doc.length")
     fields = ", ".join(f"'w{j}', {w}" for j, w in enumerate(parts, start=1))
     scored = f"transform(doc.candidates, c -> named_struct({fields}, 'n', c.n, 't', {t}))"
@@ -105,7 +118,8 @@ def doc_terms(docs: DataFrame, *, bigram_t: float = BIGRAM_T,
         {"words": F.col("words"),
          "unigrams": F.expr(count_items("array_compact(words)", min_count=2))},
         F.size("unigrams") > 0, *others,
-    ).withColumn("length", F.expr(sum_of("unigrams", "n")))
+    ).withColumn("length", F.expr(sum_of("unigrams", "n"))) \
+        .withColumn("words", F.expr(_repeated_words()))
     return counted.withColumns({
         "bigrams": _collocations(2, bigram_t),
         "trigrams": _collocations(3, trigram_t),
@@ -115,7 +129,8 @@ def doc_terms(docs: DataFrame, *, bigram_t: float = BIGRAM_T,
 def ngram_counts(docs: DataFrame, n: int) -> DataFrame:
     """Frequency of every n-gram in every document (before any test)."""
     grams = unnest(docs, F.expr(count_items(ngrams("words", n))), "g", "doc_id")
-    return grams.select("doc_id", "g.item.*", "g.n")
+    words = [F.split_part("g.item", F.lit(" "), F.lit(j)).alias(f"w{j}") for j in range(1, n + 1)]
+    return grams.select("doc_id", *words, "g.n")
 
 
 def term_counts(docs: DataFrame, min_count: int = 1) -> DataFrame:

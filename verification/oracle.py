@@ -58,7 +58,7 @@ PAPERS = f"""papers as (
 
 
 def cleaned(column: str) -> str:
-    for rule in CLEAN_RULES:
+    for _, rule in CLEAN_RULES:
         column = f"regexp_replace({column}, {lit(rule)}, '', 'g')"
     return column
 
