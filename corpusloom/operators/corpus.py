@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from decimal import Decimal
 from functools import reduce
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,12 +56,10 @@ def with_doc_id(papers: DataFrame, order_key: str, name: str = "doc_id",
     spark = papers.sparkSession
     parts = parts or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     probabilities = [i / parts for i in range(1, parts)]
-    cuts = sorted(set(papers.approxQuantile(order_key, probabilities, 0.01)))
-    key = F.col(order_key)
-    range_no = reduce(
-        lambda acc, cut: acc + F.when(key > cut, 1).otherwise(0), cuts, F.lit(0)
-    )
-    ranged = papers.withColumn("_range", range_no)
+    cuts = sorted(set(papers.approxQuantile(order_key, probabilities, min(0.01, 0.25 / parts))))
+    # binary search; a double may round a long key, but never reorders keys
+    ranges = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_key", outputCol="_range")
+    ranged = ranges.transform(papers.withColumn("_key", F.col(order_key).cast("double"))).drop("_key")
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_size"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
@@ -108,9 +108,22 @@ def distinct_by_title(papers: DataFrame, order: Sequence[str] = ("source_ord", "
 
 def match_titles(wanted: DataFrame, papers: DataFrame,
                  order: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """For each wanted title its first paper; NULLs when there is none."""
-    found = first_per_key(papers, "title", order)
-    return wanted.join(found, "title", "left")
+    """For each wanted title its first paper; NULLs when there is none.
+
+    Titles are matched with pre-aggregated row numbers first, so whole papers
+    move once, by their unique number. Titles without a match get a key of
+    their own each (and ``_hit`` false): as NULLs they would all meet in one task.
+    """
+    number = _packed(order)
+    number_type = papers.select(number.alias("n")).schema["n"].dataType
+    first = papers.groupBy("title").agg(F.min(number).alias("_first"))
+    places = wanted.join(first, "title", "left").select(
+        "title",
+        F.coalesce("_first", F.xxhash64("title").cast(number_type)).alias("_first"),
+        F.col("_first").isNotNull().alias("_hit"),
+    )
+    found = papers.withColumns({"_first": number, "_hit": F.lit(True)}).drop("title")
+    return places.join(found, ["_first", "_hit"], "left").drop("_first", "_hit")
 
 
 def merge_sources(reviewed: DataFrame, recent: DataFrame, wanted_titles: DataFrame) -> DataFrame:
