@@ -226,18 +226,20 @@ def term_ranks(spark, sf):
 
 def shared_top_terms(spark, sf):
     """Terms in the top lists of several models (a term has one topic here)."""
-    lists = [ranking.top_terms(models.long_beta(t.beta(spark, sf, k)), 20) for k in (4, 10)]
+    per_doc = t.stored_terms(spark, sf)
+    lists = [ranking.top_terms(models.long_beta(t.beta(spark, sf, k, per_doc)), 20) for k in (4, 10)]
     return ranking.shared_top_terms(corpus.stack(*lists), 2)
 
 
 def top_docs(spark, sf):
-    gamma = models.long_gamma(t.mixtures(spark, sf, K, "title", "year"), "title", "year")
+    mixtures = cut_lineage(t.mixtures(spark, sf, K, "title", "year"))
+    gamma = models.long_gamma(mixtures, "title", "year")
     return rounded(ranking.top_docs(gamma, 20), "gamma")
 
 
 def top_docs_joined(spark, sf):
     """Paper columns fetched by a join, for models fitted elsewhere."""
-    top = ranking.top_docs(models.long_gamma(t.mixtures(spark, sf, K)), 10)
+    top = ranking.top_docs(models.long_gamma(cut_lineage(t.mixtures(spark, sf, K))), 10)
     return rounded(corpus.with_info(top, t.papers(spark, sf), ["year", "labels"]), "gamma")
 
 
@@ -418,8 +420,9 @@ def scaled_dissimilarity(spark, sf):
 
 
 def _gap(spark, sf, scaled):
-    by_terms = distances.topic_dissimilarity(t.beta(spark, sf, K))
-    by_docs = distances.topic_doc_dissimilarity(t.mixtures(spark, sf, K))
+    per_doc = t.stored_terms(spark, sf)
+    by_terms = distances.topic_dissimilarity(t.beta(spark, sf, K, per_doc))
+    by_docs = distances.topic_doc_dissimilarity(t.mixtures(spark, sf, K, per_doc=per_doc))
     return rounded(distances.research_gap(by_terms, by_docs, scaled), "gap")
 
 
@@ -432,11 +435,10 @@ def research_gap_raw(spark, sf):
 
 
 def _scores(spark, sf):
-    per_doc = cut_lineage(t.document_terms(spark, sf).select("doc_id", "unigrams", "length"))
+    per_doc = t.stored_terms(spark, sf)
 
     def score(k):
-        topics = models.assign_topics(per_doc, lambda w: (F.length(w) % k + 1).cast("int"))
-        beta = models.posterior_beta(topics, k)
+        beta = t.beta(spark, sf, k, per_doc)
         return models.topic_divergence(beta, k).select(F.lit(k).alias("k"), "score")
 
     return corpus.stack(*[score(k) for k in SWEEP])

@@ -13,7 +13,7 @@ from corpusloom.constants import EXPERT_LABELS
 from corpusloom.functions.text import stop_words
 from corpusloom.operators import models
 from corpusloom.plans import study
-from corpusloom.session import ship_package, spread
+from corpusloom.session import cut_lineage, ship_package, spread
 
 LANGUAGES = ("english", "french", "german", "spanish")
 
@@ -52,23 +52,35 @@ def document_terms(spark: SparkSession, sf: str, *keep: str, stem: bool = False)
     return study.document_terms(papers(spark, sf), lexicon(), *keep, stem=stem)
 
 
-def assigned(spark: SparkSession, sf: str, k: int, *keep: str) -> DataFrame:
+def stored_terms(spark: SparkSession, sf: str, *keep: str) -> DataFrame:
+    """Repeated words per document, written once for queries that read them
+    several times."""
+    return cut_lineage(
+        document_terms(spark, sf, *keep).select("doc_id", *keep, "unigrams", "length")
+    )
+
+
+def assigned(spark: SparkSession, sf: str, k: int, *keep: str,
+             per_doc: DataFrame | None = None) -> DataFrame:
     """Deterministic topic assignments in place of a sampler's: a term's topic
     follows from its length, so every engine agrees on it."""
 
     def topic(term: Column) -> Column:
         return (F.length(term) % k + 1).cast("int")
 
-    return models.assign_topics(document_terms(spark, sf, *keep), topic)
+    if per_doc is None:
+        per_doc = document_terms(spark, sf, *keep)
+    return models.assign_topics(per_doc, topic)
 
 
-def mixtures(spark: SparkSession, sf: str, k: int, *keep: str) -> DataFrame:
-    gamma = models.posterior_gamma(assigned(spark, sf, k, *keep), k)
+def mixtures(spark: SparkSession, sf: str, k: int, *keep: str,
+             per_doc: DataFrame | None = None) -> DataFrame:
+    gamma = models.posterior_gamma(assigned(spark, sf, k, *keep, per_doc=per_doc), k)
     return gamma.select("doc_id", *keep, "weights")
 
 
-def beta(spark: SparkSession, sf: str, k: int) -> DataFrame:
-    return models.posterior_beta(assigned(spark, sf, k), k)
+def beta(spark: SparkSession, sf: str, k: int, per_doc: DataFrame | None = None) -> DataFrame:
+    return models.posterior_beta(assigned(spark, sf, k, per_doc=per_doc), k)
 
 
 def topic_names(spark: SparkSession, k: int) -> DataFrame:
