@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import lru_cache
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusloom.functions.arrays import let
+from corpusloom.stopwords import WORDS
 
 # Unicode word boundaries: letters may be joined by . ' or a typographic
 # apostrophe, digits also by , and ; ("don't", "3.14", but "fig.2" is two
@@ -55,11 +55,8 @@ def remove_words(word: Column, words: Iterable[str]) -> Column:
 
 @lru_cache
 def stop_words(*languages: str) -> tuple[str, ...]:
-    """Spark's stop-word lists of the given languages, merged."""
-    merged = {
-        w for lang in languages or ("english",)
-        for w in StopWordsRemover.loadDefaultStopWords(lang)
-    }
+    """The stop-word lists of the given languages, merged."""
+    merged = {w for lang in languages or ("english",) for w in WORDS[lang]}
     return tuple(sorted(merged))
 
 

@@ -10,7 +10,6 @@ Long forms (one row per topic) come from ``long_gamma`` / ``long_beta``.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -24,7 +23,7 @@ from corpusloom.constants import ALPHA_TOTAL, DELTA
 from corpusloom.functions.mixtures import posterior
 from corpusloom.operators.distances import pair_terms
 from corpusloom.operators.rows import unnest
-from corpusloom.session import checkpoint_dir, cut_lineage
+from corpusloom.session import cut_lineage, new_folder
 
 
 # --- fits -----------------------------------------------------------------------
@@ -46,7 +45,7 @@ def topic_terms(model: LDAModel, index: DataFrame, delta: float = DELTA) -> Data
     spark = index.sparkSession
     k = model.getK()
     if isinstance(model, DistributedLDAModel):
-        path = f"{checkpoint_dir(spark)}/lda-{uuid.uuid4()}"
+        path = new_folder(spark, "lda")
         model.save(path)
         vertices = spark.read.parquet(f"{path}/oldModel/data/topicCounts")
         counts = vertices.filter("id < 0").select(  # terms have negative ids

@@ -7,18 +7,12 @@ a chain of regular expressions.
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
-
-import pyspark
-
 from corpusloom.constants import (
     ALPHA_TOTAL, BIGRAM_T, CLEAN_RULES, DELTA, EXPERT_LABELS, OPENING_PERIOD_D,
     PERIOD_SCHEMES, PUBLISHER_WORDS, TRIGRAM_T,
 )
 from corpusloom.functions.stemming import DOUBLES, STEP_2, STEP_3, STEP_4
-from corpusloom.functions.text import NUMBER, TOKEN_PORTABLE
+from corpusloom.functions.text import NUMBER, TOKEN_PORTABLE, stop_words
 from corpusloom.schema import wide_name
 from verification.queries import K, MAX_DF, MIN_DF, SWEEP
 from verification.tables import LANGUAGES
@@ -28,17 +22,6 @@ def lit(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def stop_words() -> list[str]:
-    """Spark's stop-word lists, read from its jar: no session is needed."""
-    jar = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))[0]
-    words: set[str] = set()
-    with zipfile.ZipFile(jar) as z:
-        for lang in LANGUAGES:
-            name = f"org/apache/spark/ml/feature/stopwords/{lang}.txt"
-            words |= set(z.read(name).decode("utf-8").split("\n"))
-    return sorted(w for w in words if w)
-
-
 def with_(*ctes: str) -> str:
     return "with " + ",\n".join(ctes) + "\n"
 
@@ -72,7 +55,7 @@ TOKENS = f"""tokens as materialized (
   select doc_id, unnest(tk) as word, generate_subscripts(tk, 1) as pos
   from (select doc_id, regexp_extract_all(lower(text), {lit(TOKEN_PORTABLE)}) as tk from docs))"""
 
-_UNWANTED = ", ".join(lit(w) for w in sorted(set(stop_words()) | set(PUBLISHER_WORDS)))
+_UNWANTED = ", ".join(lit(w) for w in sorted(set(stop_words(*LANGUAGES)) | set(PUBLISHER_WORDS)))
 _KEEP = f"word not in ({_UNWANTED}) and not regexp_matches(word, {lit(NUMBER)})"
 _KEEP_STEM = "length(word) >= 3 and not regexp_matches(word, '[0-9]')"
 
