@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import branch_and_bound, one_bit_codes
+from corpusloom.llm import branch_and_bound, mixing, one_bit_codes, packing, token_counts
 
 
 def op1_one_bit_neighbours(spark: SparkSession, sf: str) -> DataFrame:
@@ -15,6 +15,18 @@ def op1_one_bit_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return one_bit_codes.nearest(base, base.filter(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op2_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(spark.read.parquet(f"{sf}/documents.parquet"))
+
+
+def op3_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(spark.read.parquet(f"{sf}/documents.parquet"))
+
+
+def op7_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return token_counts.token_counts(spark.read.parquet(f"{sf}/documents.parquet"))
+
+
 def op10_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
     base = spark.read.parquet(f"{sf}/embeddings.parquet")
     return branch_and_bound.highest(base, base.filter(F.col("vec_id") % 50 == 0), k=5)
@@ -33,6 +45,9 @@ where rank <= 5"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_one_bit_neighbours": op1_one_bit_neighbours,
+    "op2_mix_sources": op2_mix_sources,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op7_token_counts": op7_token_counts,
     "op10_exact_top_k": op10_exact_top_k,
 }
 

@@ -17,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 LONGEST = 48  # characters of a chunk that is remembered
 
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0"
