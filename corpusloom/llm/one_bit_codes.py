@@ -4,10 +4,10 @@ A unit vector is coded relative to its nearest centre: the residual is rotated
 by one random orthogonal matrix and only the signs are kept, packed in bits,
 with three correction scalars. The inner product with a query follows from
 popcounts of the code against the bit planes of the quantised rotated query; it
-comes with an error bound (a multiple of the residual's standard deviation plus
-the exact quantisation error). In a block, the k-th best lower bound decides
-which vectors may be among the k best: those are compared exactly, in double
-precision, on the original vectors.
+comes with an error bound, a multiple of its standard deviation. In a block, the
+vectors of the best estimates are compared exactly first; every vector whose
+estimate plus error bound reaches the k-th of these scores is then compared
+exactly too, in double precision, on the original vectors.
 
 Centres are fitted on a bounded sample (``SAMPLE`` rows, chosen by hash of the
 id); all vectors are coded and searched.
@@ -25,17 +25,18 @@ from corpusloom.llm import vectors
 from corpusloom.session import ship_package
 
 SAMPLE = 4096          # rows that centres are fitted on, per dimension
-CENTRES = 32
-PLANES = 8             # bits of a quantised query component
-BOUND = 3.5            # standard deviations of the estimate in the error bound
+CENTRES = 16
+CODE_BITS = 256        # shorter vectors are padded: longer codes estimate better
+PLANES = 4             # bits of a quantised query component
+BOUND = 3.0            # standard deviations of the estimate in the error bound
 SEED = 7
 
 
 def rotation(dim: int, seed: int = SEED) -> np.ndarray:
-    """Random orthogonal matrix of the dimension padded to whole words."""
-    wide = -(-dim // 64) * 64
+    """Rows of a random orthogonal matrix, of the code's length, for ``dim``."""
+    wide = max(CODE_BITS, -(-dim // 64) * 64)
     q, r = np.linalg.qr(np.random.default_rng([seed, wide]).standard_normal((wide, wide)))
-    return (q * np.sign(np.diag(r)))[:dim]  # rows for the padding are never needed
+    return (q * np.sign(np.diag(r)))[:dim]
 
 
 def fit_centres(unit: np.ndarray, n: int = CENTRES, rounds: int = 10, seed: int = SEED) -> np.ndarray:
@@ -81,23 +82,24 @@ def bounds(query: np.ndarray, code: tuple[np.ndarray, ...], centre: np.ndarray,
     turned = apart @ turn
     wide = turned.shape[1]
     planes, low, step = planes_of(turned)
+    words = np.ascontiguousarray(bits.T)
     ones = np.bitwise_count(bits).sum(1, dtype=np.float64)
-    hits = np.zeros((len(query), len(bits)))
-    for j in range(planes.shape[1]):
-        both = np.bitwise_count(planes[:, None, j, 0] & bits[None, :, 0]).astype(np.uint32)
-        for word in range(1, bits.shape[1]):
-            both += np.bitwise_count(planes[:, None, j, word] & bits[None, :, word])
-        hits += both * float(1 << j)
+    hits = np.zeros((len(query), len(bits)), np.uint32)
+    both, ones_of_both = np.empty(hits.shape, np.uint64), np.empty(hits.shape, np.uint8)
+    for j in reversed(range(planes.shape[1])):
+        hits *= 2
+        for word in range(bits.shape[1]):
+            np.bitwise_and(planes[:, j, word, None], words[word], out=both)
+            hits += np.bitwise_count(both, out=ones_of_both)
     positive = low[:, None] * ones + step[:, None] * hits
     signed = (2 * positive - turned.sum(1)[:, None]) / np.sqrt(wide)
     estimate = (query @ centre)[:, None] + along + signed * (norm / aligned)
-    spread = norm * np.sqrt(np.maximum(1 - aligned**2, 0)) / aligned / np.sqrt(max(wide - 1, 1))
-    off = bound * np.sqrt((apart**2).sum(1))[:, None] * spread
-    off += (np.sqrt(wide) * step / 2)[:, None] * (norm / aligned)
-    return estimate, off + 1e-9
+    spread = norm * np.sqrt(np.maximum(1 - aligned**2, 0)) / aligned / np.sqrt(wide - 1)
+    rounding = step[:, None] / np.sqrt(12) * (norm / aligned)
+    return estimate, bound * (np.sqrt((apart**2).sum(1))[:, None] * spread + rounding) + 1e-9
 
 
-def cell_search(k: int, centres: dict[int, np.ndarray], batch: int = 64, pairs: int = 1 << 16):
+def cell_search(k: int, centres: dict[int, np.ndarray], batch: int = 128, pairs: int = 1 << 16):
     """Search of one cell: estimates and bounds choose what is compared exactly."""
 
     def cell(left: pa.Table, right: pa.Table):
@@ -110,6 +112,14 @@ def cell_search(k: int, centres: dict[int, np.ndarray], batch: int = 64, pairs:
         near = right["centre"].to_numpy()
         bits = np.frombuffer(b"".join(right["code"].to_pylist()), np.uint64).reshape(len(v), -1)
         scalars = [right[c].to_numpy() for c in ("norm", "along", "aligned")]
+
+        def exact(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            score = np.empty(len(i))
+            for a in range(0, len(i), pairs):
+                x, y = i[a:a + pairs], j[a:a + pairs]
+                score[a:a + pairs] = (q[x] * v[y]).sum(1) / (q_norm[x] * v_norm[y])
+            return score
+
         members = [np.flatnonzero(near == c) for c in range(len(middle))]
         out = []
         for start in range(0, len(q), batch):
@@ -121,14 +131,15 @@ def cell_search(k: int, centres: dict[int, np.ndarray], batch: int = 64, pairs:
                     code = (bits[own], *(s[own] for s in scalars))
                     estimate[:, own], off[:, own] = bounds(unit[rows], code, middle[c], turn)
             same = q_id[rows, None] == v_id
-            lower = np.where(same, -np.inf, estimate - off)
-            least = np.partition(lower, -k, 1)[:, -k] if len(v) > k else np.full(len(lower), -np.inf)
-            qi, vi = np.nonzero((estimate + off >= least[:, None]) & ~same)
+            estimate[same] = -np.inf
+            first = min(max(32, 4 * k), len(v))
+            likely = np.argpartition(-estimate, first - 1, 1)[:, :first]
+            sure = exact(np.repeat(np.arange(len(likely)) + start, first), likely.ravel()).reshape(-1, first)
+            sure[np.take_along_axis(same, likely, 1)] = -np.inf
+            least = np.partition(sure, -k, 1)[:, -k] if first >= k else np.full(len(sure), -np.inf)
+            qi, vi = np.nonzero((estimate + off >= least[:, None] - 1e-9) & ~same)
             qi += start
-            score = np.empty(len(qi))
-            for a in range(0, len(qi), pairs):
-                i, j = qi[a:a + pairs], vi[a:a + pairs]
-                score[a:a + pairs] = (q[i] * v[j]).sum(1) / (q_norm[i] * v_norm[j])
+            score = exact(qi, vi)
             best = vectors.top_k(qi, v_id[vi], score, k)
             out.append((q_id[qi[best]], v_id[vi[best]], score[best]))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
