@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import branch_and_bound, mixing, one_bit_codes, packing, token_counts
+import corpus_pipeline
+from corpusloom.llm import (
+    branch_and_bound, html_cut, minhash, mixing, one_bit_codes, packing, quality, secrets, token_counts, urls,
+)
 
 
 def op1_one_bit_neighbours(spark: SparkSession, sf: str) -> DataFrame:
@@ -23,10 +26,32 @@ def op3_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(spark.read.parquet(f"{sf}/documents.parquet"))
 
 
+def op4_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return urls.judge_urls(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.judge_quality(
+        spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    )
+
+
+def op6_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.near_duplicates(spark.read.parquet(f"{sf}/documents.parquet"))
+
+
 def op7_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.token_counts(spark.read.parquet(f"{sf}/documents.parquet"))
 
 
+def op8_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return html_cut.extract(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
+def op9_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.find_secrets(spark.read.parquet(f"{sf}/documents.parquet"))
+
+
 def op10_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
     base = spark.read.parquet(f"{sf}/embeddings.parquet")
     return branch_and_bound.highest(base, base.filter(F.col("vec_id") % 50 == 0), k=5)
@@ -47,8 +72,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_one_bit_neighbours": op1_one_bit_neighbours,
     "op2_mix_sources": op2_mix_sources,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_url_filter": op4_url_filter,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_token_counts": op7_token_counts,
+    "op8_html_extraction": op8_html_extraction,
+    "op9_secret_scan": op9_secret_scan,
     "op10_exact_top_k": op10_exact_top_k,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {
