@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +36,9 @@ BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
 POOL_BITS = 16
 SEED = 23
-TEXT_AT_ONCE = 1 << 20  # bytes of text that are cut into shingles together
+TEXT_AT_ONCE = 1 << 19  # characters of text that are cut into shingles together
 PIVOT_ROUNDS = 6        # before what is left is compared exhaustively
+ROWS_AT_ONCE = 256      # rows of packed shingles that are unpacked together
 REMAINDER = 4           # exhaustive comparisons allowed earlier, per bucket member
 
 _rng = np.random.default_rng(SEED)
@@ -93,16 +95,22 @@ def shingles(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return list(zip(np.split(hashes, cut), np.split(count.astype(np.uint32), cut), strict=True))
 
 
-def _in_portions(texts: list[str]):
-    portion, size = [], 0
-    for text in texts:
-        portion.append(text)
-        size += len(text)
+def _in_portions(batch: pa.RecordBatch):
+    """Slices of a batch that hold about ``TEXT_AT_ONCE`` characters of text."""
+    first, size = 0, 0
+    for i, n in enumerate(pc.binary_length(batch["text"]).to_pylist()):
+        size += n or 0
         if size >= TEXT_AT_ONCE:
-            yield portion
-            portion, size = [], 0
-    if portion:
-        yield portion
+            yield batch.slice(first, i + 1 - first)
+            first, size = i + 1, 0
+    if first < batch.num_rows:
+        yield batch.slice(first)
+
+
+def _slices(batches):
+    for batch in batches:
+        for first in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(first, ROWS_AT_ONCE)
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -110,9 +118,8 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     (packed; empty if all are 1), row. A null text is named by its row."""
 
     def cut(batches):
-        for batch in batches:
-            texts = [t or "" for t in batch["text"].to_pylist()]
-            sets = [s for portion in _in_portions(texts) for s in shingles(portion)]
+        for batch in (portion for whole in batches for portion in _in_portions(whole)):
+            sets = shingles([t or "" for t in batch["text"].to_pylist()])
             yield pa.RecordBatch.from_arrays([
                 *(batch[c] for c in ("doc_id", "text_a", "text_b")),
                 pa.array([h.tobytes() for h, _ in sets], pa.binary()),
@@ -135,7 +142,7 @@ def bits_of_buckets(sets: DataFrame) -> np.ndarray:
 
     def count(batches):
         seen = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
+        for batch in _slices(batches):
             raw = b"".join(batch["hashes"].to_pylist())
             seen += np.bincount(np.frombuffer(raw, np.uint32) >> np.uint32(32 - BUCKET_BITS), minlength=BUCKETS)
         some = np.flatnonzero(seen)
@@ -186,26 +193,25 @@ class Sampler:
     def __init__(self, n: int = BANDS * ROWS, seed: int = SEED) -> None:
         rng = np.random.default_rng(seed)
         size = (n, 1 << POOL_BITS)
-        self.r = rng.gamma(2.0, 1.0, size)
-        self.log_c = np.log(rng.gamma(2.0, 1.0, size))
-        self.beta = rng.random(size)
+        self.r = rng.standard_gamma(2.0, size, np.float32)
+        self.log_c = np.log(rng.standard_gamma(2.0, size, np.float32))
+        self.beta = rng.random(size, np.float32)
         self.spread = rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self._tables: dict[float, np.ndarray] = {}
 
     def _values(self, k: int, at, log_w) -> np.ndarray:
         """Logarithms of the samples' arrival values as ordered 32-bit integers
         in the upper half of a word."""
-        r, beta = self.r[k, at], self.beta[k, at]
+        r, beta = self.r[k, at].astype(np.float64), self.beta[k, at]
         t = np.floor(log_w / r + beta)
         bits = (self.log_c[k, at] - r * (t - beta + 1)).astype(np.float32).view(np.uint32)
         ordered = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(1 << 31))
         return ordered.astype(np.uint64) << np.uint64(32)
 
     def table(self, w: float) -> np.ndarray:
-        """Values of the whole pool for one weight; two weights are remembered."""
+        """Values of the whole pool for one weight; the last weight is remembered."""
         if w not in self._tables:
-            if len(self._tables) >= 2:
-                self._tables.clear()
+            self._tables.clear()
             self._tables[w] = np.stack([self._values(k, slice(None), np.log(w)) for k in range(len(self.r))])
         return self._tables[w]
 
@@ -243,26 +249,24 @@ def banded(sets: DataFrame, bits: np.ndarray) -> DataFrame:
     """doc_id, text_a, text_b, row, bands (null for texts without words)."""
 
     def sample(batches):
-        for batch in batches:
-            for a in range(0, max(batch.num_rows, 1), 512):
-                part = batch.slice(a, 512)
-                hashes, counts = part["hashes"].to_pylist(), part["counts"].to_pylist()
-                full = [i for i, h in enumerate(hashes) if h]
-                keys: list = [None] * part.num_rows
-                if full:
-                    sizes = [len(hashes[i]) // 4 for i in full]
-                    h = np.frombuffer(b"".join(hashes[i] for i in full), np.uint32)
-                    c = np.concatenate([
-                        np.frombuffer(counts[i], np.uint32) if counts[i] else np.ones(n, np.uint32)
-                        for i, n in zip(full, sizes, strict=True)
-                    ])
-                    found = band_keys(sampler().samples(h, weights(h, c, bits), np.cumsum([0, *sizes[:-1]])))
-                    for i, row in zip(full, found, strict=True):
-                        keys[i] = row
-                yield pa.RecordBatch.from_arrays(
-                    [*(part[c] for c in ("doc_id", "text_a", "text_b", "row")), pa.array(keys, pa.list_(pa.int64()))],
-                    ["doc_id", "text_a", "text_b", "row", "bands"],
-                )
+        for part in _slices(batches):
+            hashes, counts = part["hashes"].to_pylist(), part["counts"].to_pylist()
+            full = [i for i, h in enumerate(hashes) if h]
+            keys: list = [None] * part.num_rows
+            if full:
+                sizes = [len(hashes[i]) // 4 for i in full]
+                h = np.frombuffer(b"".join(hashes[i] for i in full), np.uint32)
+                c = np.concatenate([
+                    np.frombuffer(counts[i], np.uint32) if counts[i] else np.ones(n, np.uint32)
+                    for i, n in zip(full, sizes, strict=True)
+                ])
+                found = band_keys(sampler().samples(h, weights(h, c, bits), np.cumsum([0, *sizes[:-1]])))
+                for i, row in zip(full, found, strict=True):
+                    keys[i] = row
+            yield pa.RecordBatch.from_arrays(
+                [*(part[c] for c in ("doc_id", "text_a", "text_b", "row")), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "text_a", "text_b", "row", "bands"],
+            )
 
     return sets.select("doc_id", "text_a", "text_b", "row", "hashes", "counts").mapInArrow(
         sample, "doc_id long, text_a long, text_b long, row long, bands array<long>"
@@ -275,7 +279,7 @@ def verified(pairs: DataFrame, sets: DataFrame, bits: np.ndarray, least: float)
     """a, b of the pairs whose similarity reaches ``least``."""
 
     def compare(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             x = zip(batch["hashes_a"].to_pylist(), batch["counts_a"].to_pylist(), strict=True)
             y = zip(batch["hashes_b"].to_pylist(), batch["counts_b"].to_pylist(), strict=True)
             linked = [similarity(p, q, bits) >= least for p, q in zip(x, y, strict=True)]
