@@ -10,7 +10,9 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -135,10 +137,8 @@ def stem_array(words: pa.Array) -> pa.Array:
     """Stem every word of an array column; NULL elements stay NULL."""
     lists = words.cast(pa.list_(pa.string()))
     flat = _stem_strings(lists.flatten())
-    lengths = [0 if n is None else n for n in lists.value_lengths().to_pylist()]
-    offsets = [0]
-    for n in lengths:
-        offsets.append(offsets[-1] + n)
+    lengths = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
     mask = lists.is_null() if lists.null_count else None
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat, mask=mask)
 

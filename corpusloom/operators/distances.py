@@ -11,14 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.arrays import let
+from corpusloom.operators.rows import unnest
+
 
 def pair_terms(nested: DataFrame) -> DataFrame:
     """topic_a < topic_b and their weights x, y in every row of ``weights``."""
-    left = nested.select("weights", F.posexplode_outer("weights").alias("_a", "x"))
-    right = left.select("_a", "x", F.posexplode_outer("weights").alias("_b", "y"))
-    return right.filter(F.col("_a") < F.col("_b")).select(
-        (F.col("_a") + 1).alias("topic_a"), (F.col("_b") + 1).alias("topic_b"), "x", "y"
-    )
+    pairs = F.expr(let("weights", "w", """flatten(transform(w, (x, i) -> transform(
+        slice(w, i + 2, size(w)), (y, j) -> named_struct('topic_a', i + 1, 'topic_b', i + j + 2, 'x', x, 'y', y))))"""))
+    return unnest(nested, pairs, "pair").select("pair.*")
 
 
 def bray_curtis(nested: DataFrame) -> DataFrame:

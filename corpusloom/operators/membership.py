@@ -9,7 +9,6 @@ from corpusloom import schema
 from corpusloom.functions.labels import has_label, label_array, mentions_label
 from corpusloom.functions.mixtures import dominant, dominant_wide
 from corpusloom.operators.models import nest_gamma
-from corpusloom.session import small
 
 
 # --- dominant topic ---------------------------------------------------------------
@@ -44,7 +43,7 @@ def topic_size_named(sizes: DataFrame, names: DataFrame) -> DataFrame:
 
 def with_topic_name(df: DataFrame, names: DataFrame, topic: str = "topic") -> DataFrame:
     """Add the topic's name; NULL when it has none."""
-    named = small(names.select(F.col("topic").alias(topic), "topic_name"))
+    named = names.select(F.col("topic").alias(topic), "topic_name")
     return df.join(named, topic, "left")
 
 
@@ -76,8 +75,12 @@ def docs_in(df: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def label_combo_counts(papers: DataFrame) -> DataFrame:
-    """Papers per label combination as written."""
-    return papers.groupBy("labels").agg(F.count("*").alias("n"))
+    """Papers per label combination as written: all, and those with an abstract
+    (NULL where there is none)."""
+    kept = F.count(F.when(F.coalesce("abstract", F.lit("")) != "", 1))
+    return papers.groupBy("labels").agg(
+        F.count("*").alias("n_all"), F.nullif(kept, F.lit(0).cast("bigint")).alias("n_retained")
+    )
 
 
 def label_share(papers: DataFrame) -> DataFrame:

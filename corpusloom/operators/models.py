@@ -13,53 +13,43 @@ from __future__ import annotations
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.clustering import LDA, DistributedLDAModel, LDAModel
+from pyspark.ml.clustering import LDA, DistributedLDAModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom import schema
 from corpusloom.constants import ALPHA_TOTAL, DELTA
+from corpusloom.functions.arrays import let
 from corpusloom.functions.mixtures import posterior
-from corpusloom.operators.distances import pair_terms
 from corpusloom.operators.rows import unnest
-from corpusloom.session import cut_lineage, new_folder
+from corpusloom.session import delete_folder, new_folder, store
 
 
 # --- fits -----------------------------------------------------------------------
 
-def fit_lda(dtm: DataFrame, k: int, seed: int, max_iter: int = 20,
-            optimizer: str = "em") -> LDAModel:
-    """Fit k topics. EM's default priors equal the usual 50/k and 0.1."""
-    lda = LDA(k=k, seed=seed, maxIter=max_iter, optimizer=optimizer, featuresCol="features")
-    return lda.fit(dtm)
+def fit_lda(dtm: DataFrame, k: int, seed: int, max_iter: int = 20) -> DistributedLDAModel:
+    """Fit k topics by EM, whose default priors equal the usual 50/k and 0.1."""
+    return LDA(k=k, seed=seed, maxIter=max_iter, optimizer="em", featuresCol="features").fit(dtm)
 
 
-def topic_terms(model: LDAModel, index: DataFrame, delta: float = DELTA) -> DataFrame:
-    """Topic-term probabilities of a fit: term, weights.
+def stored_counts(model: DistributedLDAModel) -> DataFrame:
+    """id, counts: topic counts of all terms (negative ids) and documents of a
+    fit, written by the executors and read back as a table, so neither matrix
+    ever exists on the driver."""
+    spark = SparkSession.active()
+    path = new_folder(spark, "lda")
+    model.save(path)
+    vertices = spark.read.parquet(f"{path}/oldModel/data/topicCounts")
+    if set(vertices.columns) != {"id", "topicWeights"}:
+        raise ValueError(f"unexpected layout of a saved model: {vertices.columns}")
+    return vertices.select("id", vector_to_array("topicWeights").alias("counts"))
 
-    An EM model keeps its term-topic counts spread over the cluster; they are
-    written to the checkpoint folder and read back as a table, so the terms x
-    topics matrix never exists on the driver.
-    """
-    spark = index.sparkSession
-    k = model.getK()
-    if isinstance(model, DistributedLDAModel):
-        path = new_folder(spark, "lda")
-        model.save(path)
-        vertices = spark.read.parquet(f"{path}/oldModel/data/topicCounts")
-        counts = vertices.filter("id < 0").select(  # terms have negative ids
-            (-F.col("id") - 1).cast("int").alias("term_id"),
-            vector_to_array("topicWeights").alias("counts"),
-        )
-    else:
-        # the online optimizer holds this matrix on the driver throughout
-        matrix = model.topicsMatrix().toArray()
-        counts = spark.createDataFrame(
-            [(i, row.tolist()) for i, row in enumerate(matrix)],
-            "term_id int, counts array<double>",
-        )
-    return _normalised_by_topic(counts.join(index, "term_id"), k, delta)
+
+def topic_terms(counts: DataFrame, k: int, index: DataFrame, delta: float = DELTA) -> DataFrame:
+    """Topic-term probabilities of a fit (its ``stored_counts``): term, weights."""
+    terms = counts.filter("id < 0").select((-F.col("id") - 1).cast("int").alias("term_id"), "counts")
+    return _normalised_by_topic(terms.join(index, "term_id"), k, delta)
 
 
 def _normalised_by_topic(counts: DataFrame, k: int, delta: float) -> DataFrame:
@@ -75,11 +65,26 @@ def _normalised_by_topic(counts: DataFrame, k: int, delta: float) -> DataFrame:
     ).alias("weights"))
 
 
-def doc_topics(model: LDAModel, dtm: DataFrame) -> DataFrame:
-    """Document-topic probabilities of a fit: doc_id, weights."""
-    return model.transform(dtm).select(
-        "doc_id", vector_to_array("topicDistribution").alias("weights")
+def doc_topics(counts: DataFrame, k: int, dtm: DataFrame, alpha: float | None = None) -> DataFrame:
+    """Document-topic probabilities of the fit itself: doc_id, weights.
+
+    ``dtm`` is the stored matrix the model was fitted on. The fit numbers its
+    documents by position in that table; the same scan gives the same numbers.
+    A document whose topic counts do not add up to its terms stops the query.
+    """
+    alpha = ALPHA_TOTAL / k if alpha is None else alpha
+    numbered = dtm.select(
+        F.monotonically_increasing_id().alias("id"), "doc_id",
+        F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x).alias("n"),
     )
+    found = numbered.join(counts.filter("id >= 0"), "id", "left")
+    total = F.aggregate("counts", F.lit(0.0), lambda a, x: a + x)
+    same = F.coalesce(F.abs(total - F.col("n")) <= 1e-6 * (F.col("n") + 1), F.col("n") == 0)
+    weights = F.when(same, F.transform(
+        F.coalesce("counts", F.array_repeat(F.lit(0.0), k)),
+        lambda c: (c + F.lit(alpha)) / (F.col("n") + F.lit(k * alpha)),
+    )).otherwise(F.raise_error(F.lit("a document's topic counts are not its own")))
+    return found.select("doc_id", weights.alias("weights"))
 
 
 # --- posterior from assignments ---------------------------------------------------
@@ -160,13 +165,36 @@ def gamma_wide(mixtures: DataFrame, k: int, *keep: str) -> DataFrame:
 
 # --- number of topics -------------------------------------------------------------
 
+def pair_divergence(weights: str) -> Column:
+    """Sum over pairs of (x - y) (ln x - ln y) / 2 of one row's k weights. It is
+    k sum(x ln x) - sum(x) sum(ln x), so no pair is formed."""
+    of = "aggregate(w, 0D, (a, x) -> a + {})"
+    return F.expr(let(weights, "w", f"""0.5D * (size(w) * {of.format('x * ln(x)')}
+        - {of.format('x')} * {of.format('ln(x)')})"""))
+
+
+def posterior_divergence(counts: DataFrame, ks: Sequence[int], delta: float = DELTA) -> DataFrame:
+    """k, score of every k in one pass over term, key, n rows, where a term's
+    topic under k is key mod k + 1. Each row is copied once per k and combined
+    with its term's others before the shuffle; topic totals are one row per k."""
+    most = max(ks)
+    rows = counts.withColumn("k", F.explode(F.lit(list(ks)))).withColumn("topic", F.col("key") % F.col("k"))
+    per_topic = [F.sum(F.when(F.col("topic") == t, F.col("n")).otherwise(F.lit(0).cast("bigint"))) for t in range(most)]
+    nested = rows.groupBy("k", "term").agg(F.array(*per_topic).alias("counts"))
+    totals = nested.groupBy("k").agg(
+        F.array(*[F.sum(F.col("counts")[t]) for t in range(most)]).alias("totals"), F.count("*").alias("terms")
+    )
+    weights = f"""transform(slice(counts, 1, k), (n, t) ->
+        (cast(n as double) + {float(delta)!r}D) / (get(totals, t) + {float(delta)!r}D * terms))"""
+    return nested.join(F.broadcast(totals), "k").groupBy("k").agg(  # one row per k
+        F.sum(pair_divergence(weights)).alias("total")
+    ).select("k", (F.col("total") / (F.col("k") * (F.col("k") - 1)).cast("double")).alias("score"))
+
+
 def topic_divergence(terms: DataFrame, k: int) -> DataFrame:
     """One row, ``score``: symmetric Kullback-Leibler divergence summed over
     topic pairs, divided by k (k - 1). Larger means more distinct topics."""
-    x, y = F.col("x"), F.col("y")
-    pairs = pair_terms(terms)
-    total = pairs.agg(F.sum(F.lit(0.5) * (x - y) * F.ln(x / y)).alias("total"))
-    return total.select((F.col("total") / F.lit(float(k * (k - 1)))).alias("score"))
+    return terms.agg((F.sum(pair_divergence("weights")) / F.lit(float(k * (k - 1)))).alias("score"))
 
 
 def topic_count_sweep(dtm: DataFrame, index: DataFrame, ks: Sequence[int], seed: int,
@@ -177,14 +205,18 @@ def topic_count_sweep(dtm: DataFrame, index: DataFrame, ks: Sequence[int], seed:
     each hands back a single number.
     """
     spark = dtm.sparkSession
-    dtm, index = cut_lineage(dtm), cut_lineage(index)
+    (dtm, dtm_path), (index, index_path) = store(dtm), store(index)
 
     def score(k: int) -> tuple[int, float]:
-        beta = topic_terms(fit_lda(dtm, k, seed, max_iter), index)
-        return k, topic_divergence(beta, k).first()["score"]
+        counts = stored_counts(fit_lda(dtm, k, seed, max_iter))
+        result = topic_divergence(topic_terms(counts, k, index), k).first()["score"]
+        delete_folder(spark, counts.inputFiles()[0].partition("/oldModel/")[0])
+        return k, result
 
     with ThreadPoolExecutor(parallel) as pool:
         scores = list(pool.map(score, ks))
+    delete_folder(spark, dtm_path)
+    delete_folder(spark, index_path)
     return spark.createDataFrame(scores, schema.SCORES)
 
 

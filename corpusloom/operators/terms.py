@@ -77,27 +77,36 @@ def collocation_t(n_gram: str, n_words: list[str], length: str) -> str:
     return f"try_divide({p} - {chance}, sqrt({p} * (1 - {p}) / {size}))"
 
 
-def _repeated_words(max_listed: int = 64) -> str:
-    """``words`` without those that occur once, which are in no collocation (its
-    count is at most that of each word). Looking words up in a list costs its
-    length, so a document with many repeated words keeps all of them; the result
-    is the same, the n-grams merely are more."""
-    listed = "transform(unigrams, u -> u.item)"
-    masked = let(listed, "seen", "transform(words, w -> if(array_contains(seen, w), w, null))")
-    return f"if(size(unigrams) <= {max_listed}, {masked}, words)"
+def _word_counts() -> str:
+    """``words`` to struct<unigrams, at>: words that occur more than once with
+    their counts, and for every position how often its word occurs. Positions
+    are sorted by word and, once the runs are counted, back: no lookups."""
+    by_word = "sort_array(transform(words, (w, i) -> named_struct('w', w, 'i', i)))"
+    starts = "array_compact(transform(s, (x, j) -> case when j = 0 or not (x.w <=> get(s, j - 1).w) then j end))"
+    runs = """transform(starts, (p, j) -> named_struct('w', get(s, p).w, 'p', p,
+        'n', cast(coalesce(get(starts, j + 1), size(s)) - p as bigint)))"""
+    back = """sort_array(flatten(transform(runs, r -> transform(
+        slice(s, r.p + 1, cast(r.n as int)), x -> named_struct('i', x.i, 'n', r.n)))))"""
+    result = f"""named_struct(
+        'unigrams', transform(filter(runs, r -> r.w is not null and r.n > 1), r -> named_struct('item', r.w, 'n', r.n)),
+        'at', transform({back}, x -> x.n))"""
+    return let(by_word, "s", let(starts, "starts", let(runs, "runs", result)))
 
 
 def _collocations(n: int, threshold: float) -> Column:
-    """Tested n-grams of a row that holds words, unigrams and length."""
+    """Tested n-grams of a row that holds words, at and length. A word that
+    occurs once is in none: the n-gram's count is at most that of each word."""
     at_least = min_count_for_bigram if n == 2 else min_count_for_trigram
-    candidates = count_items(ngrams("words", n), at_least(threshold))
-    parts = [f"split_part(c.item, ' ', {j})" for j in range(1, n + 1)]
-    t = collocation_t("c.n", [f"try_element_at(doc.by_word, {w})" for w in parts], "doc.length")
-    fields = ", ".join(f"'w{j}', {w}" for j, w in enumerate(parts, start=1))
+    gram = "concat(" + ", ' ', ".join(f"get(d.words, i + {j})" for j in range(n)) + ")"
+    counts = ", ".join(f"'n{j + 1}', get(d.at, i + {j})" for j in range(n))
+    repeated = " and ".join(f"get(d.at, i + {j}) > 1" for j in range(n))
+    grams = let("named_struct('words', words, 'at', at)", "d", f"""array_compact(transform(d.words, (w, i) ->
+        case when {repeated} and {gram} is not null then named_struct('g', {gram}, {counts}) end))""")
+    t = collocation_t("c.n", [f"c.item.n{j + 1}" for j in range(n)], "doc.length")
+    fields = ", ".join(f"'w{j}', split_part(c.item.g, ' ', {j})" for j in range(1, n + 1))
     scored = f"transform(doc.candidates, c -> named_struct({fields}, 'n', c.n, 't', {t}))"
     return F.expr(let(
-        f"named_struct('candidates', {candidates}, 'by_word', map_from_entries(unigrams), 'length', length)",
-        "doc",
+        f"named_struct('candidates', {count_items(grams, at_least(threshold))}, 'length', length)", "doc",
         f"filter({scored}, g -> g.t > {float(threshold)!r}D)",
     ))
 
@@ -115,15 +124,13 @@ def doc_terms(docs: DataFrame, *, bigram_t: float = BIGRAM_T,
     others = [c for c in docs.columns if c != "words"]
     counted = evaluated_once(
         docs,
-        {"words": F.col("words"),
-         "unigrams": F.expr(count_items("array_compact(words)", min_count=2))},
-        F.size("unigrams") > 0, *others,
-    ).withColumn("length", F.expr(sum_of("unigrams", "n"))) \
-        .withColumn("words", F.expr(_repeated_words()))
-    return counted.withColumns({
+        {"words": F.col("words"), "_counts": F.expr(_word_counts())},
+        F.size("_counts.unigrams") > 0, *others,
+    ).withColumns({"unigrams": F.col("_counts.unigrams"), "at": F.col("_counts.at")}).drop("_counts")
+    return counted.withColumn("length", F.expr(sum_of("unigrams", "n"))).withColumns({
         "bigrams": _collocations(2, bigram_t),
         "trigrams": _collocations(3, trigram_t),
-    }).drop("words")
+    }).drop("words", "at")
 
 
 def ngram_counts(docs: DataFrame, n: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import LDAModel
+from pyspark.ml.clustering import DistributedLDAModel
 from pyspark.sql import DataFrame
 
 from corpusloom.constants import BIGRAM_T, DF_BOUNDS, PUBLISHER_WORDS, TRIGRAM_T
@@ -35,7 +35,7 @@ def document_terms(papers: DataFrame, lexicon: Iterable[str], *keep: str, stem:
 class TopicStudy:
     """A fitted model and the tables every later question starts from."""
 
-    model: LDAModel
+    model: DistributedLDAModel
     k: int
     index: DataFrame     # term, term_id
     beta: DataFrame      # term, weights
@@ -44,16 +44,16 @@ class TopicStudy:
 
 def fit_topics(papers: DataFrame, lexicon: Iterable[str], k: int, seed: int, *keep: str,
                bounds: tuple[int, int] = DF_BOUNDS["full"], stem: bool = True,
-               drop_words: Iterable[str] = PUBLISHER_WORDS, max_iter: int = 20,
-               optimizer: str = "em") -> TopicStudy:
+               drop_words: Iterable[str] = PUBLISHER_WORDS, max_iter: int = 20) -> TopicStudy:
     """Corpus to topics. Text is processed once: its terms are checkpointed
     before the vocabulary, the matrix and the fit read them repeatedly."""
     per_doc = cut_lineage(document_terms(papers, lexicon, stem=stem, drop_words=drop_words))
     kept = cut_lineage(terms.all_terms(per_doc, *bounds))
     index = cut_lineage(dtm.term_index(kept))
     matrix = cut_lineage(dtm.to_dtm(kept, index))
-    model = models.fit_lda(matrix, k, seed, max_iter, optimizer)
-    mixtures = models.doc_topics(model, matrix)
+    model = models.fit_lda(matrix, k, seed, max_iter)
+    counts = models.stored_counts(model)
+    mixtures = models.doc_topics(counts, k, matrix)
     if keep:
         mixtures = corpus.with_info(mixtures, papers, keep)
-    return TopicStudy(model, k, index, models.topic_terms(model, index), mixtures)
+    return TopicStudy(model, k, index, models.topic_terms(counts, k, index), mixtures)

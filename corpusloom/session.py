@@ -1,8 +1,9 @@
-"""Session helpers: shipping the package, cutting lineage, small-input spread."""
+"""Session helpers: shipping the package, cutting lineage."""
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import re
 import tempfile
@@ -10,7 +11,6 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 _WRITTEN: dict[str, SparkSession] = {}
@@ -72,8 +72,9 @@ def delete_folder(spark: SparkSession, path: str) -> None:
 
 def _delete_all() -> None:
     for path, spark in list(_WRITTEN.items()):
-        if spark._jsc is not None and not spark._jsc.sc().isStopped():
-            delete_folder(spark, path)
+        with contextlib.suppress(Exception):  # the driver's JVM may be gone already
+            if not spark._jsc.sc().isStopped():
+                delete_folder(spark, path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -91,28 +92,3 @@ def store(df: DataFrame) -> tuple[DataFrame, str]:
     path = new_folder(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
-
-
-def small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """Mark a dimension table for broadcast if it has at most ``max_rows`` rows;
-    a larger one is joined by shuffle. Reads no further than the bound."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (file sizes for a plain scan)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def spread(df: DataFrame, key: str, bytes_per_task: int = 64 << 20) -> DataFrame:
-    """Give a small input as many tasks as the session has slots.
-
-    A table written as one row group is read by one task, however many cores
-    wait. Up to ``bytes_per_task`` per slot it is cheap to redistribute; a
-    larger scan splits well by itself and is left alone, so text is never
-    shuffled at scale.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if plan_bytes(df) > slots * bytes_per_task:
-        return df
-    return df.repartition(slots, key)

@@ -7,7 +7,7 @@ read by one task, many files in parallel. Convert to Parquet once
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,20 +16,34 @@ from corpusloom import schema
 _CSV = {"multiLine": "true", "quote": '"', "escape": '"', "encoding": "UTF-8"}
 
 
-def read_papers_csv(spark: SparkSession, path: str,
-                    columns: T.StructType = schema.REVIEWED_PAPERS) -> DataFrame:
-    """Paper list with a banner line above its header, columns by position.
+def numbered_records(spark: SparkSession, path: str, width: int, pattern: str | None = None) -> DataFrame:
+    """Records of headerless CSV files: source_file, source_row, place (0 for the
+    file's first record) and ``cells`` array<string>.
 
-    Read without a header, every row is data at first: the header row repeats
-    the word "title" in the title column, the banner has neither title nor
-    abstract nor year.
+    A file with line breaks in its fields is read by one task, in order, so
+    row numbers are consecutive within it; its first one is a pre-aggregated
+    minimum, one row per file.
     """
-    rows = spark.read.schema(columns).options(**_CSV).csv(path)
-    header = F.lower(F.trim("title")) == "title"
-    banner = F.col("title").isNull() & F.col("abstract").isNull() & F.col("publication_year").isNull()
+    cells = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
+    reader = spark.read.schema(cells).options(**_CSV)
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
+    rows = reader.csv(path).select(
+        F.col("_metadata.file_path").alias("source_file"), F.monotonically_increasing_id().alias("source_row"),
+        F.array(*cells.names).alias("cells"),
+    )
+    first = rows.groupBy("source_file").agg(F.min("source_row").alias("_first"))
+    return rows.join(first, "source_file").withColumn("place", F.col("source_row") - F.col("_first")).drop("_first")
+
+
+def read_papers_csv(spark: SparkSession, path: str, columns: T.StructType = schema.REVIEWED_PAPERS,
+                    skip_lines: int = 1) -> DataFrame:
+    """Paper lists with ``skip_lines`` records (a banner) and a header above the
+    papers, columns by position. What the first records hold does not matter."""
+    rows = numbered_records(spark, path, len(columns)).filter(F.col("place") > skip_lines)
+    named = [F.col("cells")[i].cast(f.dataType).alias(f.name) for i, f in enumerate(columns)]
     return (
-        rows.filter(~F.coalesce(header, F.lit(False)) & ~banner)
-        .withColumn("source_row", F.monotonically_increasing_id())
+        rows.select(*named, "source_row")
         .withColumn("year", F.expr("try_cast(publication_year as int)"))
         .drop("publication_year")
     )
@@ -41,22 +55,23 @@ def read_csv(spark: SparkSession, path: str, columns: T.StructType) -> DataFrame
 
 
 def read_papers_glob(spark: SparkSession, folder: str, pattern: str = "*2014-2019.csv",
-                     columns: T.StructType = schema.RECENT_PAPERS) -> DataFrame:
-    """All files of a folder that match, stacked; extra columns are dropped.
-    Files must share their header: a different one raises instead of putting
-    values into wrong columns."""
-    rows = (
-        spark.read.option("header", True).options(**_CSV)
-        .option("pathGlobFilter", pattern).option("enforceSchema", False)
-    )
-    files = rows.csv(folder)
-    names = {name.lower(): name for name in files.columns}
-    return files.select(
-        *[F.expr(f"try_cast(`{names[f.name]}` as {f.dataType.simpleString()})").alias(f.name)
-          for f in columns],
-        F.col("_metadata.file_path").alias("source_file"),
-        F.monotonically_increasing_id().alias("source_row"),
+                     columns: T.StructType = schema.RECENT_PAPERS, width: int = 64) -> DataFrame:
+    """All files of a folder that match, stacked; columns are picked by name in
+    each file's own header, others are dropped. A file that lacks one stops the
+    query. ``width`` bounds the columns of a file."""
+    rows = numbered_records(spark, folder, width, pattern)
+    headers = rows.filter("place = 0").select(
+        "source_file", F.transform("cells", lambda c: F.lower(F.trim(c))).alias("_header")
     )
+    body = rows.filter("place > 0").join(headers, "source_file")
+
+    def named(field: T.StructField) -> Column:
+        place = F.array_position("_header", F.lit(field.name.lower()))
+        missing = F.raise_error(F.concat(F.lit(f"no column {field.name} in "), F.col("source_file")))
+        cell = F.when(place > 0, F.try_element_at("cells", place.cast("int"))).otherwise(missing)
+        return cell.try_cast(field.dataType).alias(field.name)
+
+    return body.select(*[named(f) for f in columns], "source_file", "source_row")
 
 
 def read_papers(spark: SparkSession, path: str, fmt: str = "parquet",

@@ -3,7 +3,6 @@ from pyspark.sql import functions as F
 
 from corpusloom import schema
 from corpusloom.operators import corpus
-from corpusloom.session import small
 from corpusloom.sources import files
 
 
@@ -68,12 +67,6 @@ def test_merge_sources(spark):
     assert [r["title"] for r in missing] == ["Z"]
 
 
-def test_small_has_a_bound(spark):
-    df = spark.range(20)
-    hinted = lambda d: "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
-    assert hinted(small(df, 20)) and not hinted(small(df, 19))
-
-
 # --- files --------------------------------------------------------------------
 
 def test_reviewed_list_with_banner(spark, tmp_path):
@@ -95,11 +88,23 @@ def test_recent_files_by_pattern(spark, tmp_path):
     assert [(r["title"], r["abstract"], r["year"]) for r in rows] == [("Étude", "abs", 2015), ("B", None, 2016)]
 
 
-def test_files_with_another_header_are_refused(spark, tmp_path):
+def test_columns_are_picked_by_name_in_each_file(spark, tmp_path):
     (tmp_path / "a_2014-2019.csv").write_text("Title,Abstract,Year\nA,abs,2015\n")
-    (tmp_path / "b_2014-2019.csv").write_text("Abstract,Title,Year\nabs,B,2016\n")
-    with pytest.raises(Exception):
-        files.read_papers_glob(spark, str(tmp_path)).select("title", "abstract", "year").collect()
+    (tmp_path / "b_2014-2019.csv").write_text("Abstract,Extra, TITLE ,Year\nabs,e,B,2016\n")
+    rows = files.read_papers_glob(spark, str(tmp_path)).orderBy("year").collect()
+    assert [(r["title"], r["abstract"], r["year"]) for r in rows] == [("A", "abs", 2015), ("B", "abs", 2016)]
+    (tmp_path / "c_2014-2019.csv").write_text("Abstract,Year\nabs,2016\n")
+    with pytest.raises(Exception, match="no column title"):
+        files.read_papers_glob(spark, str(tmp_path)).collect()
+
+
+def test_first_records_are_skipped_by_position_not_by_content(spark, tmp_path):
+    header = "Associated search(es),Id,Title,Abstract,Publication year\n"
+    (tmp_path / "a.csv").write_text(
+        f'"A banner, with",commas,title,abs,1999\n{header}Fish,1,Title,abs,2001\nFish,2,,,\n', encoding="utf-8")
+    (tmp_path / "b.csv").write_text(f"Banner\n{header}Fish,3,C,abs,2002\n", encoding="utf-8")
+    rows = files.read_papers_csv(spark, str(tmp_path)).orderBy("source_id").collect()
+    assert [(r["source_id"], r["title"], r["year"]) for r in rows] == [("1", "Title", 2001), ("2", None, None), ("3", "C", 2002)]
 
 
 def test_tables_round_trip(spark, tmp_path):

@@ -4,7 +4,6 @@ import pytest
 
 import __spark_entry__ as entry_module
 from corpusloom.operators import distances, models, ranking, terms
-from corpusloom.session import spread
 from verification import tables
 
 SF = "/root/testdata/sf0.001"
@@ -60,6 +59,11 @@ def test_pair_sums_are_preaggregated(spark):
     assert "partial_sum" in text
 
 
-def test_large_inputs_are_not_redistributed(raw):
-    assert "Exchange" in plan(spread(raw, "doc_id"))
-    assert "Exchange" not in plan(spread(raw, "doc_id", bytes_per_task=1))
+def test_pairs_of_topics_are_formed_once(spark):
+    text = plan(distances.bray_curtis(tables.mixtures(spark, SF, 4)))
+    assert text.count("Generate ") == 2  # the documents' counts and the pairs
+
+
+def test_label_combinations_need_one_scan(spark):
+    text = plan(QUERIES["label_combos"](spark, SF))
+    assert text.count("FileScan") == 1 and "Join" not in text

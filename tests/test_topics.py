@@ -163,15 +163,53 @@ def test_same_seed_same_topics(fitted):
     assert a.keys() == b.keys() and all(np.allclose(a[t], b[t], atol=1e-9) for t in a)
 
 
-def test_online_optimizer_and_sweep(spark):
+def test_document_topics_are_the_fits_own(spark):
     from corpusloom.operators import terms
+    from corpusloom.session import cut_lineage
+
+    per_doc = tables.document_terms(spark, "/root/testdata/sf0.001")
+    kept = cut_lineage(terms.all_terms(per_doc, 2, 100))
+    index = cut_lineage(dtm.term_index(kept))
+    matrix = cut_lineage(dtm.to_dtm(kept, index))
+    counts = models.stored_counts(models.fit_lda(matrix, 3, seed=2, max_iter=3))
+    length = {r["doc_id"]: r["n"] for r in kept.groupBy("doc_id").agg(F.sum("n").alias("n")).collect()}
+    by_length = sorted(round(sum(r["counts"]), 3) for r in counts.filter("id >= 0").collect())
+    assert by_length == sorted(map(float, length.values()))
+    plain = models.doc_topics(counts, 3, matrix, alpha=0.0).collect()
+    smooth = {r["doc_id"]: r["weights"] for r in models.doc_topics(counts, 3, matrix).collect()}
+    assert {r["doc_id"] for r in plain} == set(length)
+    for r in plain:
+        n, own = length[r["doc_id"]], np.array(r["weights"])
+        assert math.isclose(own.sum(), 1, rel_tol=1e-6)
+        assert np.allclose(smooth[r["doc_id"]], (own * n + 50 / 3) / (n + 50))
+    moved = matrix.orderBy(F.desc("doc_id")).limit(50)
+    with pytest.raises(Exception, match="not its own"):
+        models.doc_topics(counts, 3, moved).collect()
+
+
+def test_sweep_leaves_nothing_behind(spark):
+    from corpusloom import session
+    from corpusloom.operators import terms
+
     per_doc = tables.document_terms(spark, "/root/testdata/sf0.001")
     kept = terms.all_terms(per_doc, 2, 100)
     index = dtm.term_index(kept)
     matrix = dtm.to_dtm(kept, index)
-    model = models.fit_lda(matrix, 3, seed=2, max_iter=2, optimizer="online")
-    beta = models.topic_terms(model, index).collect()
-    assert np.allclose(np.sum([r["weights"] for r in beta], axis=0), 1)
-    scores = models.topic_count_sweep(matrix, index, (2, 3), seed=1, max_iter=2)
-    rows = scores.collect()
+    before = set(session._WRITTEN)
+    rows = models.topic_count_sweep(matrix, index, (2, 3), seed=1, max_iter=2).collect()
     assert [r["k"] for r in rows] == [2, 3] and all(r["score"] > 0 for r in rows)
+    assert set(session._WRITTEN) == before
+
+
+def test_divergence_in_one_pass_equals_pairs(spark):
+    rows = [(w, key, n) for w in "abcdef" for key, n in ((ord(w), 3), (ord(w) * 3 + 1, 2))]
+    df = spark.createDataFrame(rows, "term string, key bigint, n bigint")
+    got = {r["k"]: r["score"] for r in models.posterior_divergence(df, (2, 3, 5)).collect()}
+    for k in (2, 3, 5):
+        n = np.zeros((6, k))
+        for w, key, c in rows:
+            n[ord(w) - 97, key % k] += c
+        beta = (n + 0.1) / (n.sum(0) + 0.6)
+        pairs = [(a, b) for a in range(k) for b in range(a + 1, k)]
+        total = sum(0.5 * ((beta[:, a] - beta[:, b]) * np.log(beta[:, a] / beta[:, b])).sum() for a, b in pairs)
+        assert got[k] == pytest.approx(total / (k * (k - 1)))

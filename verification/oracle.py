@@ -8,8 +8,8 @@ a chain of regular expressions.
 from __future__ import annotations
 
 from corpusloom.constants import (
-    ALPHA_TOTAL, BIGRAM_T, CLEAN_RULES, DELTA, EXPERT_LABELS, OPENING_PERIOD_D,
-    PERIOD_SCHEMES, PUBLISHER_WORDS, TRIGRAM_T,
+    ALPHA_TOTAL, BIGRAM_T, CLEAN_RULES, DELTA, DF_BOUNDS, EXPERT_LABELS, OPENING_PERIOD_D,
+    PERIOD_SCHEMES, PUBLISHER_WORDS, PUBLISHER_WORDS_COMBINED, TRIGRAM_T,
 )
 from corpusloom.functions.stemming import DOUBLES, STEP_2, STEP_3, STEP_4
 from corpusloom.functions.text import NUMBER, TOKEN_PORTABLE, stop_words
@@ -199,7 +199,7 @@ def assigned(k: int, s: str = "") -> tuple[str, ...]:
     """gamma and beta of the deterministic assignment, names suffixed by s."""
     alpha = ALPHA_TOTAL / k
     return (
-        f"assigned{s} as (select doc_id, term, cast(length(term) % {k} + 1 as int) as topic, n from repeated)",
+        f"assigned{s} as (select doc_id, term, cast((length(term) + 7 * ascii(term) + doc_id) % {k} + 1 as int) as topic, n from repeated)",
         f"topics{s} as (select cast(range as int) as topic from range(1, {k + 1}))",
         f"""gamma{s} as (
   select d.doc_id, t.topic, (coalesce(x.n, 0) + cast({alpha!r} as double)) / (d.length + {k} * cast({alpha!r} as double)) as gamma
@@ -312,6 +312,12 @@ def oracle_sql() -> dict[str, str]:
     sql["cleaned_abstracts"] = papers + f"select doc_id, {cleaned('(' + noticed + ')')} as abstract from papers"
     sql["modelling_text"] = with_(PAPERS, DOCS) + \
         "select doc_id, length(text) as n_chars, md5(text) as text_md5 from docs"
+    missing = cleaned("case when abstract = '' then '[No abstract available]' else abstract end")
+    sql["cleaned_missing_abstracts"] = papers + \
+        f"select doc_id, md5(a) as abstract_md5 from (select doc_id, {missing} as a from papers) where a <> ''"
+    sql["reviewed_papers_csv"] = papers + \
+        "select doc_id, title, year, labels, md5(abstract) as abstract_md5 from papers"
+    sql["recent_papers_csv"] = papers + "select doc_id, title, year, md5(abstract) as abstract_md5 from papers"
     sql["complete_papers"] = papers + "select doc_id, title, year from papers where nullif(abstract, '') is not null"
     sql["document_numbers"] = papers + """select doc_id, year, row_number() over (order by doc_id) as document
       from papers where coalesce(abstract, '') <> ''"""
@@ -340,6 +346,12 @@ def oracle_sql() -> dict[str, str]:
       from repeated r anti join (select term from df where df > {MAX_DF}) c on r.term = c.term
       group by term having count(*) < {MIN_DF}"""
     sql["unigram_vocab"] = with_(*PRUNE) + "select term, df from vocab"
+    for corpus, (low, high) in DF_BOUNDS.items():
+        sql[f"unigram_vocab_{corpus}"] = with_(*COUNTED, DF) + \
+            f"select term, df from df where df >= {low} and df <= {high}"
+    unwanted = ", ".join(lit(w) for w in sorted(set(stop_words(*LANGUAGES)) | set(PUBLISHER_WORDS_COMBINED)))
+    sql["combined_token_counts"] = with_(*BASE) + f"""select word, count(*) as n from tokens
+      where word not in ({unwanted}) and not regexp_matches(word, {lit(NUMBER)}) and {_KEEP_STEM} group by all"""
     sql["pruned_terms"] = with_(*COUNTED, DF) + f"""select r.doc_id, r.term, r.n from repeated r
       anti join (select term from df where df > {MAX_DF}) c on r.term = c.term
       anti join (select term from df where df < {MIN_DF}) d on r.term = d.term"""
@@ -374,11 +386,9 @@ def oracle_sql() -> dict[str, str]:
       string_agg(term, ', ' order by beta desc, term) as top_topic_words from top group by topic"""
     sql["term_ranks"] = with_(*TOPICS, top20) + """select topic, term,
       cast(row_number() over (partition by topic order by beta, term desc) as int) as term_rank from top"""
-    sql["shared_top_terms"] = with_(*COUNTED, *assigned(4, "_4"), *assigned(10, "_10")) + """
-      select term, count(*) as n from (
-        select term, rank() over (partition by topic order by beta desc) as r from beta_4
-        union all select term, rank() over (partition by topic order by beta desc) as r from beta_10)
-      where r <= 20 group by term having count(*) >= 2"""
+    sql["shared_top_terms"] = with_(*TOPICS, top20) + \
+        "select term, count(*) as n from top group by term having count(*) >= 2"
+    sql["top_words_csv"] = sql["top_words"]
     top_docs = """ranked as (select *, rank() over (partition by topic order by gamma desc) as r from gamma)"""
     sql["top_docs"] = with_(*TOPICS, top_docs) + """select r.doc_id, p.title, p.year, r.topic,
       round(r.gamma, 6) as gamma from ranked r join papers p using (doc_id) where r <= 20"""
@@ -458,6 +468,11 @@ def oracle_sql() -> dict[str, str]:
     trend = with_(*TIME, by_period("b"), TREND, NAMES)
     sql["topic_trend"] = trend + f"""select topic, topic_name, round(avg_prop_change, 6) as avg_prop_change,
       round(se, 6) as se, {CLASS} from trend left join names using (topic)"""
+    for scheme in "cd":
+        sql[f"topic_trend_{scheme}"] = with_(*TIME, by_period(scheme), TREND) + f"""select topic,
+          round(avg_prop_change, 6) as avg_prop_change, round(se, 6) as se, {CLASS} from trend"""
+    sql["pubs_per_period_topic_c"] = time + f"""select * from (select {period('c')} as period,
+      {period_ord('c')} as period_ord, dom_topic, count(*) as n from dated group by all) where period is not null"""
     sql["popularity_with_trend"] = trend + f"""select b.topic, b.period, b.period_ord,
       round(b.prop, 6) as prop, round(avg_prop_change, 6) as avg_prop_change, {CLASS}
       from by_period b left join trend t on b.topic = t.topic"""

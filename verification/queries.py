@@ -2,28 +2,29 @@
 
 from __future__ import annotations
 
-import uuid
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom import schema
 from corpusloom.functions.labels import label_array
 from corpusloom.functions.mixtures import topic_short_name
 from corpusloom.functions.text import min_len, no_digit, not_numeric, remove_words, tokenize
-from corpusloom.constants import PUBLISHER_WORDS
+from corpusloom.constants import DF_BOUNDS, PUBLISHER_WORDS, PUBLISHER_WORDS_COMBINED
 from corpusloom.operators import (
     corpus, distances, dtm, membership, models, ranking, terms, trends,
 )
 from corpusloom.operators.rows import unnest
 from corpusloom.plans import study
-from corpusloom.session import checkpoint_dir, cut_lineage
+from corpusloom.session import cut_lineage, new_folder
 from corpusloom.sources import files
 from verification import tables as t
 
 MIN_DF, MAX_DF = 8, 100
 K = 13
-SWEEP = (2, 4, 8, 13)
+SWEEP = tuple(range(2, 31))  # topic counts scored on assignments
+FITTED = (4, 8, 13)  # topic counts fitted one by one
 
 
 def r6(column: str | Column) -> Column:
@@ -51,6 +52,64 @@ def cleaned_abstracts(spark, sf):
     return corpus.clean_abstract(papers).select("doc_id", "abstract")
 
 
+def cleaned_missing_abstracts(spark, sf):
+    """The notice for papers without an abstract, written where it is missing."""
+    abstract = F.when(F.col("abstract") == "", "[No abstract available]").otherwise(F.col("abstract"))
+    papers = t.papers(spark, sf).withColumn("abstract", abstract)
+    return corpus.with_abstract(corpus.clean_abstract(papers)).select("doc_id", F.md5("abstract").alias("abstract_md5"))
+
+
+# --- files --------------------------------------------------------------------
+
+def _with_lines_above(df, *lines):
+    """String rows with further rows before the first of every task, so that
+    each written file starts with them."""
+    columns = df.columns
+
+    def put(frames):
+        first = pd.DataFrame([line + [None] * (len(columns) - len(line)) for line in lines], columns=columns)
+        for i, frame in enumerate(frames):
+            yield pd.concat([first, frame]) if i == 0 else frame
+
+    return df.mapInPandas(put, df.schema)
+
+
+def reviewed_papers_csv(spark, sf):
+    """Written as CSV files with a banner, with commas, above the header, and read back."""
+    path = new_folder(spark, "reviewed")
+    papers = t.papers(spark, sf).select(
+        "labels", F.col("doc_id").cast("string").alias("source_id"), "title", "abstract",
+        F.col("year").cast("string").alias("publication_year"),
+    ).repartition(3, "source_id")
+    lines = _with_lines_above(papers, ["Reviewed papers, final list", "a", "b"],
+                              ["Labels", "Id", "Title", "Abstract", "Publication Year"])
+    lines.write.option("quoteAll", True).option("escape", '"').csv(path)
+    back = files.read_papers_csv(spark, path)
+    return back.select(F.col("source_id").cast("bigint").alias("doc_id"), "title", "year", "labels",
+                       F.md5(F.coalesce("abstract", F.lit(""))).alias("abstract_md5"))
+
+
+def recent_papers_csv(spark, sf):
+    """Files whose columns stand in different order and number, stacked by name."""
+    path = new_folder(spark, "recent")
+    papers = t.papers(spark, sf).withColumn("extra", F.lit("x, y"))
+    orders = (["year", "doc_id", "abstract", "title"], ["title", "extra", "abstract", "doc_id", "year"])
+    for i, columns in enumerate(orders):
+        part = papers.filter(F.col("doc_id") % 2 == i).select(*columns)
+        part.write.option("header", True).option("quoteAll", True).option("escape", '"').mode("append").csv(path)
+    wanted = T.StructType([T.StructField("doc_id", T.LongType()), *schema.RECENT_PAPERS])
+    back = files.read_papers_glob(spark, path, "*.csv", wanted)
+    return back.select("doc_id", "title", "year", F.md5(F.coalesce("abstract", F.lit(""))).alias("abstract_md5"))
+
+
+def top_words_csv(spark, sf):
+    """Topic word lists exported as CSV and read back."""
+    path = new_folder(spark, "top-words")
+    files.write_table(top_words(spark, sf), path, "csv")
+    words = T.StructType([T.StructField("topic", T.IntegerType()), T.StructField("top_topic_words", T.StringType())])
+    return files.read_csv(spark, path, words)
+
+
 def modelling_text(spark, sf):
     text = study.documents(t.papers(spark, sf))
     return text.select("doc_id", F.length("text").cast("bigint").alias("n_chars"),
@@ -71,7 +130,7 @@ def _sources(spark, sf):
     """English papers as the reviewed list, the others as the recent one, and
     titles wanted of the latter: those of labelled good quality, plus benchmark
     texts, which are titles of nothing."""
-    papers = t.papers(spark, sf)
+    papers = cut_lineage(t.papers(spark, sf))  # read several times
     columns = ["doc_id", "title", "abstract", "year"]
     reviewed = papers.filter(F.col("lang") == "en").select(columns)
     recent = papers.filter(F.col("lang") != "en").select(columns)
@@ -99,6 +158,29 @@ def distinct_titles(spark, sf):
 
 # --- text and terms -----------------------------------------------------------
 
+def _vocabulary(spark, sf, corpus_name):
+    return terms.vocab_df(terms.unigrams(t.document_terms(spark, sf)), *DF_BOUNDS[corpus_name])
+
+
+def unigram_vocab_reviewed(spark, sf):
+    return _vocabulary(spark, sf, "reviewed")
+
+
+def unigram_vocab_combined(spark, sf):
+    return _vocabulary(spark, sf, "combined")
+
+
+def unigram_vocab_full(spark, sf):
+    return _vocabulary(spark, sf, "full")
+
+
+def combined_token_counts(spark, sf):
+    """Words left by the combined corpus's list of publisher words."""
+    kept = terms.with_words(study.documents(t.papers(spark, sf)), t.lexicon(), stem=False,
+                            drop_words=PUBLISHER_WORDS_COMBINED)
+    return terms.word_rows(kept).groupBy("word").agg(F.count("*").alias("n"))
+
+
 def token_counts(spark, sf):
     tokens = unnest(study.documents(t.papers(spark, sf)), tokenize(F.col("text")), "word")
     return tokens.groupBy("word").agg(F.count("*").alias("n"))
@@ -148,7 +230,7 @@ def unigram_vocab(spark, sf):
 
 
 def pruned_terms(spark, sf):
-    return terms.prune_vocab(terms.unigrams(t.document_terms(spark, sf)), MIN_DF, MAX_DF)
+    return terms.prune_vocab(terms.unigrams(t.stored_terms(spark, sf)), MIN_DF, MAX_DF)
 
 
 def doc_length(spark, sf):
@@ -225,10 +307,8 @@ def term_ranks(spark, sf):
 
 
 def shared_top_terms(spark, sf):
-    """Terms in the top lists of several models (a term has one topic here)."""
-    per_doc = t.stored_terms(spark, sf)
-    lists = [ranking.top_terms(models.long_beta(t.beta(spark, sf, k, per_doc)), 20) for k in (4, 10)]
-    return ranking.shared_top_terms(corpus.stack(*lists), 2)
+    """Terms in the top lists of more than one topic."""
+    return ranking.shared_top_terms(top_terms(spark, sf), 2)
 
 
 def top_docs(spark, sf):
@@ -263,7 +343,7 @@ def dominant_topic_long(spark, sf):
 
 def dominant_topic_exported(spark, sf):
     """The wide table written, read back and ranked, as two jobs share it."""
-    path = f"{checkpoint_dir(spark)}/gamma-wide-{uuid.uuid4()}"
+    path = new_folder(spark, "gamma-wide")
     files.write_table(models.gamma_wide(t.mixtures(spark, sf, K, "year"), K, "year"), path)
     extra = schema.RECENT_PAPERS["year"]
     wide = files.read_papers(spark, path, columns=schema.gamma_wide(K, [extra]))
@@ -311,10 +391,7 @@ def fish_docs_topics(spark, sf):
 
 
 def label_combos(spark, sf):
-    papers = t.papers(spark, sf)
-    before = membership.label_combo_counts(papers).withColumnRenamed("n", "n_all")
-    after = membership.label_combo_counts(corpus.with_abstract(papers))
-    return before.join(after.withColumnRenamed("n", "n_retained"), "labels", "left")
+    return membership.label_combo_counts(t.papers(spark, sf))
 
 
 def label_share(spark, sf):
@@ -388,6 +465,23 @@ def _by_period(scheme, k=K):
     return query
 
 
+def pubs_per_period_topic_c(spark, sf):
+    return trends.pubs_per_period_topic(_dominant_dated(spark, sf), "c")
+
+
+def _trend_of(spark, sf, scheme):
+    by_period = trends.popularity_by_period(_popularity(spark, sf), scheme)
+    return rounded(trends.topic_trend(by_period), "avg_prop_change", "se")
+
+
+def topic_trend_c(spark, sf):
+    return _trend_of(spark, sf, "c")
+
+
+def topic_trend_d(spark, sf):
+    return _trend_of(spark, sf, "d")
+
+
 def topic_trend(spark, sf):
     by_period = trends.popularity_by_period(_popularity(spark, sf), "b")
     trend = membership.with_topic_name(trends.topic_trend(by_period), t.topic_names(spark, K))
@@ -435,13 +529,9 @@ def research_gap_raw(spark, sf):
 
 
 def _scores(spark, sf):
-    per_doc = t.stored_terms(spark, sf)
-
-    def score(k):
-        beta = t.beta(spark, sf, k, per_doc)
-        return models.topic_divergence(beta, k).select(F.lit(k).alias("k"), "score")
-
-    return corpus.stack(*[score(k) for k in SWEEP])
+    rows = terms.unigrams(t.document_terms(spark, sf))
+    keyed = rows.select("term", t.topic_key(F.col("term")).alias("key"), "n")
+    return models.posterior_divergence(keyed, SWEEP)
 
 
 def topic_divergence(spark, sf):
@@ -473,21 +563,46 @@ def document_term_matrix(spark, sf):
 
 
 def lda_topics(spark, sf):
-    index, matrix = _matrix(spark, sf)
-    beta = models.topic_terms(models.fit_lda(matrix, K, seed=13, max_iter=10), index)
-    return ranking.top_terms(models.long_beta(beta), 20)
+    return ranking.top_terms(models.long_beta(lda_study(spark, sf).beta), 20)
+
+
+def lda_study(spark, sf, k=K, seed=13):
+    """A whole study: stemmed terms, matrix, fit, its own gamma and beta."""
+    return study.fit_topics(t.papers(spark, sf), t.lexicon(), k, seed, bounds=(MIN_DF, MAX_DF))
+
+
+def lda_topic_terms(spark, sf):
+    return models.long_beta(lda_study(spark, sf).beta)
 
 
 def lda_doc_topics(spark, sf):
-    _, matrix = _matrix(spark, sf)
-    model = models.fit_lda(matrix, 4, seed=1, max_iter=10)
-    return models.long_gamma(models.doc_topics(model, matrix))
+    return models.long_gamma(lda_study(spark, sf, 4, 1).mixtures)
+
+
+def _dated_study(spark, sf):
+    fitted = lda_study(spark, sf)
+    dated = corpus.with_info(fitted.mixtures, t.papers(spark, sf), ["year"])
+    return fitted, cut_lineage(dated)
+
+
+def lda_topic_trend(spark, sf):
+    """From raw documents to hot and cold topics of a fit."""
+    fitted, dated = _dated_study(spark, sf)
+    by_year = trends.popularity_by_year(corpus.up_to_year(dated), fitted.k)
+    return trends.topic_trend(trends.popularity_by_period(by_year, "b"))
+
+
+def lda_research_gap(spark, sf):
+    """From raw documents to the gaps between a fit's topics."""
+    fitted, dated = _dated_study(spark, sf)
+    return distances.research_gap(
+        distances.topic_dissimilarity(fitted.beta), distances.topic_doc_dissimilarity(dated)
+    )
 
 
 def topic_count_sweep(spark, sf):
     index, matrix = _matrix(spark, sf)
-    scores = models.topic_count_sweep(matrix, index, (2, 4, 8), seed=1, max_iter=5)
-    return models.rank_topic_counts(scores)
+    return models.rank_topic_counts(models.topic_count_sweep(matrix, index, FITTED, seed=1))
 
 
 QUERIES = {
@@ -510,7 +625,10 @@ QUERIES = {
         topic_dissimilarity, topic_doc_dissimilarity, distance_range,
         scaled_dissimilarity, research_gap, research_gap_raw, topic_divergence,
         ranked_topic_counts, document_term_matrix, lda_topics, lda_doc_topics,
-        topic_count_sweep,
+        topic_count_sweep, lda_topic_terms, lda_topic_trend, lda_research_gap,
+        reviewed_papers_csv, recent_papers_csv, top_words_csv, pubs_per_period_topic_c, topic_trend_c, topic_trend_d,
+        cleaned_missing_abstracts, unigram_vocab_reviewed, unigram_vocab_combined, unigram_vocab_full,
+        combined_token_counts,
     )
 }
 for _scheme in "abcd":

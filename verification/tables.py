@@ -13,7 +13,7 @@ from corpusloom.constants import EXPERT_LABELS
 from corpusloom.functions.text import stop_words
 from corpusloom.operators import models
 from corpusloom.plans import study
-from corpusloom.session import cut_lineage, ship_package, spread
+from corpusloom.session import cut_lineage, ship_package
 
 LANGUAGES = ("english", "french", "german", "spanish")
 
@@ -21,9 +21,10 @@ LANGUAGES = ("english", "french", "german", "spanish")
 def papers(spark: SparkSession, sf: str) -> DataFrame:
     """doc_id, lang, title, abstract, year, labels."""
     ship_package(spark)
-    docs = spread(
-        spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text"), "doc_id"
-    )
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text")
+    partitions = spark.conf.get("spark.corpusloom.inputPartitions", None)  # the caller's choice
+    if partitions:
+        docs = docs.repartition(int(partitions), "doc_id")
     title = F.split_part(F.col("text"), F.lit("\n"), F.lit(1))
     bits = F.col("doc_id") % 15 + 1
     labels = [
@@ -62,17 +63,21 @@ def stored_terms(spark: SparkSession, sf: str, *keep: str) -> DataFrame:
 
 def assigned(spark: SparkSession, sf: str, k: int, *keep: str,
              per_doc: DataFrame | None = None) -> DataFrame:
-    """Deterministic topic assignments in place of a sampler's: a term's topic
-    follows from its length, so every engine agrees on it."""
+    """Deterministic topic assignments in place of a sampler's: they follow from
+    term and document, so every engine agrees on them."""
 
     def topic(term: Column) -> Column:
-        return (F.length(term) % k + 1).cast("int")
+        return (topic_key(term) % k + 1).cast("int")
 
     if per_doc is None:
         per_doc = document_terms(spark, sf, *keep)
     return models.assign_topics(per_doc, topic)
 
 
+def topic_key(term: Column) -> Column:
+    return F.length(term) + 7 * F.ascii(term) + F.col("doc_id")
+
+
 def mixtures(spark: SparkSession, sf: str, k: int, *keep: str,
              per_doc: DataFrame | None = None) -> DataFrame:
     gamma = models.posterior_gamma(assigned(spark, sf, k, *keep, per_doc=per_doc), k)
