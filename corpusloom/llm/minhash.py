@@ -24,17 +24,17 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.session import delete_folder, ship_package, store
 
 WORDS = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 12, 3
+BANDS, ROWS = 20, 5
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
-POOL_BITS = 16
+POOL_BITS = 15
 SEED = 23
 TEXT_AT_ONCE = 1 << 19  # characters of text that are cut into shingles together
 PIVOT_ROUNDS = 6        # before what is left is compared exhaustively
@@ -292,78 +292,105 @@ def verified(pairs: DataFrame, sets: DataFrame, bits: np.ndarray, least: float)
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(compare, "a long, b long")
 
 
-def components(spark: SparkSession, links: DataFrame) -> DataFrame:
-    """Stored: node, root (the smallest row of its component) of all linked nodes.
+def contracted(links: DataFrame) -> DataFrame:
+    """u, v: the links of each batch of rows as one star per component."""
 
-    Alternating large-star and small-star steps: every step moves links towards
-    the smallest neighbour, with one aggregation and one join, until none moves.
+    def contract(batches):
+        for batch in batches:
+            parent: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while (up := parent.setdefault(x, x)) != x:
+                    parent[x] = parent[up]
+                    x = up
+                return x
+
+            for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True):
+                a, b = root(a), root(b)
+                parent[max(a, b)] = min(a, b)
+            stars = [(x, root(x)) for x in list(parent) if root(x) != x]
+            u, v = zip(*stars, strict=True) if stars else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return links.select("a", "b").mapInArrow(contract, "u long, v long")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """node, root (the smallest row of its component) of all linked nodes, stored.
+
+    Links are contracted where they lie. Unless that leaves stars already,
+    alternating large-star and small-star steps move every link towards the
+    smallest neighbour, each with one aggregation and one join.
     """
-    edges, path = store(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges, path = store(contracted(links))
+    spark = edges.sparkSession
     while True:
+        ends = edges.select(F.col("u").alias("node"), F.col("v").alias("to")).unionByName(
+            edges.select(F.col("v").alias("node"), F.lit(None).cast("long").alias("to"))
+        )
+        per_node = ends.groupBy("node").agg(
+            F.min("to").alias("low"), F.max("to").alias("high"), F.bool_or(F.col("to").isNull()).alias("centre")
+        )
+        if not per_node.filter("low < high or (centre and low is not null)").limit(1).count():
+            return per_node.select("node", F.coalesce("low", "node").alias("root"))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
-        large, large_path = store(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             least.select("u", F.col("m").alias("v"))
         ).filter("u <> v").distinct()
-        small, small_path = store(small)
-        state = [e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for e in (edges, small)]
-        delete_folder(spark, path)
-        delete_folder(spark, large_path)
-        edges, path = small, small_path
-        if state[0] == state[1]:
-            break
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-        edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    )
+        old, (edges, path) = path, store(small)
+        delete_folder(spark, old)
 
 
-def linked_texts(spark: SparkSession, nodes: DataFrame, sets: DataFrame, bits: np.ndarray, least: float) -> DataFrame:
+def linked_texts(nodes: DataFrame, sets: DataFrame, bits: np.ndarray, least: float) -> DataFrame:
     """node, root for every text that is linked to another one; ``nodes`` has
     one row per text: row, bands."""
     exploded = nodes.filter("bands is not null").select("row", F.posexplode("bands").alias("band", "key"))
     buckets = exploded.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    members, _ = store(exploded.join(buckets, ["band", "key"]).select("band", "key", "row", "n"))
+    # members of buckets; ``open``: not linked to a pivot of its bucket yet
+    members, _ = store(exploded.join(buckets, ["band", "key"]).select(
+        "band", "key", "row", "n", F.col("row").alias("root"), F.lit(True).alias("open")
+    ))
     sets, _ = store(sets.join(members.select("row").distinct(), "row", "left_semi").select("row", "hashes", "counts"))
-    alone = members.select("band", "key", "row", "n", F.col("row").alias("root"))
-    everyone, open_ = alone, alone  # all members; those not linked to a pivot of their bucket yet
+    n_members = members.count()
     found: list[DataFrame] = []
+    asked: list[DataFrame] = []
 
     def test(pairs: DataFrame) -> DataFrame:
-        ordered = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-        found.append(store(verified(ordered, sets, bits, least))[0])
-        return components(spark, _union(found))
+        new = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+        if asked:
+            new = new.join(_union(asked), ["a", "b"], "left_anti")
+        asked.append(store(new)[0])
+        found.append(store(verified(asked[-1], sets, bits, least))[0])
+        return components(_union(found))
 
     for turn in range(PIVOT_ROUNDS + 1):
-        pivots, _ = store(open_.groupBy("band", "key").agg(F.min(F.struct("row", "root")).alias("p")).select(
-            "band", "key", F.col("p.row").alias("pivot"), F.col("p.root").alias("pivot_root")
-        ))
-        linked = test(everyone.join(pivots, ["band", "key"]).filter("root <> pivot_root").select(
-            F.col("row").alias("x"), F.col("pivot").alias("y")
-        ))
-        root_of = linked.withColumnRenamed("node", "row")
-        everyone, _ = store(alone.drop("root").join(root_of, "row", "left").select(
-            "band", "key", "row", "n", F.coalesce("root", "row").alias("root")
+        pivots = members.filter("open").groupBy("band", "key").agg(F.min(F.struct("row", "root")).alias("pivot"))
+        members, _ = store(members.join(pivots, ["band", "key"]))
+        linked = test(members.filter("root <> pivot.root").select(
+            F.col("row").alias("x"), F.col("pivot.row").alias("y")
         ))
+        rooted = members.drop("root").join(linked.withColumnRenamed("node", "row"), "row", "left").withColumn(
+            "root", F.coalesce("root", "row")
+        )
         # a bucket of one component is done, and so is who shares its pivot's component
-        split = everyone.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-        reached = pivots.join(linked, F.col("pivot") == F.col("node"), "left").select(
-            "band", "key", F.coalesce("root", "pivot").alias("done")
-        ).join(split.filter("low <> high").select("band", "key"), ["band", "key"])
-        open_, _ = store(open_.select("band", "key", "row").join(everyone, ["band", "key", "row"]).join(
-            reached, ["band", "key"]
-        ).filter("root <> done").select("band", "key", "row", "n", "root"))
-        left = open_.agg(F.count("*"), F.sum("n")).first()
+        state = rooted.groupBy("band", "key").agg(
+            F.min("root").alias("low"), F.max("root").alias("high"),
+            F.max(F.when(F.col("row") == F.col("pivot.row"), F.col("root"))).alias("done"),
+        ).filter("low <> high").select("band", "key", "done")
+        members, _ = store(rooted.join(state, ["band", "key"]).select(
+            "band", "key", "row", "n", "root", (F.col("open") & (F.col("root") != F.col("done"))).alias("open")
+        ))
+        left = members.filter("open").agg(F.count("*"), F.sum("n")).first()
         if not left[0]:
             return linked
-        if turn == PIVOT_ROUNDS or left[1] <= REMAINDER * everyone.count():
+        if turn == PIVOT_ROUNDS or left[1] <= REMAINDER * n_members:
             break
     # the rest of each bucket against all its members of other components
-    rest = open_.select("band", "key", F.col("row").alias("x"), F.col("root").alias("x_root"))
-    return test(everyone.join(rest, ["band", "key"]).filter("root <> x_root").select("x", F.col("row").alias("y")))
+    rest = members.filter("open").select("band", "key", F.col("row").alias("x"), F.col("root").alias("x_root"))
+    return test(members.join(rest, ["band", "key"]).filter("root <> x_root").select("x", F.col("row").alias("y")))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -391,7 +418,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     texts, _ = store(rows.groupBy("text_a", "text_b").agg(
         F.min(first).alias("first"), F.count("*").alias("n"), F.min(F.struct("row", "bands")).alias("node"),
     ).select("text_a", "text_b", "first", "n", "node.row", "node.bands"))
-    linked = linked_texts(spark, texts, sets, bits, least).withColumnRenamed("node", "row")
+    linked = linked_texts(texts, sets, bits, least).withColumnRenamed("node", "row")
     delete_folder(spark, sets_path)
     rooted = texts.select("text_a", "text_b", "row", "first", "n").join(linked, "row", "left").withColumn(
         "root", F.coalesce("root", "row")
