@@ -59,7 +59,7 @@ def _count(text: Column, chars: str) -> Column:
 
 def entropy(text: Column) -> Column:
     """Bits per character of a text's own character distribution."""
-    n = F.length(text)
+    n = F.greatest(F.length(text), F.lit(1))
     kinds = F.array_distinct(F.split(text, ""))
     each = F.transform(kinds, lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n)
     return F.coalesce(F.aggregate(

@@ -73,7 +73,7 @@ def brute_classes(rows):
     groups = {}
     for i in range(len(rows)):
         groups.setdefault(root(i), []).append(rows[i][0])
-    return sorted(sorted(g, key=str) for g in groups.values())
+    return sorted((sorted(g, key=str) for g in groups.values()), key=str)
 
 
 def test_classes_equal_brute_force(spark, corpus):
