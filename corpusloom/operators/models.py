@@ -33,17 +33,17 @@ def fit_lda(dtm: DataFrame, k: int, seed: int, max_iter: int = 20) -> Distribute
     return LDA(k=k, seed=seed, maxIter=max_iter, optimizer="em", featuresCol="features").fit(dtm)
 
 
-def stored_counts(model: DistributedLDAModel) -> DataFrame:
+def stored_counts(model: DistributedLDAModel) -> tuple[DataFrame, str]:
     """id, counts: topic counts of all terms (negative ids) and documents of a
     fit, written by the executors and read back as a table, so neither matrix
-    ever exists on the driver."""
+    ever exists on the driver; and the folder, for ``delete_folder``."""
     spark = SparkSession.active()
     path = new_folder(spark, "lda")
     model.save(path)
     vertices = spark.read.parquet(f"{path}/oldModel/data/topicCounts")
     if set(vertices.columns) != {"id", "topicWeights"}:
         raise ValueError(f"unexpected layout of a saved model: {vertices.columns}")
-    return vertices.select("id", vector_to_array("topicWeights").alias("counts"))
+    return vertices.select("id", vector_to_array("topicWeights").alias("counts")), path
 
 
 def topic_terms(counts: DataFrame, k: int, index: DataFrame, delta: float = DELTA) -> DataFrame:
@@ -208,9 +208,9 @@ def topic_count_sweep(dtm: DataFrame, index: DataFrame, ks: Sequence[int], seed:
     (dtm, dtm_path), (index, index_path) = store(dtm), store(index)
 
     def score(k: int) -> tuple[int, float]:
-        counts = stored_counts(fit_lda(dtm, k, seed, max_iter))
+        counts, path = stored_counts(fit_lda(dtm, k, seed, max_iter))
         result = topic_divergence(topic_terms(counts, k, index), k).first()["score"]
-        delete_folder(spark, counts.inputFiles()[0].partition("/oldModel/")[0])
+        delete_folder(spark, path)
         return k, result
 
     with ThreadPoolExecutor(parallel) as pool:

@@ -52,7 +52,7 @@ def fit_topics(papers: DataFrame, lexicon: Iterable[str], k: int, seed: int, *ke
     index = cut_lineage(dtm.term_index(kept))
     matrix = cut_lineage(dtm.to_dtm(kept, index))
     model = models.fit_lda(matrix, k, seed, max_iter)
-    counts = models.stored_counts(model)
+    counts, _ = models.stored_counts(model)
     mixtures = models.doc_topics(counts, k, matrix)
     if keep:
         mixtures = corpus.with_info(mixtures, papers, keep)

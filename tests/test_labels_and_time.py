@@ -41,8 +41,10 @@ def test_label_share(reviewed):
 
 
 def test_label_combos(reviewed):
-    got = {r["labels"]: r["n"] for r in membership.label_combo_counts(corpus.with_abstract(reviewed)).collect()}
-    assert got == {labels: kept for labels, (kept, _) in COMBOS.items()}
+    got = {r["labels"]: (r["n_retained"], r["n_all"]) for r in membership.label_combo_counts(reviewed).collect()}
+    assert got == COMBOS
+    empty = reviewed.withColumn("abstract", F.lit(""))
+    assert {r["n_retained"] for r in membership.label_combo_counts(empty).collect()} == {None}
 
 
 def test_concordance_and_crosstab(spark):

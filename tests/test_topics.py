@@ -171,7 +171,7 @@ def test_document_topics_are_the_fits_own(spark):
     kept = cut_lineage(terms.all_terms(per_doc, 2, 100))
     index = cut_lineage(dtm.term_index(kept))
     matrix = cut_lineage(dtm.to_dtm(kept, index))
-    counts = models.stored_counts(models.fit_lda(matrix, 3, seed=2, max_iter=3))
+    counts, _ = models.stored_counts(models.fit_lda(matrix, 3, seed=2, max_iter=3))
     length = {r["doc_id"]: r["n"] for r in kept.groupBy("doc_id").agg(F.sum("n").alias("n")).collect()}
     by_length = sorted(round(sum(r["counts"]), 3) for r in counts.filter("id >= 0").collect())
     assert by_length == sorted(map(float, length.values()))
