@@ -7,9 +7,9 @@
    number of bits between 1 and log2(BUCKETS).
 3. Consistent weighted samples of these weights are banded: texts that agree in
    all samples of a band are candidates.
-4. In a band bucket, members are compared with one pivot, not with each other.
-   Members that are not linked to it are compared with further pivots, and the
-   few that remain with all members of the bucket outside their group.
+4. In a band bucket, members are compared with two pivots, not with each other.
+   Members that are not linked to them are compared with further pivots, and
+   the few that remain with all members of the bucket outside their group.
 5. A candidate pair is a link if its weighted Jaccard similarity, computed on the
    stored shingles, reaches the threshold (or the one with equal weights does).
    Classes are connected components.
@@ -353,35 +353,35 @@ def linked_texts(nodes: DataFrame, sets: DataFrame, bits: np.ndarray, least: flo
     members, _ = store(exploded.join(buckets, ["band", "key"]).select(
         "band", "key", "row", "n", F.col("row").alias("root"), F.lit(True).alias("open")
     ))
-    sets, _ = store(sets.join(members.select("row").distinct(), "row", "left_semi").select("row", "hashes", "counts"))
+    # the members' rows grow with the corpus: a plan that broadcasts them would not hold
+    sets, _ = store(sets.hint("merge").join(members.select("row").distinct(), "row", "left_semi").select(
+        "row", "hashes", "counts"
+    ))
     n_members = members.count()
     found: list[DataFrame] = []
-    asked: list[DataFrame] = []
 
     def test(pairs: DataFrame) -> DataFrame:
-        new = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-        if asked:
-            new = new.join(_union(asked), ["a", "b"], "left_anti")
-        asked.append(store(new)[0])
-        found.append(store(verified(asked[-1], sets, bits, least))[0])
+        ordered = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+        found.append(store(verified(ordered, sets, bits, least))[0])
         return components(_union(found))
 
     for turn in range(PIVOT_ROUNDS + 1):
-        pivots = members.filter("open").groupBy("band", "key").agg(F.min(F.struct("row", "root")).alias("pivot"))
+        one = F.struct("row", "root")
+        pivots = members.filter("open").groupBy("band", "key").agg(F.array(F.min(one), F.max(one)).alias("pivots"))
         members, _ = store(members.join(pivots, ["band", "key"]))
-        linked = test(members.filter("root <> pivot.root").select(
+        linked = test(members.select("row", "root", F.explode("pivots").alias("pivot")).filter("root <> pivot.root").select(
             F.col("row").alias("x"), F.col("pivot.row").alias("y")
         ))
         rooted = members.drop("root").join(linked.withColumnRenamed("node", "row"), "row", "left").withColumn(
             "root", F.coalesce("root", "row")
         )
-        # a bucket of one component is done, and so is who shares its pivot's component
+        # a bucket of one component is done, and so is who shares a pivot's component
+        of_pivot = [F.max(F.when(F.col("row") == F.col("pivots")[i]["row"], F.col("root"))) for i in (0, 1)]
         state = rooted.groupBy("band", "key").agg(
-            F.min("root").alias("low"), F.max("root").alias("high"),
-            F.max(F.when(F.col("row") == F.col("pivot.row"), F.col("root"))).alias("done"),
+            F.min("root").alias("low"), F.max("root").alias("high"), F.array(*of_pivot).alias("done"),
         ).filter("low <> high").select("band", "key", "done")
         members, _ = store(rooted.join(state, ["band", "key"]).select(
-            "band", "key", "row", "n", "root", (F.col("open") & (F.col("root") != F.col("done"))).alias("open")
+            "band", "key", "row", "n", "root", (F.col("open") & ~F.array_contains("done", F.col("root"))).alias("open")
         ))
         left = members.filter("open").agg(F.count("*"), F.sum("n")).first()
         if not left[0]:
