@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.tokens import encoder
-from corpusloom.session import ship_package
+from corpusloom.session import cut_lineage, ship_package
 
 SPAN = 4096  # lengths whose sums one task runs through
 
@@ -77,4 +77,4 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """``context_limits`` of the documents' histogram. Takes ``text``; repeated
     rows count each, null texts count as empty, other columns do not matter."""
     ship_package(docs.sparkSession)
-    return context_limits(histogram(docs, vocabulary))
+    return context_limits(cut_lineage(histogram(docs, vocabulary)))  # read twice, encoded once
