@@ -7,9 +7,9 @@
    number of bits between 1 and log2(BUCKETS).
 3. Consistent weighted samples of these weights are banded: texts that agree in
    all samples of a band are candidates.
-4. In a band bucket, members are compared with two pivots, not with each other.
-   Members that are not linked to them are compared with further pivots, and
-   the few that remain with all members of the bucket outside their group.
+4. In a band bucket, members are compared with ``PIVOTS`` pivots, not with each
+   other. Members that are not linked to them are compared with further pivots,
+   and the few that remain with all members of the bucket outside their group.
 5. A candidate pair is a link if its weighted Jaccard similarity, computed on the
    stored shingles, reaches the threshold (or the one with equal weights does).
    Classes are connected components.
@@ -37,6 +37,7 @@ BUCKETS = 1 << BUCKET_BITS
 POOL_BITS = 15
 SEED = 23
 TEXT_AT_ONCE = 1 << 19  # characters of text that are cut into shingles together
+PIVOTS = 16             # per bucket and round
 PIVOT_ROUNDS = 6        # before what is left is compared exhaustively
 ROWS_AT_ONCE = 256      # rows of packed shingles that are unpacked together
 REMAINDER = 4           # exhaustive comparisons allowed earlier, per bucket member
@@ -366,8 +367,10 @@ def linked_texts(nodes: DataFrame, sets: DataFrame, bits: np.ndarray, least: flo
         return components(_union(found))
 
     for turn in range(PIVOT_ROUNDS + 1):
-        one = F.struct("row", "root")
-        pivots = members.filter("open").groupBy("band", "key").agg(F.array(F.min(one), F.max(one)).alias("pivots"))
+        nth = F.row_number().over(Window.partitionBy("band", "key").orderBy("row"))
+        pivots = members.filter("open").select("band", "key", "row", "root", nth.alias("nth")).filter(
+            F.col("nth") <= PIVOTS
+        ).groupBy("band", "key").agg(F.collect_list(F.struct("row", "root")).alias("pivots"))
         members, _ = store(members.join(pivots, ["band", "key"]))
         linked = test(members.select("row", "root", F.explode("pivots").alias("pivot")).filter("root <> pivot.root").select(
             F.col("row").alias("x"), F.col("pivot.row").alias("y")
@@ -376,9 +379,9 @@ def linked_texts(nodes: DataFrame, sets: DataFrame, bits: np.ndarray, least: flo
             "root", F.coalesce("root", "row")
         )
         # a bucket of one component is done, and so is who shares a pivot's component
-        of_pivot = [F.max(F.when(F.col("row") == F.col("pivots")[i]["row"], F.col("root"))) for i in (0, 1)]
+        of_pivots = F.collect_set(F.when(F.array_contains("pivots.row", F.col("row")), F.col("root")))
         state = rooted.groupBy("band", "key").agg(
-            F.min("root").alias("low"), F.max("root").alias("high"), F.array(*of_pivot).alias("done"),
+            F.min("root").alias("low"), F.max("root").alias("high"), of_pivots.alias("done"),
         ).filter("low <> high").select("band", "key", "done")
         members, _ = store(rooted.join(state, ["band", "key"]).select(
             "band", "key", "row", "n", "root", (F.col("open") & ~F.array_contains("done", F.col("root"))).alias("open")
