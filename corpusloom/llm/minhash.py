@@ -7,9 +7,11 @@
    number of bits between 1 and log2(BUCKETS).
 3. Consistent weighted samples of these weights are banded: texts that agree in
    all samples of a band are candidates.
-4. In a band bucket, members are compared with ``PIVOTS`` pivots, not with each
-   other. Members that are not linked to them are compared with further pivots,
-   and the few that remain with all members of the bucket outside their group.
+4. A band bucket is dealt out in blocks of bounded size, and all members of a
+   block, and ``PIVOTS`` pivots of the bucket, are compared with each other. What a
+   bucket then still holds of other components than its largest one is compared,
+   block by block, with the whole bucket: every pair of a bucket is compared or
+   stands in one component.
 5. A candidate pair is a link if its weighted Jaccard similarity, computed on the
    stored shingles, reaches the threshold (or the one with equal weights does).
    Classes are connected components.
@@ -37,10 +39,14 @@ BUCKETS = 1 << BUCKET_BITS
 POOL_BITS = 15
 SEED = 23
 TEXT_AT_ONCE = 1 << 19  # characters of text that are cut into shingles together
-PIVOTS = 16             # per bucket and round
-PIVOT_ROUNDS = 6        # before what is left is compared exhaustively
+PIVOTS = 16             # of a bucket of several blocks, in each block
+PIVOT_ROUNDS = 4        # before what is left is compared exhaustively, at least 2
 ROWS_AT_ONCE = 256      # rows of packed shingles that are unpacked together
-REMAINDER = 4           # exhaustive comparisons allowed earlier, per bucket member
+REMAINDER = 1           # rows dealt out for the exhaustive comparison allowed earlier, per bucket member
+EARLY_BANDS = 5         # of each kind, compared first
+BLOCK_ROWS, BLOCK_BYTES = 1024, 1 << 23  # of a bucket's blocks: members, bytes of shingles
+FEW = 6                 # members that are compared pair by pair
+RARE = 32               # a shingle of so few members is counted by pairs, not in a matrix product
 
 _rng = np.random.default_rng(SEED)
 _BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -247,7 +253,7 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
 
 
 def banded(sets: DataFrame, bits: np.ndarray) -> DataFrame:
-    """doc_id, text_a, text_b, row, bands (null for texts without words)."""
+    """doc_id, text_a, text_b, row, bands (null for texts without words), size (bytes of shingles)."""
 
     def sample(batches):
         for part in _slices(batches):
@@ -265,32 +271,101 @@ def banded(sets: DataFrame, bits: np.ndarray) -> DataFrame:
                 for i, row in zip(full, found, strict=True):
                     keys[i] = row
             yield pa.RecordBatch.from_arrays(
-                [*(part[c] for c in ("doc_id", "text_a", "text_b", "row")), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "text_a", "text_b", "row", "bands"],
+                [*(part[c] for c in ("doc_id", "text_a", "text_b", "row")), pa.array(keys, pa.list_(pa.int64())),
+                 pa.array([len(h) + len(c) for h, c in zip(hashes, counts, strict=True)], pa.int64())],
+                ["doc_id", "text_a", "text_b", "row", "bands", "size"],
             )
 
     return sets.select("doc_id", "text_a", "text_b", "row", "hashes", "counts").mapInArrow(
-        sample, "doc_id long, text_a long, text_b long, row long, bands array<long>"
+        sample, "doc_id long, text_a long, text_b long, row long, bands array<long>, size long"
     )
 
 
 # --- links and classes ------------------------------------------------------------
 
-def verified(pairs: DataFrame, sets: DataFrame, bits: np.ndarray, least: float) -> DataFrame:
-    """a, b of the pairs whose similarity reaches ``least``."""
+def links_among(sides: list[tuple[bytes, bytes]], bits: np.ndarray, least: float) -> np.ndarray:
+    """Which of these texts (packed shingles and counts) are linked: ``similarity``
+    of all pairs at once, in a symmetrical matrix."""
+    n = len(sides)
+    linked = np.zeros((n, n), bool)
+    if n <= FEW:
+        for i in range(n):
+            for j in range(i):
+                linked[i, j] = linked[j, i] = similarity(sides[i], sides[j], bits) >= least
+        return linked
+    hashes = [np.frombuffer(h, np.uint32) for h, _ in sides]
+    sizes = np.array([len(h) for h in hashes])
+    counts = np.concatenate([np.frombuffer(c, np.uint32) if c else np.ones(k, np.uint32)
+                             for (_, c), k in zip(sides, sizes, strict=True)]).astype(np.int64)
+    flat = np.concatenate(hashes)
+    member = np.repeat(np.repeat(np.arange(n), sizes), counts)
+    level = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    flat = np.repeat(flat, counts)
+    # a shingle that stands c times is c items: two texts share as many as the smaller count
+    weight = weights(flat, None, bits)
+    total = np.bincount(member, weight, n)
+    key = (flat.astype(np.uint64) << np.uint64(32)) | level.astype(np.uint64)
+    order = np.argsort(key, kind="stable")
+    key, member, weight, first = key[order], member[order], weight[order], (level == 0)[order]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    width = np.diff([*starts, len(key)])
+    common, shared = np.zeros(n * n), np.zeros(n * n)
+    low = np.repeat(width <= RARE, width)
+    k_low, m_low, w_low, f_low = key[low], member[low], weight[low], first[low]
+    for step in range(1, min(RARE, n)):
+        at = np.flatnonzero(k_low[step:] == k_low[:-step])
+        if not len(at):
+            break
+        place = m_low[at] * n + m_low[at + step]
+        common += np.bincount(place, w_low[at], n * n)
+        shared += np.bincount(place, f_low[at].astype(np.float64), n * n)
+    common, shared = (x.reshape(n, n) + x.reshape(n, n).T for x in (common, shared))
+    dense = np.flatnonzero(width > RARE)
+    for some in np.array_split(dense, -(-len(dense) // 1024)) if len(dense) else ():
+        column = np.repeat(np.arange(len(some)), width[some])
+        items = np.repeat(starts[some] - np.cumsum(width[some]) + width[some], width[some]) + np.arange(len(column))
+        held = np.zeros((n, len(some)))
+        held[member[items], column] = 1
+        common += (held * weight[starts[some]]) @ held.T
+        shared += (held * first[starts[some]]) @ held.T
+    union_w, union = total[:, None] + total - common, sizes[:, None] + sizes - shared
+    with np.errstate(invalid="ignore", divide="ignore"):
+        linked = np.maximum(common / union_w, shared / union) >= least
+    np.fill_diagonal(linked, False)
+    return linked
+
+
+def stars(linked: np.ndarray) -> np.ndarray:
+    """The smallest place of each place's component."""
+    n = len(linked)
+    label = np.arange(n)
+    a, b = np.nonzero(linked)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            return label
+        label = new
 
-    def compare(batches):
-        for batch in _slices(batches):
-            x = zip(batch["hashes_a"].to_pylist(), batch["counts_a"].to_pylist(), strict=True)
-            y = zip(batch["hashes_b"].to_pylist(), batch["counts_b"].to_pylist(), strict=True)
-            linked = [similarity(p, q, bits) >= least for p, q in zip(x, y, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    def side(name: str) -> DataFrame:
-        return sets.select(F.col("row").alias(name), F.col("hashes").alias(f"hashes_{name}"),
-                           F.col("counts").alias(f"counts_{name}"))
+def linked_in_blocks(dealt: DataFrame, block: list[str], sets: DataFrame, bits: np.ndarray, least: float) -> DataFrame:
+    """a, b: stars that connect what is linked within each block of rows. A row
+    may come twice. With ``root``, rows of one root are taken as linked and a
+    block of a single root gives nothing."""
+    rooted = "root" in dealt.columns
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(compare, "a long, b long")
+    def compare(table: pa.Table) -> pa.Table:
+        row, at = np.unique(table["row"].to_numpy(), return_index=True)
+        roots = table["root"].to_numpy()[at] if rooted else row
+        out = np.arange(len(row))
+        if len(np.unique(roots)) > 1:
+            hashes, counts = table["hashes"].take(pa.array(at)).to_pylist(), table["counts"].take(pa.array(at)).to_pylist()
+            out = stars(links_among(list(zip(hashes, counts, strict=True)), bits, least))
+        moved = out != np.arange(len(row))
+        return pa.table({"a": pa.array(row[moved], pa.int64()), "b": pa.array(row[out[moved]], pa.int64())})
+
+    return dealt.join(sets, "row").groupBy(*block).applyInArrow(compare, "a long, b long")
 
 
 def contracted(links: DataFrame) -> DataFrame:
@@ -347,12 +422,19 @@ def components(links: DataFrame) -> DataFrame:
 
 def linked_texts(nodes: DataFrame, sets: DataFrame, bits: np.ndarray, least: float) -> DataFrame:
     """node, root for every text that is linked to another one; ``nodes`` has
-    one row per text: row, bands."""
-    exploded = nodes.filter("bands is not null").select("row", F.posexplode("bands").alias("band", "key"))
-    buckets = exploded.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    # members of buckets; ``open``: not linked to a pivot of its bucket yet
+    one row per text: row, bands, size (bytes of shingles)."""
+    exploded = nodes.filter("bands is not null").select("row", "size", F.posexplode("bands").alias("band", "key"))
+    early = F.col("band") % BANDS < EARLY_BANDS
+    buckets = exploded.groupBy("band", "key").agg(
+        F.count("*").alias("n"), F.sum("size").alias("bytes"),
+        F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64(F.lit(SEED), "row")).alias("y"),
+    ).filter("n > 1")
+    # of buckets of the same members one is enough
+    buckets = buckets.groupBy("n", "bytes", "x", "y").agg(
+        F.min(F.struct((~early).alias("late"), "band", "key")).alias("b")
+    ).select("b.band", "b.key", _parts("n", "bytes").alias("parts"))
     members, _ = store(exploded.join(buckets, ["band", "key"]).select(
-        "band", "key", "row", "n", F.col("row").alias("root"), F.lit(True).alias("open")
+        "band", "key", "row", "size", "parts", F.col("row").alias("root")
     ))
     # the members' rows grow with the corpus: a plan that broadcasts them would not hold
     sets, _ = store(sets.hint("merge").join(members.select("row").distinct(), "row", "left_semi").select(
@@ -361,39 +443,70 @@ def linked_texts(nodes: DataFrame, sets: DataFrame, bits: np.ndarray, least: flo
     n_members = members.count()
     found: list[DataFrame] = []
 
-    def test(pairs: DataFrame) -> DataFrame:
-        ordered = pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-        found.append(store(verified(ordered, sets, bits, least))[0])
+    def test(dealt: DataFrame, block: list[str]) -> DataFrame:
+        found.append(store(linked_in_blocks(dealt, ["band", "key", *block], sets, bits, least))[0])
         return components(_union(found))
 
-    for turn in range(PIVOT_ROUNDS + 1):
-        nth = F.row_number().over(Window.partitionBy("band", "key").orderBy("row"))
-        pivots = members.filter("open").select("band", "key", "row", "root", nth.alias("nth")).filter(
+    turn = 0
+    while True:
+        now = members.filter(early) if turn == 0 else members
+        part = F.pmod(F.xxhash64("row", "band", F.lit(turn)), "parts")
+        nth = F.row_number().over(Window.partitionBy("band", "key").orderBy(F.xxhash64("row", F.lit(turn)), "row"))
+        pivots = now.filter("parts > 1").select("band", "key", "row", "parts", nth.alias("nth")).filter(
             F.col("nth") <= PIVOTS
-        ).groupBy("band", "key").agg(F.collect_list(F.struct("row", "root")).alias("pivots"))
-        members, _ = store(members.join(pivots, ["band", "key"]))
-        linked = test(members.select("row", "root", F.explode("pivots").alias("pivot")).filter("root <> pivot.root").select(
-            F.col("row").alias("x"), F.col("pivot.row").alias("y")
-        ))
+        ).select("band", "key", "row", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        linked = test(now.select("band", "key", "row", part.alias("part")).unionByName(pivots), ["part"])
+        # a bucket of one component is done, and so is one whose members were all in one block
         rooted = members.drop("root").join(linked.withColumnRenamed("node", "row"), "row", "left").withColumn(
             "root", F.coalesce("root", "row")
         )
-        # a bucket of one component is done, and so is who shares a pivot's component
-        of_pivots = F.collect_set(F.when(F.array_contains("pivots.row", F.col("row")), F.col("root")))
-        state = rooted.groupBy("band", "key").agg(
-            F.min("root").alias("low"), F.max("root").alias("high"), of_pivots.alias("done"),
-        ).filter("low <> high").select("band", "key", "done")
-        members, _ = store(rooted.join(state, ["band", "key"]).select(
-            "band", "key", "row", "n", "root", (F.col("open") & ~F.array_contains("done", F.col("root"))).alias("open")
-        ))
-        left = members.filter("open").agg(F.count("*"), F.sum("n")).first()
-        if not left[0]:
+        several = rooted.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter(
+            "low <> high").select("band", "key")
+        compared = (F.col("parts") == 1) & (early if turn == 0 else F.lit(True))
+        members, _ = store(rooted.filter(~compared).join(several, ["band", "key"]).select(members.columns))
+        turn += 1
+        if turn == 1:
+            continue
+        if members.isEmpty():
             return linked
-        if turn == PIVOT_ROUNDS or left[1] <= REMAINDER * n_members:
+        rest = _rest(members)
+        rows = rest.agg(F.sum(F.when(F.col("other"), F.col("mains") + F.col("others")).otherwise(F.col("others")))).first()[0]
+        if turn >= PIVOT_ROUNDS or rows <= REMAINDER * n_members:
             break
-    # the rest of each bucket against all its members of other components
-    rest = members.filter("open").select("band", "key", F.col("row").alias("x"), F.col("root").alias("x_root"))
-    return test(members.join(rest, ["band", "key"]).filter("root <> x_root").select("x", F.col("row").alias("y")))
+    # other components than the bucket's largest: each block of them with each block of the bucket
+    own = F.when(F.col("other"), F.pmod(F.xxhash64("row", "band"), "others")).otherwise(F.pmod(F.xxhash64("row", "band"), "mains"))
+
+    def upto(n: str):
+        return F.when(F.col(n) > 0, F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).otherwise(F.array().cast("array<long>"))
+
+    with_main = F.transform(upto("mains"), lambda j: F.struct(F.lit(True).alias("main"), F.col("own").alias("i"), j.alias("j")))
+    with_other = F.transform(upto("others"), lambda j: F.struct(
+        F.lit(False).alias("main"), F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
+    of_main = F.transform(upto("others"), lambda i: F.struct(F.lit(True).alias("main"), i.alias("i"), F.col("own").alias("j")))
+    cells = rest.withColumn("own", own).select("band", "key", "row", "root", F.explode(
+        F.when(F.col("other"), F.concat(with_main, with_other)).otherwise(of_main)).alias("cell")
+    ).select("band", "key", "row", "root", "cell.*")
+    return test(cells, ["main", "i", "j"])
+
+
+def _parts(n: str, size: str):
+    """How many blocks so many members and bytes take."""
+    return F.ceil(F.greatest(F.col(n) / BLOCK_ROWS, F.col(size) / BLOCK_BYTES)).cast("long")
+
+
+def _rest(members: DataFrame) -> DataFrame:
+    """The members with ``other`` (not of the bucket's largest component) and the
+    blocks that its largest (``mains``) and other components (``others``) take."""
+    per_root = members.groupBy("band", "key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    largest = F.max(F.struct("n", "root", "size"))
+    per_bucket = per_root.groupBy("band", "key").agg(
+        largest.alias("main"), F.sum("n").alias("all_n"), F.sum("size").alias("all_size")
+    ).select("band", "key", F.col("main.root").alias("main_root"), F.col("main.n").alias("n"), F.col("main.size").alias("s"),
+             (F.col("all_n") - F.col("main.n")).alias("on"), (F.col("all_size") - F.col("main.size")).alias("os"))
+    return members.join(per_bucket, ["band", "key"]).select(
+        "band", "key", "row", "root", (F.col("root") != F.col("main_root")).alias("other"),
+        _parts("n", "s").alias("mains"), _parts("on", "os").alias("others"),
+    )
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -419,8 +532,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     rows, _ = store(banded(sets, bits))
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
     texts, _ = store(rows.groupBy("text_a", "text_b").agg(
-        F.min(first).alias("first"), F.count("*").alias("n"), F.min(F.struct("row", "bands")).alias("node"),
-    ).select("text_a", "text_b", "first", "n", "node.row", "node.bands"))
+        F.min(first).alias("first"), F.count("*").alias("n"), F.min(F.struct("row", "bands", "size")).alias("node"),
+    ).select("text_a", "text_b", "first", "n", "node.row", "node.bands", "node.size"))
     linked = linked_texts(texts, sets, bits, least).withColumnRenamed("node", "row")
     delete_folder(spark, sets_path)
     rooted = texts.select("text_a", "text_b", "row", "first", "n").join(linked, "row", "left").withColumn(

@@ -99,6 +99,41 @@ def test_pivots_lose_no_link(spark, corpus, monkeypatch):
     assert len({r.class_id for r in got if r.class_id is not None}) == len(brute_classes(corpus)) - 1
 
 
+def test_bridge_between_members_of_two_pivots(spark, monkeypatch):
+    """p1 - a - b - p2: only a and b join the two groups, and neither is a pivot."""
+    for name, value in (("PIVOTS", 1), ("PIVOT_ROUNDS", 2), ("REMAINDER", 0), ("BLOCK_ROWS", 2)):
+        monkeypatch.setattr(minhash, name, value, raising=False)
+    rng = random.Random(5)
+    words = [prose(rng, 200)]
+    for step in range(3):  # four edits keep 176 of 196 shingles, eight are too many
+        new = list(words[-1])
+        for at in range(4):
+            new[10 + 15 * (4 * step + at)] = f"edit{rng.randint(0, 10**9)}"
+        words.append(new)
+    p1, a, b, p2 = (" ".join(w) for w in words)
+    other = [" ".join(prose(rng, 200)) for _ in range(20)]
+    rows = [(i, t, "s") for i, t in enumerate([p1, p2, a, b, *other])]
+    sets, _ = minhash.store(minhash.shingle_sets(docs_of(spark, rows).coalesce(1)))
+    bits = minhash.bits_of_buckets(sets)
+    # one bucket holds them all
+    nodes = sets.selectExpr("row", "array(cast(7 as bigint)) as bands", "cast(length(hashes) as bigint) as size")
+    linked = minhash.linked_texts(nodes, sets, bits, 0.8).collect()
+    assert len(linked) == 4 and len({r.root for r in linked}) == 1
+
+
+def test_links_among_many_equal_those_of_pairs():
+    rng = random.Random(11)
+    origin = prose(rng, 120) + ["same"] * 40
+    texts = [" ".join(near_copy(rng, origin, rng.randint(0, 12)) + ["again and on it goes"] * rng.randint(0, 9)) for _ in range(70)]
+    texts += [" ".join(prose(rng, 50)) for _ in range(10)] + ["x"]
+    packed = [(h.tobytes(), b"" if (c == 1).all() else c.tobytes()) for h, c in minhash.shingles(texts)]
+    bits = np.random.default_rng(1).integers(1, 19, minhash.BUCKETS).astype(np.uint8)
+    got = minhash.links_among(packed, bits, 0.8)
+    want = np.array([[a != b and minhash.similarity(packed[a], packed[b], bits) >= 0.8 for b in range(len(packed))]
+                     for a in range(len(packed))])
+    assert (got == want).all() and 100 < want.sum() < 4900
+
+
 def test_one_per_class_keeps_columns(spark, corpus):
     df = docs_of(spark, corpus)
     out = minhash.one_per_class(df)
