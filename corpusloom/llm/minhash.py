@@ -5,8 +5,10 @@
    ``BUCKETS`` cells (bounded: it goes to the driver and to the workers). The
    weight of a shingle is its count times its inverse document frequency, a whole
    number of bits between 1 and log2(BUCKETS).
-3. Consistent weighted samples of these weights are banded: texts that agree in
-   all samples of a band are candidates.
+3. Consistent weighted samples of these weights are banded, and as many samples
+   under equal weights: texts that agree in all samples of a band are candidates.
+   A pair is a link by either similarity (step 5), so each has its own bands and
+   is a candidate with probability 1 - (1 - s**ROWS)**BANDS: 0.9996 at 0.8.
 4. A band bucket is dealt out in blocks of bounded size, and all members of a
    block, and ``PIVOTS`` pivots of the bucket, are compared with each other. What a
    bucket then still holds of other components than its largest one is compared,
@@ -55,6 +57,7 @@ _IN_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] =
 _P = 0x9E3779B97F4A7C15
 _P_INVERSE = pow(_P, -1, 2**64)
 _STEP = [pow(0xC2B2AE3D27D4EB4F, j + 1, 2**64) for j in range(WORDS)]
+_ORDERS = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 # --- shingles ---------------------------------------------------------------------
@@ -245,6 +248,13 @@ def sampler() -> Sampler:
     return Sampler()
 
 
+def set_samples(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Samples under equal weights: what comes first in each of as many orders of
+    the shingles. One row per set, one column per sample, as ``Sampler.samples``."""
+    mixed = _mix(_mix(hashes.astype(np.uint64) * np.uint64(_P)) * np.uint64(_P))
+    return np.stack([np.minimum.reduceat(mixed * order, starts) for order in _ORDERS], 1)
+
+
 def band_keys(samples: np.ndarray) -> np.ndarray:
     keys = np.zeros((len(samples), BANDS), np.uint64)
     for j in range(ROWS):
@@ -267,7 +277,9 @@ def banded(sets: DataFrame, bits: np.ndarray) -> DataFrame:
                     np.frombuffer(counts[i], np.uint32) if counts[i] else np.ones(n, np.uint32)
                     for i, n in zip(full, sizes, strict=True)
                 ])
-                found = band_keys(sampler().samples(h, weights(h, c, bits), np.cumsum([0, *sizes[:-1]])))
+                starts = np.cumsum([0, *sizes[:-1]])
+                found = np.hstack([band_keys(sampler().samples(h, weights(h, c, bits), starts)),
+                                   band_keys(set_samples(h, starts))])
                 for i, row in zip(full, found, strict=True):
                     keys[i] = row
             yield pa.RecordBatch.from_arrays(

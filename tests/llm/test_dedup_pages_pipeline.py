@@ -167,6 +167,26 @@ def test_samples_agree_as_often_as_sets_overlap():
     assert abs(same - exact) < 0.05
 
 
+def test_links_by_equal_weights_are_candidates(spark):
+    """Equal sets of shingles with very different counts: weighted similarity about 0.35."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(20):
+        passage = " ".join(prose(rng, 30)) + " "
+        rows += [(2 * i, passage * 100, "s"), (2 * i + 1, passage * 35, "s")]
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs_of(spark, rows)).collect()}
+    assert all(got[2 * i] == got[2 * i + 1] == 2 * i for i in range(20))
+
+
+def test_set_samples_agree_as_often_as_sets_overlap():
+    pool = np.unique(np.random.default_rng(1).integers(0, 2**32, 4000, dtype=np.uint64).astype(np.uint32))
+    agree = []
+    for n in range(0, 1500, 100):  # 900 of 1,100 shingles shared
+        a, b = pool[n:n + 1000], pool[n + 100:n + 1100]
+        agree.append((minhash.set_samples(a, np.array([0])) == minhash.set_samples(b, np.array([0]))).mean())
+    assert abs(np.mean(agree) - 900 / 1100) < 0.03
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{margin:0}</style></head><body>
 <div id="cookie-notice">We use cookies, as everybody does; please accept them all.</div>
 <header><h1>The Site</h1></header><nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav>
