@@ -3,8 +3,10 @@
 Base patterns find assigned secrets, access keys and long hexadecimal strings.
 A wider candidate pattern finds other key-like strings; most of those are
 harmless, so their values' hashes are counted over the whole corpus by distinct
-owners and repositories: a value that many owners hold is a copied example, one
-that a single owner holds looks like a live credential and is added as a span.
+owners and repositories: a value that many owners hold, or very many repositories
+of one owner, is a copied example; another looks like a live credential and is
+added as a span. A text counts once, however many copies of it stand in however
+many sources: copying a document does not make its key an example.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ from pyspark.sql import functions as F
 from corpusloom.session import cut_lineage, ship_package
 
 KINDS = ("assign", "access", "hex", "live")
-MAX_OWNERS = 1          # a value of more owners is a widely copied example
+MAX_OWNERS = 1          # a value of more owners is a widely copied example,
+MAX_REPOSITORIES = 1000  # and so is one of more repositories
 LEAST_ENTROPY = 3.2     # bits per character of a key-like string
 MASK = "[SECRET]"
 
@@ -70,7 +73,7 @@ def _hash(value: str) -> int:
 
 _CANDIDATE = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("hash", pa.int64())])
 _SCANNED = (
-    "doc_id long, owner string, repository string, n_assign long, n_access long, n_hex long, "
+    "doc_id long, owner string, repository string, text_a long, text_b long, n_assign long, n_access long, n_hex long, "
     "base_sha256 string, found array<struct<start: long, kind: int, end: long, hash: long>>"
 )
 
@@ -94,46 +97,60 @@ def scan(docs: DataFrame, owner: str, repository: str) -> DataFrame:
                     for start, kind, end, value in base + other_keys(text, base)
                 ])
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["owner"], batch["repository"],
+                [*(batch[c] for c in ("doc_id", "owner", "repository", "text_a", "text_b")),
                  *[pa.array(c, pa.int64()) for c in columns[:3]],
                  pa.array(columns[3], pa.string()), pa.array(columns[4], pa.list_(_CANDIDATE))],
-                ["doc_id", "owner", "repository", "n_assign", "n_access", "n_hex", "base_sha256", "found"],
+                ["doc_id", "owner", "repository", "text_a", "text_b", "n_assign", "n_access", "n_hex", "base_sha256", "found"],
             )
 
+    text = F.col("text").cast("string")
     narrow = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col(owner).cast("string").alias("owner"),
-        F.col(repository).cast("string").alias("repository"), F.col("text").cast("string").alias("text"),
+        F.col(repository).cast("string").alias("repository"), text.alias("text"),
+        F.xxhash64(text).alias("text_a"), F.xxhash64(F.lit(1), text).alias("text_b"),
     )
     return cut_lineage(narrow.mapInArrow(find, _SCANNED).withColumn("row", F.monotonically_increasing_id()))
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """hash, owners, repositories: distinct counts in three map-side combined
-    steps, so a value that a third of all rows hold is counted before it moves."""
-    return (
-        candidates.groupBy("hash", "owner", "repository").agg(F.lit(1).alias("one"))
-        .groupBy("hash", "owner").agg(F.count("*").alias("repositories"))
-        .groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
+    """hash, owners, repositories; every distinct text counts once.
+
+    ``owners``: so many owners are enough to hold all distinct texts with the
+    value (1 if one owner has them all, whoever has copies of them too).
+    ``repositories``: distinct ones, a text standing in the first of its own.
+    Counts are combined map-side in every step, so a value that a third of all
+    rows hold is counted before it moves.
+    """
+    repository = F.struct(F.col("repository").isNull().alias("none"), "repository")
+    held = candidates.groupBy("hash", "text_a", "text_b", "owner").agg(F.min(repository).alias("repository"))
+    by_owner = held.groupBy("hash", "owner").agg(F.count("*").alias("texts")).groupBy("hash").agg(
+        F.count("*").alias("some"), F.max("texts").alias("most"))
+    by_text = held.groupBy("hash", "text_a", "text_b").agg(F.min("repository").alias("repository")).groupBy(
+        "hash", "repository").agg(F.count("*").alias("texts")).groupBy("hash").agg(
+        F.count("*").alias("repositories"), F.sum("texts").alias("texts"))
+    return by_owner.join(by_text, "hash").select(
+        "hash", F.least(F.col("some"), 1 + F.col("texts") - F.col("most")).alias("owners"), "repositories"
     )
 
 
 def find_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id",
-                 max_owners: int = MAX_OWNERS) -> DataFrame:
+                 max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied.
 
     ``spans``: kind:start:end of all base spans and of the key-like strings that
-    no more than ``max_owners`` owners hold, by start, then kind, comma-joined.
+    no more than ``max_owners`` owners and ``max_repositories`` repositories hold
+    (see ``ownership``), by start, then kind, comma-joined.
     ``n_live`` and ``n_copied`` count the document's spans (base ones too) whose
     value is owner-specific or widely copied. A null text is empty; a null owner
-    or repository is one of its own; repeated rows are documents each but one
-    repository; an empty table gives no row.
+    or repository is one of its own; repeated rows are documents each but count
+    once; an empty table gives no row.
     """
     ship_package(docs.sparkSession)
     rows = scan(docs, owner, repository)
-    candidates = rows.select("row", "owner", "repository", F.explode("found").alias("f")).select(
-        "row", "owner", "repository", "f.*"
+    candidates = rows.select("row", "owner", "repository", "text_a", "text_b", F.explode("found").alias("f")).select(
+        "row", "owner", "repository", "text_a", "text_b", "f.*"
     )
-    live = F.col("owners") <= max_owners
+    live = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
     judged = candidates.select("row", "start", "kind", "end", "hash").join(ownership(candidates), "hash")
     span = F.struct("start", "kind", "end")
     per_row = judged.groupBy("row").agg(
@@ -164,7 +181,7 @@ def masked(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def mask_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id",
-                 max_owners: int = MAX_OWNERS) -> DataFrame:
+                 max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """The documents with all their secrets masked; ``n_chars`` follows the text.
 
     Base spans follow from the text alone. Values of key-like strings that are
@@ -172,11 +189,12 @@ def mask_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_
     """
     ship_package(docs.sparkSession)
     rows = scan(docs, owner, repository)
-    candidates = rows.select("doc_id", "owner", "repository", F.explode("found").alias("f")).select(
-        "doc_id", "owner", "repository", "f.*"
+    candidates = rows.select("doc_id", "owner", "repository", "text_a", "text_b", F.explode("found").alias("f")).select(
+        "doc_id", "owner", "repository", "text_a", "text_b", "f.*"
     )
     keys = candidates.filter("kind = 3").select("doc_id", "start", "end", "hash")
-    live = keys.join(ownership(candidates).filter(F.col("owners") <= max_owners), "hash").select(
+    owned = ownership(candidates).filter((F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories))
+    live = keys.join(owned, "hash").select(
         F.col("doc_id").alias("_id"), "start", "end", "hash"
     ).groupBy("_id").agg(F.collect_set("hash").alias("_live"))
     columns = docs.columns

@@ -225,6 +225,21 @@ def test_secrets(spark):
     assert masked[0].length == "a" and secrets.mask_secrets(df).columns == df.columns
 
 
+def test_copies_of_a_text_share_its_key(spark):
+    key, sample, odd = "Zx9-QwErTy_1234567890-abcDEF", "Ab1_ExampleExample_998877665544", "Qq7_LmNoPqRs_5566778899-zzTT"
+    rows = [(0, f"key {key}", "a"), (1, f"key {key}", "b"), (2, f"my {key}", "b"), (3, f"key {key}", "c")]
+    rows += [(10 + i, f"text {i}: {sample}", "a") for i in range(12)]
+    rows += [(50, f"x {odd}", "a"), (51, f"y {odd}", "b"), (52, f"y {odd}", "c")]
+    df = docs_of(spark, rows)
+    got = {r.doc_id: r for r in secrets.find_secrets(df, max_repositories=10).collect()}
+    assert all(got[i].n_live == 1 and got[i].spans.startswith("live:") for i in range(4))  # b has both texts
+    assert all(got[10 + i].n_copied == 1 and not got[10 + i].spans for i in range(12))  # one owner, many documents
+    assert all(got[i].n_copied == 1 for i in (50, 51, 52))
+    masked = {r.doc_id: r.text for r in secrets.mask_secrets(df, max_repositories=10).collect()}
+    assert masked[0] == masked[1] == masked[3] == "key [SECRET]" and masked[10] == rows[4][1] and masked[50] == f"x {odd}"
+    assert {r.n_live for r in secrets.find_secrets(df).filter("doc_id between 10 and 30").collect()} == {1}
+
+
 def test_quality(spark):
     rng = random.Random(4)
     words = "the dry stream bed holds water after rain and fish return to pools".split()
