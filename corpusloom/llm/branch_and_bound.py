@@ -28,9 +28,10 @@ LONG = 2**63
 
 
 def best_of(query: np.ndarray, vertical: np.ndarray, masses: np.ndarray, own: np.ndarray, k: int,
-            step: int = DIMS_PER_BLOCK) -> tuple[np.ndarray, np.ndarray]:
+            step: int = DIMS_PER_BLOCK, ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Places and exact scores of the columns of ``vertical`` that may be among
-    the k best for ``query``; ``own`` marks columns that take no part."""
+    the k best for ``query``; ``own`` marks columns that take no part. Columns
+    of one id (``ids``: its place, where ids come twice) count once."""
     dim = len(query)
     order = np.argsort(-np.abs(query), kind="stable")
     alive = np.flatnonzero(~own)
@@ -49,7 +50,12 @@ def best_of(query: np.ndarray, vertical: np.ndarray, masses: np.ndarray, own: np
         if len(alive) > k:
             # both masses are sums of integers below 2**53 and exact; the root is rounded up
             rest = np.sqrt(max(left_q, 0.0) * np.maximum(left_v, 0.0)) * (1 + 1e-9)
-            least = np.partition(partial - rest, -k)[-k]
+            sure = partial - rest
+            if ids is not None:
+                best = np.full(ids.max() + 1, -np.inf)
+                np.maximum.at(best, ids[alive], sure)
+                sure = best[best > -np.inf]
+            least = np.partition(sure, -k)[-k] if len(sure) >= k else -np.inf
             keep = partial + rest >= least
             if keep.sum() < 0.7 * len(alive):
                 alive, partial, left_v, whole = alive[keep], partial[keep], left_v[keep], False
@@ -59,6 +65,7 @@ def best_of(query: np.ndarray, vertical: np.ndarray, masses: np.ndarray, own: np
 def cell_search(k: int):
     def cell(left: pa.Table, right: pa.Table):
         dim = left["dim"][0].as_py()
+        right, ids = vectors.without_copies(right, dim)
         q_id, v_id = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
         q = np.floor(vectors.matrix(left["v"], dim) * SCALE)
         v = np.floor(vectors.matrix(right["v"], dim) * SCALE)
@@ -71,7 +78,7 @@ def cell_search(k: int):
         for i in range(len(q)):
             own = v_id == q_id[i]
             if exact:
-                place, score = best_of(q[i], vertical, masses, own, k)
+                place, score = best_of(q[i], vertical, masses, own, k, ids=ids)
                 score = score.astype(np.int64)
             else:
                 place = np.flatnonzero(~own)

@@ -105,6 +105,7 @@ def cell_search(k: int, centres: dict[int, np.ndarray], batch: int = 128, pairs:
     def cell(left: pa.Table, right: pa.Table):
         dim = left["dim"][0].as_py()
         turn, middle = rotation(dim), centres[dim]
+        right, ids = vectors.without_copies(right, dim)
         q_id, v_id = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
         q, v = vectors.matrix(left["v"], dim), vectors.matrix(right["v"], dim)
         q_norm, v_norm = np.sqrt((q * q).sum(1)), np.sqrt((v * v).sum(1))
@@ -136,6 +137,11 @@ def cell_search(k: int, centres: dict[int, np.ndarray], batch: int = 128, pairs:
             likely = np.argpartition(-estimate, first - 1, 1)[:, :first]
             sure = exact(np.repeat(np.arange(len(likely)) + start, first), likely.ravel()).reshape(-1, first)
             sure[np.take_along_axis(same, likely, 1)] = -np.inf
+            if ids is not None:  # an id that comes twice counts once, with its best score
+                order = np.argsort(-sure, 1, kind="stable")
+                sure, of = np.take_along_axis(sure, order, 1), np.take_along_axis(ids[likely], order, 1)
+                again = np.tril(of[:, :, None] == of[:, None, :], -1).any(2)
+                sure[again] = -np.inf
             least = np.partition(sure, -k, 1)[:, -k] if first >= k else np.full(len(sure), -np.inf)
             qi, vi = np.nonzero((estimate + off >= least[:, None] - 1e-9) & ~same)
             qi += start

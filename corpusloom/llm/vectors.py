@@ -45,6 +45,17 @@ def matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+def without_copies(table: pa.Table, dim: int) -> tuple[pa.Table, np.ndarray | None]:
+    """The rows without those equal in ``vec_id`` and vector to another one; and
+    the place of each row's id among the distinct ids, if ids still come twice."""
+    ids, place = np.unique(table["vec_id"].to_numpy(), return_inverse=True)
+    if len(ids) == len(place):
+        return table, None
+    rows = np.column_stack([place, matrix(table["v"], dim)])
+    first = np.sort(np.unique(rows, axis=0, return_index=True)[1])
+    return table.take(pa.array(first)), None if len(first) == len(ids) else place[first]
+
+
 def top_k(query: np.ndarray, vec_id: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """Places of each query's k best pairs: larger score, then smaller id; an id
     that comes twice counts once."""

@@ -92,6 +92,20 @@ def test_odd_rows(spark, search, score):
     assert np.allclose([g[3] for g in got], [w[3] for w in want])
 
 
+@pytest.mark.parametrize(("search", "score"), [(one_bit_codes.nearest, cosine), (branch_and_bound.highest, product)])
+@pytest.mark.parametrize("shift", [0.0, 1e-3])
+def test_repeated_ids_leave_room_for_others(spark, search, score, shift):
+    """The ids that are best for a query stand in many rows, equal or nearly equal ones."""
+    vectors = rows_of(9, 600, 48)
+    vectors[1:4] = vectors[0] * np.array([[1.5], [1.4], [1.3]], np.float32) + rows_of(10, 3, 48) * 0.02
+    copies = [(i, (vectors[i] * (1 - shift * c)).tolist(), "s", "d") for i in (1, 2, 3) for c in range(40)]
+    df = spark.createDataFrame([(i, v, "s", "d") for i, v in enumerate(vectors.tolist())] + copies, SCHEMA)
+    got = found(search(df, df.filter("vec_id = 0"), 5))
+    want = brute(dict(enumerate(vectors)), [0], 5, score)
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert np.allclose([g[3] for g in got], [w[3] for w in want])
+
+
 def test_empty_tables(spark):
     df = table(spark, [[1.0, 2.0], [2.0, 1.0]])
     for search in (one_bit_codes.nearest, branch_and_bound.highest):
