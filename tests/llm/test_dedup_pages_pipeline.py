@@ -167,6 +167,18 @@ def test_samples_agree_as_often_as_sets_overlap():
     assert abs(same - exact) < 0.05
 
 
+def test_weights_do_not_fade_as_the_corpus_grows(spark):
+    """Two million shingles that stand once, and some that stand in every or every fourth row."""
+    rng = np.random.default_rng(4)
+    hashes = rng.permutation(2**32 // 1999)[:2_000_064].astype(np.uint32) * np.uint32(1999)
+    own, common = hashes[64:].reshape(200, -1), hashes[:64]
+    rows = [(np.concatenate([own[i], common[:32], common[32:][: 32 * (i % 4 == 0)]]).tobytes(),) for i in range(200)]
+    df = spark.createDataFrame([(bytearray(r[0]),) for r in rows], "hashes binary")
+    bits, n = minhash.bits_of_buckets(df), 2_000_000 + 200 * 32 + 50 * 32
+    for some, documents in ((own[:9].ravel(), 1), (common[:32], 200), (common[32:], 50)):
+        assert abs(minhash.weights(some, None, bits).mean() - np.log2(n / documents)) < 0.8
+
+
 def test_links_by_equal_weights_are_candidates(spark):
     """Equal sets of shingles with very different counts: weighted similarity about 0.35."""
     rng = random.Random(21)
