@@ -56,6 +56,12 @@ BOILER_NAMES = frozenset(
     "recommended recommendations trending popular newsletter subscribe subscription signup login register search form "
     "widget widgets copyright legal pagination pager toolbar tags skip".split()
 )
+#: Of these, what an inner article or main does not undo: it is a comment, a teaser, an ad or a notice itself.
+FIRM_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr comment "
+    "comments discussion reply replies respond disqus related recommended recommendations trending popular newsletter".split()
+)
+WITHOUT = frozenset("no with without has have hide hidden not".split())  # what follows in a class is no role of the element
 CONTENT_NAMES = frozenset("article content main post entry story body text".split())
 
 NAMES = (
@@ -73,25 +79,43 @@ class Block:
         self.container, self.content, self.boiler = container, content, boiler
 
 
-def _judge(tag: str, attributes: str, content: bool, boiler: bool) -> tuple[bool, bool, bool]:
-    """Whether an element is inside content or boilerplate, and hidden."""
+BY_NAME, FIRM = 1, 2  # marks of boilerplate
+
+
+def _names(words: str) -> set[str]:
+    """Words in class names or ids: "page-no-header" tells of no header."""
+    names: set[str] = set()
+    for word in words.split():
+        for token in _TOKEN.findall(word):
+            if token.lower() in WITHOUT:
+                break
+            names.add(token.lower())
+    return names
+
+
+def _judge(tag: str, attributes: str, content: bool, boiler: int) -> tuple[bool, int, bool]:
+    """Whether an element is inside content or boilerplate, and hidden.
+
+    A name alone is a weak mark (``BY_NAME``), as layouts name their wrappers
+    after their parts: an article or main inside undoes it.
+    """
     found: dict[str, str] = {}
     if "=" in attributes:
         for name, *values in _ATTRIBUTE.findall(attributes):
             found.setdefault(name.lower(), entities.unescape("".join(values)))
     role = found.get("role", "").lower()
-    names = {t.lower() for k in ("class", "id") for t in _TOKEN.findall(found.get(k, ""))}
+    names = _names(found.get("class", "")) | _names(found.get("id", ""))
     hidden = bool(_HIDDEN.search(found.get("style", ""))) or (
         "hidden" in attributes and _HIDDEN_FLAG.search(_QUOTED.sub("", attributes)) is not None
     )
     if tag in BOILER_TAGS or role in BOILER_ROLES or (tag == "header" and not content):
-        return False, True, hidden
+        return False, FIRM, hidden
     if tag in ("article", "main") or role in ("main", "article"):
         # a reader's comment may be an article of its own
-        return (not boiler and not names & {"comment", "comments", "reply"},
-                boiler or bool(names & {"comment", "comments", "reply"}), hidden)
+        firm = boiler == FIRM or bool(names & {"comment", "comments", "reply"})
+        return not firm, FIRM if firm else 0, hidden
     if names & BOILER_NAMES and tag not in ("body", "html"):
-        return False, True, hidden
+        return False, FIRM if names & FIRM_NAMES else max(boiler, BY_NAME), hidden
     return content or (bool(names & CONTENT_NAMES) and not boiler), boiler, hidden
 
 
@@ -99,7 +123,7 @@ def blocks(page: str) -> list[Block]:
     """Text blocks in page order. Elements that hold no text for reading and
     hidden ones give none."""
     found: list[Block] = []
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, container, content, boiler
+    stack: list[tuple[str, int, bool, int]] = [("", 0, False, 0)]  # tag, container, content, boiler
     pieces: list[str] = []
     linked, in_link, containers = 0, 0, 0
     at, last = 0, page.rfind(">") + 1
@@ -110,7 +134,7 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(entities.unescape("".join(pieces)).split())
             if text:
                 tag, container, content, boiler = stack[-1]
-                found.append(Block(text, linked, tag, container, content, boiler))
+                found.append(Block(text, linked, tag, container, content, boiler > 0))
             pieces.clear()
         linked = 0
 
@@ -173,6 +197,16 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
+_UPPER = bytes(range(65, 91))
+
+
+def upper_share(text: str) -> float:
+    """Share of upper-case characters of the whole text."""
+    if text.isascii():
+        return 1 - len(text.encode().translate(None, _UPPER)) / len(text)
+    return sum(map(str.isupper, text)) / len(text)
+
+
 def features(found: list[Block]) -> np.ndarray:
     rows = []
     for b in found:
@@ -181,7 +215,7 @@ def features(found: list[Block]) -> np.ndarray:
         rows.append((
             1.0, b.content, b.boiler, np.log1p(n) - 3, min(b.linked / n, 1.0),
             sum(b.text.count(c) for c in ".,;:!?") / words, b.tag in ("h1", "h2", "h3"), b.tag in ("li", "td", "dt", "dd"),
-            "©" in b.text, sum(map(str.isupper, b.text[:200])) / min(n, 200),
+            "©" in b.text, upper_share(b.text),
         ))
     return np.array(rows, np.float64).reshape(-1, len(NAMES))
 

@@ -225,6 +225,23 @@ def test_extraction(spark):
     assert html_cut.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("wrapper", [
+    "<div class='content-sidebar-wrap'><main>{}</main></div>", "<div class='content with-sidebar'>{}</div>",
+    "<div id='page-no-header'><article>{}</article></div>", "<div class='search-page menu-open'><div role='main'>{}</div></div>",
+])
+def test_layout_names_do_not_empty_a_page(wrapper):
+    body = "".join(f"<p>Paragraph {i} of the text, which is long enough. It goes on, as paragraphs do.</p>" for i in range(4))
+    page = wrapper.format(body + "<div class='comments'><article><p>Nice, I liked it.</p></article></div>")
+    got = html_cut.main_text(page, html_cut.PRIOR)
+    assert got.count("Paragraph") == 4 and "Nice" not in got
+
+
+def test_upper_share_is_of_the_whole_block():
+    for text in ("A" * 200 + "b" * 600, "Ä" * 200 + "b" * 600):
+        block = html_cut.Block(text, 0, "p", 0, False, False)
+        assert html_cut.features([block])[0][-1] == 0.25
+
+
 def test_minimum_cut_against_all_labellings():
     rng = random.Random(6)
     for _ in range(60):
