@@ -213,3 +213,9 @@ def test_divergence_in_one_pass_equals_pairs(spark):
         pairs = [(a, b) for a in range(k) for b in range(a + 1, k)]
         total = sum(0.5 * ((beta[:, a] - beta[:, b]) * np.log(beta[:, a] / beta[:, b])).sum() for a, b in pairs)
         assert got[k] == pytest.approx(total / (k * (k - 1)))
+
+
+def test_registered_sweep_fits_every_topic_count():
+    from verification import queries
+
+    assert tuple(queries.FITTED) == tuple(range(2, 31))
