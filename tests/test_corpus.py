@@ -116,3 +116,16 @@ def test_tables_round_trip(spark, tmp_path):
     g = spark.createDataFrame([(1, 0.25, 0.75)], wide)
     files.write_table(g, str(tmp_path / "gamma"))
     assert files.read_papers(spark, str(tmp_path / "gamma"), columns=wide).first() == g.first()
+
+
+def test_reviewed_files_follow_the_partitions(spark, tmp_path, monkeypatch):
+    from verification import queries
+
+    papers = spark.createDataFrame(
+        [(i, f"t{i}", "a,\nb", 2000, "x") for i in range(40)],
+        "doc_id bigint, title string, abstract string, year int, labels string",
+    ).repartition(7)
+    monkeypatch.setattr(queries.t, "papers", lambda *_: papers)
+    monkeypatch.setattr(queries, "new_folder", lambda *_: str(tmp_path / "csv"))
+    assert queries.reviewed_papers_csv(spark, "").count() == 40
+    assert len(list((tmp_path / "csv").glob("part-*"))) == 7

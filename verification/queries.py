@@ -80,7 +80,7 @@ def reviewed_papers_csv(spark, sf):
     papers = t.papers(spark, sf).select(
         "labels", F.col("doc_id").cast("string").alias("source_id"), "title", "abstract",
         F.col("year").cast("string").alias("publication_year"),
-    ).repartition(3, "source_id")
+    )
     lines = _with_lines_above(papers, ["Reviewed papers, final list", "a", "b"],
                               ["Labels", "Id", "Title", "Abstract", "Publication Year"])
     lines.write.option("quoteAll", True).option("escape", '"').csv(path)
