@@ -40,3 +40,16 @@ def count_items(items: str, min_count: int = 1) -> str:
 def sum_of(items: str, field: str) -> str:
     """Sum one integer field of an array of structs."""
     return f"aggregate({items}, 0L, (total, x) -> total + x.{field})"
+
+
+def search_steps(items: str) -> str:
+    """Falling powers of two that together reach every place of an array."""
+    top = f"cast(log2(size({items}) + 1) as int)"
+    return f"transform(sequence(0, {top}), i -> cast(shiftleft(1L, {top} - i) as int))"
+
+
+def place_in(items: str, value: str, steps: str) -> str:
+    """Place (from 0) of ``value`` in a sorted array by binary search with its
+    ``search_steps``; NULL if it is not there."""
+    below = f"aggregate({steps}, 0, (p, step) -> case when get({items}, p + step - 1) < {value} then p + step else p end)"
+    return let(below, "p", f"case when get({items}, p) = {value} then p end")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.constants import BIGRAM_T, PUBLISHER_WORDS, TRIGRAM_T
-from corpusloom.functions.arrays import count_items, let, sum_of
+from corpusloom.functions.arrays import count_items, let, place_in, search_steps, sum_of
 from corpusloom.functions.stemming import stem_array, stem_word
 from corpusloom.functions.text import (
     mask_stems, mask_words, ngram_term, ngrams, not_numeric, remove_words, tokenize,
@@ -77,38 +77,26 @@ def collocation_t(n_gram: str, n_words: list[str], length: str) -> str:
     return f"try_divide({p} - {chance}, sqrt({p} * (1 - {p}) / {size}))"
 
 
-def _word_counts() -> str:
-    """``words`` to struct<unigrams, at>: words that occur more than once with
-    their counts, and for every position how often its word occurs. Positions
-    are sorted by word and, once the runs are counted, back: no lookups."""
-    by_word = "sort_array(transform(words, (w, i) -> named_struct('w', w, 'i', i)))"
-    starts = "array_compact(transform(s, (x, j) -> case when j = 0 or not (x.w <=> get(s, j - 1).w) then j end))"
-    runs = """transform(starts, (p, j) -> named_struct('w', get(s, p).w, 'p', p,
-        'n', cast(coalesce(get(starts, j + 1), size(s)) - p as bigint)))"""
-    back = """sort_array(flatten(transform(runs, r -> transform(
-        slice(s, r.p + 1, cast(r.n as int)), x -> named_struct('i', x.i, 'n', r.n)))))"""
-    result = f"""named_struct(
-        'unigrams', transform(filter(runs, r -> r.w is not null and r.n > 1), r -> named_struct('item', r.w, 'n', r.n)),
-        'at', transform({back}, x -> x.n))"""
-    return let(by_word, "s", let(starts, "starts", let(runs, "runs", result)))
-
-
 def _collocations(n: int, threshold: float) -> Column:
-    """Tested n-grams of a row that holds words, at and length. A word that
-    occurs once is in none: the n-gram's count is at most that of each word."""
+    """Tested n-grams of a row that holds words, unigrams and length.
+
+    N-grams that are frequent enough for the test are few, so only they look
+    their words up, by binary search in the sorted list of repeated words. A word
+    that occurs once is not in it, and an n-gram with such a word is dropped.
+    """
     at_least = min_count_for_bigram if n == 2 else min_count_for_trigram
-    gram = "concat(" + ", ' ', ".join(f"get(d.words, i + {j})" for j in range(n)) + ")"
-    counts = ", ".join(f"'n{j + 1}', get(d.at, i + {j})" for j in range(n))
-    repeated = " and ".join(f"get(d.at, i + {j}) > 1" for j in range(n))
-    grams = let("named_struct('words', words, 'at', at)", "d", f"""array_compact(transform(d.words, (w, i) ->
-        case when {repeated} and {gram} is not null then named_struct('g', {gram}, {counts}) end))""")
-    t = collocation_t("c.n", [f"c.item.n{j + 1}" for j in range(n)], "doc.length")
-    fields = ", ".join(f"'w{j}', split_part(c.item.g, ' ', {j})" for j in range(1, n + 1))
-    scored = f"transform(doc.candidates, c -> named_struct({fields}, 'n', c.n, 't', {t}))"
-    return F.expr(let(
-        f"named_struct('candidates', {count_items(grams, at_least(threshold))}, 'length', length)", "doc",
-        f"filter({scored}, g -> g.t > {float(threshold)!r}D)",
-    ))
+    parts = ", ".join(f"split_part(c.item, ' ', {j})" for j in range(1, n + 1))
+    found = ", ".join(
+        "'n{0}', get(doc.ns, {1})".format(j, place_in("doc.items", f"g.w[{j - 1}]", "doc.steps")) for j in range(1, n + 1)
+    )
+    t = collocation_t("g.n", [f"g.n{j}" for j in range(1, n + 1)], "doc.length")
+    fields = ", ".join(f"'w{j}', g.w[{j - 1}]" for j in range(1, n + 1))
+    looked_up = f"""transform(transform(doc.candidates, c -> named_struct('n', c.n, 'w', array({parts}))),
+        g -> named_struct('n', g.n, 'w', g.w, {found}))"""
+    scored = f"transform({looked_up}, g -> named_struct({fields}, 'n', g.n, 't', {t}))"
+    document = f"""named_struct('candidates', {count_items(ngrams("words", n), at_least(threshold))}, 'length', length,
+        'items', transform(unigrams, u -> u.item), 'ns', transform(unigrams, u -> u.n), 'steps', {search_steps("unigrams")})"""
+    return F.expr(let(document, "doc", f"filter({scored}, g -> g.t > {float(threshold)!r}D)"))
 
 
 def doc_terms(docs: DataFrame, *, bigram_t: float = BIGRAM_T,
@@ -124,13 +112,13 @@ def doc_terms(docs: DataFrame, *, bigram_t: float = BIGRAM_T,
     others = [c for c in docs.columns if c != "words"]
     counted = evaluated_once(
         docs,
-        {"words": F.col("words"), "_counts": F.expr(_word_counts())},
-        F.size("_counts.unigrams") > 0, *others,
-    ).withColumns({"unigrams": F.col("_counts.unigrams"), "at": F.col("_counts.at")}).drop("_counts")
+        {"words": F.col("words"), "unigrams": F.expr(count_items("array_compact(words)", 2))},
+        F.size("unigrams") > 0, *others,
+    )
     return counted.withColumn("length", F.expr(sum_of("unigrams", "n"))).withColumns({
         "bigrams": _collocations(2, bigram_t),
         "trigrams": _collocations(3, trigram_t),
-    }).drop("words", "at")
+    }).drop("words")
 
 
 def ngram_counts(docs: DataFrame, n: int) -> DataFrame:

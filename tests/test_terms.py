@@ -150,3 +150,36 @@ def test_stem_vocab_merges_inflections(spark):
     assert got == {("rivers", "river"), ("river", "river")}
     per_doc = terms.doc_terms(terms.with_words(df, ["the"], stem=True))
     assert [tuple(r) for r in terms.unigrams(per_doc).collect()] == [(1, "river", 3)]
+
+
+def test_place_in_a_sorted_array(spark):
+    from corpusloom.functions.arrays import place_in, search_steps
+
+    for n in (0, 1, 2, 3, 7, 8, 9, 100):
+        items = sorted(f"{i}é" for i in range(0, 2 * n, 2))
+        rows = spark.createDataFrame([(items, f"{i}é") for i in range(-1, 2 * n + 1)], "items array<string>, x string")
+        got = rows.select("x", F.expr(place_in("items", "x", search_steps("items"))).alias("p")).collect()
+        assert [r.p for r in got] == [items.index(r.x) if r.x in items else None for r in got]
+
+
+def test_collocations_of_a_long_document(spark):
+    """Counts of words in an n-gram equal plain counts, however many words there are."""
+    rng = random.Random(11)
+    tokens = [rng.choice(["", "w", "x"]) + f"word{min(int(rng.paretovariate(0.8)), 4000):04d}" for _ in range(40_000)]
+    tokens = [None if rng.random() < 0.1 else t for t in tokens]
+    docs = spark.createDataFrame([(1, tokens)], "doc_id long, words array<string>")
+    per_doc = terms.doc_terms(docs)
+    counts = Counter(t for t in tokens if t)
+    length = sum(n for n in counts.values() if n > 1)
+    for size in (2, 3):
+        grams = Counter(g for g in zip(*(tokens[i:] for i in range(size)), strict=False) if None not in g)
+        want = {}
+        for gram, n in grams.items():
+            p, chance = n / length, 1.0
+            for word in gram:
+                chance *= counts[word] / length
+            t = (p - chance) / (p * (1 - p) / length) ** 0.5
+            if all(counts[word] > 1 for word in gram) and t > (1.6 if size == 2 else 1.4):
+                want[gram] = (n, round(t, 9))
+        rows = terms.collocations(per_doc, size).collect()
+        assert {tuple(r[f"w{j + 1}"] for j in range(size)): (r.n, round(r.t, 9)) for r in rows} == want and want
