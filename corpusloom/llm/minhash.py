@@ -3,7 +3,7 @@
 1. Every whole text becomes its set of five-word shingles with counts, stored.
 2. Document frequencies of all shingles are added up in a hashed table that has
    twice as many cells as the corpus has shingles, from ``BUCKETS`` up to
-   2**MOST_BITS (it goes to the workers; the driver gets the frequent cells). The
+   2**MOST_BITS (one byte a cell goes to the driver and on to the workers). The
    weight of a shingle is its count times its inverse document frequency, a whole
    number of bits between 1 and log2(cells). Of n shingles a cell holds n / cells
    others on average, so a shingle of d documents weighs about
@@ -35,6 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.llm.graph import components, join_unique
 from corpusloom.session import delete_folder, ship_package, store
 
 WORDS = 5
@@ -44,6 +45,7 @@ BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS  # at least
 MOST_BITS = 24          # of the cells of document frequencies
 COUNT_AT_ONCE = 1 << 20  # shingles that are counted together in a worker
+RANGE_BITS = 14         # of the cells whose counts travel as one block
 POOL_BITS = 15
 SEED = 23
 TEXT_AT_ONCE = 1 << 19  # characters of text that are cut into shingles together
@@ -52,7 +54,7 @@ PIVOT_ROUNDS = 4        # before what is left is compared exhaustively, at least
 ROWS_AT_ONCE = 256      # rows of packed shingles that are unpacked together
 REMAINDER = 1           # rows dealt out for the exhaustive comparison allowed earlier, per bucket member
 EARLY_BANDS = 5         # of each kind, compared first
-BLOCK_ROWS, BLOCK_BYTES = 1024, 1 << 23  # of a bucket's blocks: members, bytes of shingles
+BLOCK_ROWS, BLOCK_BYTES = 1024, 1 << 22  # of a bucket's blocks: members, bytes of shingles
 FEW = 6                 # members that are compared pair by pair
 RARE = 32               # a shingle of so few members is counted by pairs, not in a matrix product
 
@@ -155,14 +157,30 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 def bits_of_buckets(sets: DataFrame) -> np.ndarray:
     """Inverse document frequency per cell of the hashed table, in bits. The
-    table's size follows the corpus."""
+    table's size follows the corpus.
+
+    Workers count cells in large portions and hand over packed blocks, one per
+    range of cells: places of cells met once, and places and counts of the others.
+    Blocks of a range are added up as they stream by, and the driver receives the
+    finished table, one byte a cell.
+    """
     total = (sets.agg(F.sum(F.length("hashes"))).first()[0] or 0) // 4
     bits = min(max((2 * total - 1).bit_length(), BUCKET_BITS), MOST_BITS)
 
     def count(batches):
         def counted(raw: list[bytes]) -> pa.RecordBatch:
             cells, n = np.unique(np.frombuffer(b"".join(raw), np.uint32) >> np.uint32(32 - bits), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(n, pa.int64())], ["bucket", "n"])
+            cut = np.flatnonzero(np.diff(cells >> np.uint32(RANGE_BITS))) + 1
+            rows: list[list] = [[], [], [], []]
+            for some, m in zip(np.split(cells, cut), np.split(n, cut), strict=True):
+                if len(some):
+                    place, once = (some & np.uint32((1 << RANGE_BITS) - 1)).astype(np.uint16), m == 1
+                    for column, value in zip(rows, (
+                        int(some[0]) >> RANGE_BITS, place[once].tobytes(), place[~once].tobytes(), m[~once].astype(np.uint32).tobytes(),
+                    ), strict=True):
+                        column.append(value)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(rows[0], pa.int32()), *(pa.array(c, pa.binary()) for c in rows[1:])], ["cells", "once", "places", "counts"])
 
         raw, size = [], 0
         for batch in _slices(batches):
@@ -174,12 +192,30 @@ def bits_of_buckets(sets: DataFrame) -> np.ndarray:
                     raw, size = [], 0
         yield counted(raw)
 
-    summed = sets.select("hashes").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    # cells of the full weight need not travel
-    table = summed.filter(F.log2(1 + F.lit(float(total)) / F.col("n")) < bits - 0.4).toArrow()
+    def add(batches):
+        def finished() -> pa.RecordBatch:
+            share = total / np.maximum(n, 1)
+            weight = np.where(n > 0, np.clip(np.rint(np.log2(1 + share)), 1, bits), bits).astype(np.uint8)
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([weight.tobytes()], pa.binary())], ["cells", "bits"])
+
+        now, n = None, np.zeros(1 << RANGE_BITS, np.int64)
+        for batch in batches:
+            for cells, once, places, counts in zip(*(batch[c].to_pylist() for c in batch.schema.names), strict=True):
+                if cells != now:
+                    if now is not None:
+                        yield finished()
+                    now, n = cells, np.zeros(1 << RANGE_BITS, np.int64)
+                n[np.frombuffer(once, np.uint16)] += 1
+                n[np.frombuffer(places, np.uint16)] += np.frombuffer(counts, np.uint32)
+        if now is not None:
+            yield finished()
+
+    packed = sets.select("hashes").mapInArrow(count, "cells int, once binary, places binary, counts binary")
+    added = packed.repartition("cells").sortWithinPartitions("cells").mapInArrow(add, "cells int, bits binary")
     out = np.full(1 << bits, bits, np.uint8)
-    share = total / np.maximum(table["n"].to_numpy(), 1)
-    out[table["bucket"].to_numpy()] = np.clip(np.rint(np.log2(1 + share)), 1, bits)
+    table = added.toArrow()
+    for cells, weight in zip(*(table[c].to_pylist() for c in ("cells", "bits")), strict=True):
+        out[cells << RANGE_BITS:(cells + 1) << RANGE_BITS] = np.frombuffer(weight, np.uint8)
     return out
 
 
@@ -397,58 +433,6 @@ def linked_in_blocks(dealt: DataFrame, block: list[str], sets: DataFrame, bits:
     return dealt.join(sets, "row").groupBy(*block).applyInArrow(compare, "a long, b long")
 
 
-def contracted(links: DataFrame) -> DataFrame:
-    """u, v: the links of each batch of rows as one star per component."""
-
-    def contract(batches):
-        for batch in batches:
-            parent: dict[int, int] = {}
-
-            def root(x: int) -> int:
-                while (up := parent.setdefault(x, x)) != x:
-                    parent[x] = parent[up]
-                    x = up
-                return x
-
-            for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True):
-                a, b = root(a), root(b)
-                parent[max(a, b)] = min(a, b)
-            stars = [(x, root(x)) for x in list(parent) if root(x) != x]
-            u, v = zip(*stars, strict=True) if stars else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-    return links.select("a", "b").mapInArrow(contract, "u long, v long")
-
-
-def components(links: DataFrame) -> DataFrame:
-    """node, root (the smallest row of its component) of all linked nodes, stored.
-
-    Links are contracted where they lie. Unless that leaves stars already,
-    alternating large-star and small-star steps move every link towards the
-    smallest neighbour, each with one aggregation and one join.
-    """
-    edges, path = store(contracted(links))
-    spark = edges.sparkSession
-    while True:
-        ends = edges.select(F.col("u").alias("node"), F.col("v").alias("to")).unionByName(
-            edges.select(F.col("v").alias("node"), F.lit(None).cast("long").alias("to"))
-        )
-        per_node = ends.groupBy("node").agg(
-            F.min("to").alias("low"), F.max("to").alias("high"), F.bool_or(F.col("to").isNull()).alias("centre")
-        )
-        if not per_node.filter("low < high or (centre and low is not null)").limit(1).count():
-            return per_node.select("node", F.coalesce("low", "node").alias("root"))
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            least.select("u", F.col("m").alias("v"))
-        ).filter("u <> v").distinct()
-        old, (edges, path) = path, store(small)
-        delete_folder(spark, old)
-
-
 def linked_texts(nodes: DataFrame, sets: DataFrame, bits: np.ndarray, least: float) -> DataFrame:
     """node, root for every text that is linked to another one; ``nodes`` has
     one row per text: row, bands, size (bytes of shingles)."""
@@ -462,20 +446,29 @@ def linked_texts(nodes: DataFrame, sets: DataFrame, bits: np.ndarray, least: flo
     buckets = buckets.groupBy("n", "bytes", "x", "y").agg(
         F.min(F.struct((~early).alias("late"), "band", "key")).alias("b")
     ).select("b.band", "b.key", _parts("n", "bytes").alias("parts"))
-    members, _ = store(exploded.join(buckets, ["band", "key"]).select(
+    spark = nodes.sparkSession
+    members, members_path = store(exploded.join(buckets, ["band", "key"]).select(
         "band", "key", "row", "size", "parts", F.col("row").alias("root")
     ))
     # the members' rows grow with the corpus: a plan that broadcasts them would not hold
-    sets, _ = store(sets.hint("merge").join(members.select("row").distinct(), "row", "left_semi").select(
+    sets, sets_path = store(sets.hint("merge").join(members.select("row").distinct(), "row", "left_semi").select(
         "row", "hashes", "counts"
     ))
     n_members = members.count()
     found: list[DataFrame] = []
+    paths = [sets_path]
 
     def test(dealt: DataFrame, block: list[str]) -> DataFrame:
-        found.append(store(linked_in_blocks(dealt, ["band", "key", *block], sets, bits, least))[0])
+        links, path = store(linked_in_blocks(dealt, ["band", "key", *block], sets, bits, least))
+        found.append(links)
+        paths.append(path)
         return components(_union(found))
 
+    def done(linked: DataFrame) -> DataFrame:
+        for path in (*paths, members_path):
+            delete_folder(spark, path)
+        return linked
+
     turn = 0
     while True:
         now = members.filter(early) if turn == 0 else members
@@ -492,12 +485,14 @@ def linked_texts(nodes: DataFrame, sets: DataFrame, bits: np.ndarray, least: flo
         several = rooted.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter(
             "low <> high").select("band", "key")
         compared = (F.col("parts") == 1) & (early if turn == 0 else F.lit(True))
-        members, _ = store(rooted.filter(~compared).join(several, ["band", "key"]).select(members.columns))
+        old = members_path
+        members, members_path = store(rooted.filter(~compared).join(several, ["band", "key"]).select(members.columns))
+        delete_folder(spark, old)
         turn += 1
         if turn == 1:
             continue
         if members.isEmpty():
-            return linked
+            return done(linked)
         rest = _rest(members)
         rows = rest.agg(F.sum(F.when(F.col("other"), F.col("mains") + F.col("others")).otherwise(F.col("others")))).first()[0]
         if turn >= PIVOT_ROUNDS or rows <= REMAINDER * n_members:
@@ -515,7 +510,7 @@ def linked_texts(nodes: DataFrame, sets: DataFrame, bits: np.ndarray, least: flo
     cells = rest.withColumn("own", own).select("band", "key", "row", "root", F.explode(
         F.when(F.col("other"), F.concat(with_main, with_other)).otherwise(of_main)).alias("cell")
     ).select("band", "key", "row", "root", "cell.*")
-    return test(cells, ["main", "i", "j"])
+    return done(test(cells, ["main", "i", "j"]))
 
 
 def _parts(n: str, size: str):
@@ -560,22 +555,22 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     bits = bits_of_buckets(sets)
     rows, _ = store(banded(sets, bits))
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
-    texts, _ = store(rows.groupBy("text_a", "text_b").agg(
+    texts, texts_path = store(rows.groupBy("text_a", "text_b").agg(
         F.min(first).alias("first"), F.count("*").alias("n"), F.min(F.struct("row", "bands", "size")).alias("node"),
     ).select("text_a", "text_b", "first", "n", "node.row", "node.bands", "node.size"))
     linked = linked_texts(texts, sets, bits, least).withColumnRenamed("node", "row")
     delete_folder(spark, sets_path)
-    rooted = texts.select("text_a", "text_b", "row", "first", "n").join(linked, "row", "left").withColumn(
+    rooted, rooted_path = store(texts.select("text_a", "text_b", "row", "first", "n").join(linked, "row", "left").withColumn(
         "root", F.coalesce("root", "row")
-    )
-    classes = rooted.groupBy("root").agg(F.min("first").alias("best"), F.sum("n").alias("class_size"))
-    named = rooted.select("text_a", "text_b", "root").join(classes, "root").select(
-        F.col("text_a").alias("a"), F.col("text_b").alias("b"), "best", "class_size"
-    )
-    same = F.col("text_a").eqNullSafe(F.col("a")) & (F.col("text_b") == F.col("b"))
-    return rows.select("doc_id", "row", "text_a", "text_b").join(named, same).select(
+    ))
+    classes, classes_path = store(rooted.groupBy("root").agg(F.min("first").alias("best"), F.sum("n").alias("class_size")))
+    name = F.struct("text_a", "text_b").alias("name")
+    named, _ = store(join_unique(rooted.select(name, "root"), classes, "root").drop("root"))
+    for path in (rooted_path, classes_path, texts_path):
+        delete_folder(spark, path)
+    return join_unique(rows.select("doc_id", "row", name), named, "name").select(
         "doc_id", F.col("best.doc_id").alias("class_id"), (F.col("row") == F.col("best.row")).alias("kept"),
-        "class_size", "text_a", "text_b",
+        "class_size", "name.*",
     )
 
 
