@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import minhash, mixing, packing, quality, secrets
-from corpusloom.session import cut_lineage
+from corpusloom.session import delete_folder, store
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -55,7 +55,9 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
-        docs = cut_lineage(stage(spark, docs, sf_dir))
+        before, (docs, path) = path, store(stage(spark, docs, sf_dir))
+        if before:
+            delete_folder(spark, before)
     return docs
