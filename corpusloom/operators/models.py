@@ -11,8 +11,8 @@ Long forms (one row per topic) come from ``long_gamma`` / ``long_beta``.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 from pyspark.ml.clustering import LDA, DistributedLDAModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,6 +22,7 @@ from corpusloom import schema
 from corpusloom.constants import ALPHA_TOTAL, DELTA
 from corpusloom.functions.arrays import let
 from corpusloom.functions.mixtures import posterior
+from corpusloom.operators import streamed_fits
 from corpusloom.operators.rows import unnest
 from corpusloom.session import delete_folder, new_folder, store
 
@@ -197,26 +198,28 @@ def topic_divergence(terms: DataFrame, k: int) -> DataFrame:
     return terms.agg((F.sum(pair_divergence("weights")) / F.lit(float(k * (k - 1)))).alias("score"))
 
 
-def topic_count_sweep(dtm: DataFrame, index: DataFrame, ks: Sequence[int], seed: int,
-                      max_iter: int = 20, parallel: int = 2) -> DataFrame:
-    """Fit every k over one checkpointed matrix and score the topics: k, score.
+def fit_divergence(spark: SparkSession, counts: dict[int, np.ndarray], delta: float = DELTA) -> DataFrame:
+    """k, score (``topic_divergence``) of fits that share their terms, in one pass
+    over one row per term with the counts of all of them."""
+    ks, at, found = list(counts), 0, []
+    for k in ks:
+        totals = ", ".join(f"{float(n) + delta * len(counts[k])!r}D" for n in counts[k].sum(0))
+        weights = f"transform(slice(counts, {at + 1}, {k}), (n, t) -> (n + {float(delta)!r}D) / get(array({totals}), t))"
+        score = F.sum(pair_divergence(weights)) / F.lit(float(k * (k - 1)))
+        found.append(F.struct(F.lit(k).cast("int").alias("k"), score.alias("score")))
+        at += k
+    wide = streamed_fits.counts_table(spark, np.hstack([counts[k] for k in ks]))
+    return wide.agg(F.array(*found).alias("found")).select(F.inline("found"))
 
-    Fits overlap a little so that one fit's last tasks do not idle the cluster;
-    each hands back a single number.
-    """
+
+def topic_count_sweep(dtm: DataFrame, index: DataFrame, ks: Sequence[int], seed: int, max_iter: int = 20) -> DataFrame:
+    """Fit every k over one stored matrix and score the topics: k, score. All fits
+    share the scans of the matrix, and their scores one pass over the terms."""
     spark = dtm.sparkSession
-    (dtm, dtm_path), (index, index_path) = store(dtm), store(index)
-
-    def score(k: int) -> tuple[int, float]:
-        counts, path = stored_counts(fit_lda(dtm, k, seed, max_iter))
-        result = topic_divergence(topic_terms(counts, k, index), k).first()["score"]
-        delete_folder(spark, path)
-        return k, result
-
-    with ThreadPoolExecutor(parallel) as pool:
-        scores = list(pool.map(score, ks))
-    delete_folder(spark, dtm_path)
-    delete_folder(spark, index_path)
+    size = index.count()
+    counts = streamed_fits.fit(dtm, size, ks, seed, max_iter)
+    scores = [tuple(r) for some in streamed_fits.groups(ks, size)
+              for r in fit_divergence(spark, {k: counts[k] for k in some}).collect()]
     return spark.createDataFrame(scores, schema.SCORES)
 
 

@@ -13,7 +13,7 @@ from corpusloom.functions.mixtures import topic_short_name
 from corpusloom.functions.text import min_len, no_digit, not_numeric, remove_words, tokenize
 from corpusloom.constants import DF_BOUNDS, PUBLISHER_WORDS, PUBLISHER_WORDS_COMBINED
 from corpusloom.operators import (
-    corpus, distances, dtm, membership, models, ranking, terms, trends,
+    corpus, distances, dtm, membership, models, ranking, streamed_fits, terms, trends,
 )
 from corpusloom.operators.rows import unnest
 from corpusloom.plans import study
@@ -605,6 +605,23 @@ def topic_count_sweep(spark, sf):
     return models.rank_topic_counts(models.topic_count_sweep(matrix, index, FITTED, seed=1))
 
 
+def _streamed_fit(spark, sf, k=K, seed=13):
+    """A mini-batch fit: stored matrix, index, topic counts of terms."""
+    index, matrix = _matrix(spark, sf)
+    return matrix, index, streamed_fits.fit(matrix, index.count(), [k], seed, max_iter=5, batches=4)[k]
+
+
+def lda_online_topics(spark, sf):
+    _, index, counts = _streamed_fit(spark, sf)
+    fitted = models.topic_terms(streamed_fits.counts_table(spark, counts), K, index)
+    return ranking.top_terms(models.long_beta(fitted), 20)
+
+
+def lda_online_doc_topics(spark, sf):
+    matrix, _, counts = _streamed_fit(spark, sf)
+    return models.long_gamma(streamed_fits.doc_topics(matrix, counts))
+
+
 QUERIES = {
     f.__name__: f for f in (
         papers_with_abstract, cleaned_abstracts, modelling_text, complete_papers,
@@ -625,7 +642,7 @@ QUERIES = {
         topic_dissimilarity, topic_doc_dissimilarity, distance_range,
         scaled_dissimilarity, research_gap, research_gap_raw, topic_divergence,
         ranked_topic_counts, document_term_matrix, lda_topics, lda_doc_topics,
-        topic_count_sweep, lda_topic_terms, lda_topic_trend, lda_research_gap,
+        topic_count_sweep, lda_online_topics, lda_online_doc_topics, lda_topic_terms, lda_topic_trend, lda_research_gap,
         reviewed_papers_csv, recent_papers_csv, top_words_csv, pubs_per_period_topic_c, topic_trend_c, topic_trend_d,
         cleaned_missing_abstracts, unigram_vocab_reviewed, unigram_vocab_combined, unigram_vocab_full,
         combined_token_counts,
