@@ -1,7 +1,8 @@
 """Paper lists, name lists and result tables as files.
 
-CSV fields of paper lists hold line breaks, hence ``multiLine``: one file is
-read by one task, many files in parallel. Convert to Parquet once
+CSV fields of paper lists hold line breaks. Their records are found by counting
+quotes (``split_csv``), so a file is read by many tasks; short headed lists
+(``read_csv``) are read by one task per file. Convert to Parquet once
 (``write_table``) before heavy work.
 """
 
@@ -12,28 +13,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom import schema
+from corpusloom.sources import split_csv
 
 _CSV = {"multiLine": "true", "quote": '"', "escape": '"', "encoding": "UTF-8"}
 
 
 def numbered_records(spark: SparkSession, path: str, width: int, pattern: str | None = None) -> DataFrame:
-    """Records of headerless CSV files: source_file, source_row, place (0 for the
-    file's first record) and ``cells`` array<string>.
-
-    A file with line breaks in its fields is read by one task, in order, so
-    row numbers are consecutive within it; its first one is a pre-aggregated
-    minimum, one row per file.
-    """
+    """Records of headerless CSV files: source_file, source_row (in order),
+    place (0 for the file's first record) and ``cells`` array<string> of ``width``,
+    null where a record has fewer."""
     cells = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
-    reader = spark.read.schema(cells).options(**_CSV)
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    rows = reader.csv(path).select(
-        F.col("_metadata.file_path").alias("source_file"), F.monotonically_increasing_id().alias("source_row"),
-        F.array(*cells.names).alias("cells"),
-    )
-    first = rows.groupBy("source_file").agg(F.min("source_row").alias("_first"))
-    return rows.join(first, "source_file").withColumn("place", F.col("source_row") - F.col("_first")).drop("_first")
+    parsed = F.from_csv("text", F.lit(cells.simpleString()[7:-1].replace(":", " ")), _CSV)
+    rows = split_csv.records(spark, path, pattern).withColumn("record", parsed)
+    return rows.select("source_file", "source_row", "place", F.array(*[F.col("record")[c] for c in cells.names]).alias("cells"))
 
 
 def read_papers_csv(spark: SparkSession, path: str, columns: T.StructType = schema.REVIEWED_PAPERS,
