@@ -1,37 +1,63 @@
 """Distances between topics, and research gaps.
 
 Topics are compared over millions of terms or documents, but there are only
-k(k-1)/2 pairs of them. Each row meets its own k weights in pairs and the sums
-are pre-aggregated in every task, so a shuffle moves k(k-1)/2 rows per task
-whatever the number of terms or documents; nothing wide is ever built.
+k(k-1)/2 pairs of them. Every task adds the pairs up over its rows, a batch at a
+time, and hands over one row; nothing wide is ever built.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.arrays import let
-from corpusloom.operators.rows import unnest
-
-
-def pair_terms(nested: DataFrame) -> DataFrame:
-    """topic_a < topic_b and their weights x, y in every row of ``weights``."""
-    pairs = F.expr(let("weights", "w", """flatten(transform(w, (x, i) -> transform(
-        slice(w, i + 2, size(w)), (y, j) -> named_struct('topic_a', i + 1, 'topic_b', i + j + 2, 'x', x, 'y', y))))"""))
-    return unnest(nested, pairs, "pair").select("pair.*")
+BATCH_ROWS = 4096  # compared together
+
+
+def _pair_sums(batches):
+    """One row: for all pairs of topics in order the sums of |x - y| and x + y."""
+    apart, total = None, None
+    for batch in batches:
+        lists = batch["weights"].drop_null()
+        if not len(lists):
+            continue
+        flat = lists.flatten().to_numpy(zero_copy_only=False)
+        rows = flat.reshape(len(lists), -1)
+        k = rows.shape[1]
+        if apart is None:
+            apart, total = np.zeros((k, k)), np.zeros(k)
+        total += rows.sum(0)
+        for at in range(0, len(rows), BATCH_ROWS):
+            some = np.ascontiguousarray(rows[at:at + BATCH_ROWS].T)
+            for i in range(k - 1):
+                apart[i, i + 1:] += np.abs(some[i + 1:] - some[i]).sum(1)
+    if apart is not None:
+        upper = np.triu_indices(len(total), 1)
+        sums = [apart[upper], (total[:, None] + total)[upper]]
+        yield pa.RecordBatch.from_arrays([pa.array([s], pa.list_(pa.float64())) for s in sums], ["apart", "total"])
 
 
 def bray_curtis(nested: DataFrame) -> DataFrame:
     """Bray-Curtis dissimilarity sum|x-y| / sum(x+y): topic_a, topic_b, dist.
 
     Over topic terms this compares topics by vocabulary, over mixtures by the
-    documents that hold them.
+    documents that hold them. All rows have equally many weights; rows without
+    any take no part. Each task sends one row.
     """
-    x, y = F.col("x"), F.col("y")
-    return pair_terms(nested).groupBy("topic_a", "topic_b").agg(
-        F.try_divide(F.sum(F.abs(x - y)), F.sum(x + y)).alias("dist")
-    )
+    def add(batches):
+        rows = [r for batch in batches for r in batch.to_pylist()]
+        if rows:
+            apart, total = (np.sum([r[c] for r in rows], 0) for c in ("apart", "total"))
+            k = int(round((1 + (1 + 8 * len(apart)) ** 0.5) / 2))
+            a, b = np.triu_indices(k, 1)
+            dist = [x / y if y else None for x, y in zip(apart.tolist(), total.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a + 1, pa.int32()), pa.array(b + 1, pa.int32()), pa.array(dist, pa.float64())],
+                ["topic_a", "topic_b", "dist"])
+
+    sums = nested.select("weights").mapInArrow(_pair_sums, "apart array<double>, total array<double>")
+    return sums.repartition(1).mapInArrow(add, "topic_a int, topic_b int, dist double")
 
 
 topic_dissimilarity = bray_curtis

@@ -332,6 +332,18 @@ def oracle_sql() -> dict[str, str]:
     sql["distinct_titles"] = papers + """select doc_id, title, year from (
       select *, row_number() over (partition by title order by doc_id) as rn from papers) where rn = 1"""
 
+    sql["near_equal_titles"] = papers + f"""select title_a, title_b, round(similarity, 6) as similarity from (
+      with words as (
+        select distinct title, list_sort(list_distinct(regexp_extract_all(lower(title), {lit(TOKEN_PORTABLE)}))) as w
+        from papers where title is not null),
+      classes as (select w, min(title) as title from words where len(w) > 0 group by w)
+      select least(a.title, b.title) as title_a, greatest(a.title, b.title) as title_b,
+             len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) as similarity
+      from classes a join classes b on a.title < b.title
+      where len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) >= 0.8
+      union all
+      select c.title, x.title, 1.0 from words x join classes c on c.w = x.w where c.title <> x.title)"""
+
     sql["token_counts"] = with_(*BASE) + "select word, count(*) as n from tokens group by all"
     sql["filtered_token_counts"] = with_(*BASE) + \
         f"select word, count(*) as n from tokens where {_KEEP} and {_KEEP_STEM} group by all"
@@ -392,6 +404,9 @@ def oracle_sql() -> dict[str, str]:
     top_docs = """ranked as (select *, rank() over (partition by topic order by gamma desc) as r from gamma)"""
     sql["top_docs"] = with_(*TOPICS, top_docs) + """select r.doc_id, p.title, p.year, r.topic,
       round(r.gamma, 6) as gamma from ranked r join papers p using (doc_id) where r <= 20"""
+    sql["top_docs_csv"] = with_(*TOPICS, top_docs) + """select r.doc_id, p.title, p.abstract, r.topic,
+      round(r.gamma, 6) as gamma from ranked r join papers p using (doc_id) where r <= 20"""
+    sql["top_100_terms_csv"] = sql["top_100_terms"]
     sql["top_docs_joined"] = with_(*TOPICS, top_docs) + """select r.doc_id, r.topic,
       round(r.gamma, 6) as gamma, p.year, p.labels
       from ranked r left join papers p using (doc_id) where r <= 10"""

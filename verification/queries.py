@@ -13,7 +13,7 @@ from corpusloom.functions.mixtures import topic_short_name
 from corpusloom.functions.text import min_len, no_digit, not_numeric, remove_words, tokenize
 from corpusloom.constants import DF_BOUNDS, PUBLISHER_WORDS, PUBLISHER_WORDS_COMBINED
 from corpusloom.operators import (
-    corpus, distances, dtm, membership, models, ranking, streamed_fits, terms, trends,
+    corpus, distances, dtm, membership, models, near_titles, ranking, streamed_fits, terms, trends,
 )
 from corpusloom.operators.rows import unnest
 from corpusloom.plans import study
@@ -317,6 +317,27 @@ def top_docs(spark, sf):
     return rounded(ranking.top_docs(gamma, 20), "gamma")
 
 
+def top_docs_csv(spark, sf):
+    """Top documents with their text written as CSV and read back: quotes, line
+    breaks and empty abstracts come through."""
+    mixtures = cut_lineage(t.mixtures(spark, sf, K, "title", "abstract"))
+    gamma = models.long_gamma(mixtures, "title", "abstract")
+    path = new_folder(spark, "top-docs")
+    files.write_table(rounded(ranking.top_docs(gamma, 20), "gamma"), path, "csv")
+    columns = T.StructType.fromDDL("topic int, doc_id long, title string, abstract string, gamma double")
+    return files.read_csv(spark, path, columns)
+
+
+def top_100_terms_csv(spark, sf):
+    path = new_folder(spark, "top-terms")
+    files.write_table(top_100_terms(spark, sf), path, "csv")
+    return files.read_csv(spark, path, T.StructType.fromDDL("topic int, term string, beta double"))
+
+
+def near_equal_titles(spark, sf):
+    return rounded(near_titles.near_titles(t.papers(spark, sf)), "similarity")
+
+
 def top_docs_joined(spark, sf):
     """Paper columns fetched by a join, for models fitted elsewhere."""
     top = ranking.top_docs(models.long_gamma(cut_lineage(t.mixtures(spark, sf, K))), 10)
@@ -642,7 +663,7 @@ QUERIES = {
         topic_dissimilarity, topic_doc_dissimilarity, distance_range,
         scaled_dissimilarity, research_gap, research_gap_raw, topic_divergence,
         ranked_topic_counts, document_term_matrix, lda_topics, lda_doc_topics,
-        topic_count_sweep, lda_online_topics, lda_online_doc_topics, lda_topic_terms, lda_topic_trend, lda_research_gap,
+        topic_count_sweep, top_docs_csv, top_100_terms_csv, near_equal_titles, lda_online_topics, lda_online_doc_topics, lda_topic_terms, lda_topic_trend, lda_research_gap,
         reviewed_papers_csv, recent_papers_csv, top_words_csv, pubs_per_period_topic_c, topic_trend_c, topic_trend_d,
         cleaned_missing_abstracts, unigram_vocab_reviewed, unigram_vocab_combined, unigram_vocab_full,
         combined_token_counts,
