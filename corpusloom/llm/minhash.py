@@ -581,10 +581,11 @@ def one_per_class(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         F.col("doc_id").alias("k_id"), F.col("text_a").alias("k_a"), F.col("text_b").alias("k_b")
     )
     text = F.col("text").cast("string")
-    wide = docs.filter(F.col("text").isNotNull()).withColumns({
-        "_id": F.col("doc_id").cast("long"), "_a": F.xxhash64(text), "_b": F.xxhash64(F.lit(SEED), text),
-    })
-    on = F.col("_id").eqNullSafe(F.col("k_id")) & (F.col("_a") == F.col("k_a")) & (F.col("_b") == F.col("k_b"))
-    nth = F.row_number().over(Window.partitionBy("_id", "_a", "_b").orderBy(F.lit(0)))
-    chosen = wide.join(kept, on).withColumn("_nth", nth).filter("_nth = 1").select(*docs.columns)
+    wide = docs.filter(F.col("text").isNotNull()).select(  # given columns may have any names
+        F.struct("*").alias("given"), F.col("doc_id").cast("long").alias("id"),
+        F.xxhash64(text).alias("a"), F.xxhash64(F.lit(SEED), text).alias("b"),
+    )
+    on = F.col("id").eqNullSafe(F.col("k_id")) & (F.col("a") == F.col("k_a")) & (F.col("b") == F.col("k_b"))
+    nth = F.row_number().over(Window.partitionBy("id", "a", "b").orderBy(F.lit(0)))
+    chosen = wide.join(kept, on).withColumn("nth", nth).filter("nth = 1").select("given.*")
     return chosen.unionByName(docs.filter(F.col("text").isNull()))

@@ -153,17 +153,19 @@ def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, repeats: int = REPE
 
     Rows equal in id, source and text share their copies evenly.
     """
-    key = {"_id": F.col("doc_id"), "_source": F.col("source").cast("string"),
-           "_shuffle": F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text").cast("string"))}
+    source = F.col("source").cast("string")
+    shuffle = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text").cast("string"))
+    wide = docs.select(  # given columns may have any names
+        F.struct("*").alias("given"), F.col("doc_id").alias("id"), source.alias("source"), shuffle.alias("shuffle"))
     chosen = mix(docs, weights, repeats, seed).filter("copies > 0").groupBy(
         F.col("doc_id").alias("c_id"), F.col("source").alias("c_source"), F.col("shuffle").alias("c_shuffle")
     ).agg(F.sum("copies").alias("c_copies"), F.count("*").alias("c_rows"))
-    on = F.col("_id").eqNullSafe(F.col("c_id")) & F.col("_source").eqNullSafe(F.col("c_source")) & (
-        F.col("_shuffle") == F.col("c_shuffle")
+    on = F.col("id").eqNullSafe(F.col("c_id")) & F.col("source").eqNullSafe(F.col("c_source")) & (
+        F.col("shuffle") == F.col("c_shuffle")
     )
-    nth = F.row_number().over(Window.partitionBy("_id", "_source", "_shuffle").orderBy(F.lit(0)))
+    nth = F.row_number().over(Window.partitionBy("id", "source", "shuffle").orderBy(F.lit(0)))
     share = F.floor(F.col("c_copies") / F.col("c_rows")) + F.when(
         nth <= F.col("c_copies") % F.col("c_rows"), 1
     ).otherwise(0)
-    wide = docs.withColumns(key).join(chosen, on).withColumn("_copies", share.cast("int")).filter("_copies > 0")
-    return wide.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*docs.columns)
+    taken = wide.join(chosen, on).withColumn("copies", share.cast("int")).filter("copies > 0")
+    return taken.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("given.*")

@@ -194,16 +194,18 @@ def mask_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_
     )
     keys = candidates.filter("kind = 3").select("doc_id", "start", "end", "hash")
     owned = ownership(candidates).filter((F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories))
-    live = keys.join(owned, "hash").select(
-        F.col("doc_id").alias("_id"), "start", "end", "hash"
-    ).groupBy("_id").agg(F.collect_set("hash").alias("_live"))
-    columns = docs.columns
-    wide = docs.join(live, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(*columns, "_live")
+    live = keys.join(owned, "hash").select(F.col("doc_id").alias("l_id"), "hash").groupBy("l_id").agg(
+        F.collect_set("hash").alias("live"))
+    columns, own_name = docs.columns, "live"
+    while own_name in columns:
+        own_name += "_"
+    given = docs.select(F.struct("*").alias("given"), F.col("doc_id").cast("long").alias("id"))  # columns of any names
+    wide = given.join(live, F.col("id").eqNullSafe(F.col("l_id")), "left").select("given.*", F.col("live").alias(own_name))
 
     def mask(batches):
         for batch in batches:
             texts = []
-            for text, own in zip(batch["text"], batch["_live"], strict=True):
+            for text, own in zip(batch["text"], batch[own_name], strict=True):
                 text, own = text.as_py(), set(own.as_py() or ())
                 if text:
                     base = base_spans(text)
