@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.graph import components, join_unique
+from corpusloom.llm.memory import release, released
 from corpusloom.session import delete_folder, ship_package, store
 
 WORDS = 5
@@ -55,6 +56,7 @@ ROWS_AT_ONCE = 256      # rows of packed shingles that are unpacked together
 REMAINDER = 1           # rows dealt out for the exhaustive comparison allowed earlier, per bucket member
 EARLY_BANDS = 5         # of each kind, compared first
 BLOCK_ROWS, BLOCK_BYTES = 1024, 1 << 22  # of a bucket's blocks: members, bytes of shingles
+LARGE = 256             # members of a block after which freed memory is handed back
 FEW = 6                 # members that are compared pair by pair
 RARE = 32               # a shingle of so few members is counted by pairs, not in a matrix product
 
@@ -148,7 +150,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     named = F.when(text.isNotNull(), F.xxhash64(text)), F.when(text.isNotNull(), F.xxhash64(F.lit(SEED), text))
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"),
                          named[0].alias("text_a"), named[1].alias("text_b"))
-    out = narrow.mapInArrow(cut, "doc_id long, text_a long, text_b long, hashes binary, counts binary")
+    out = narrow.mapInArrow(released(cut), "doc_id long, text_a long, text_b long, hashes binary, counts binary")
     row = F.monotonically_increasing_id()
     return out.withColumn("row", row).withColumn("text_b", F.coalesce("text_b", "row"))
 
@@ -210,8 +212,8 @@ def bits_of_buckets(sets: DataFrame) -> np.ndarray:
         if now is not None:
             yield finished()
 
-    packed = sets.select("hashes").mapInArrow(count, "cells int, once binary, places binary, counts binary")
-    added = packed.repartition("cells").sortWithinPartitions("cells").mapInArrow(add, "cells int, bits binary")
+    packed = sets.select("hashes").mapInArrow(released(count), "cells int, once binary, places binary, counts binary")
+    added = packed.repartition("cells").sortWithinPartitions("cells").mapInArrow(released(add), "cells int, bits binary")
     out = np.full(1 << bits, bits, np.uint8)
     table = added.toArrow()
     for cells, weight in zip(*(table[c].to_pylist() for c in ("cells", "bits")), strict=True):
@@ -342,7 +344,7 @@ def banded(sets: DataFrame, bits: np.ndarray) -> DataFrame:
             )
 
     return sets.select("doc_id", "text_a", "text_b", "row", "hashes", "counts").mapInArrow(
-        sample, "doc_id long, text_a long, text_b long, row long, bands array<long>, size long"
+        released(sample), "doc_id long, text_a long, text_b long, row long, bands array<long>, size long"
     )
 
 
@@ -427,6 +429,8 @@ def linked_in_blocks(dealt: DataFrame, block: list[str], sets: DataFrame, bits:
         if len(np.unique(roots)) > 1:
             hashes, counts = table["hashes"].take(pa.array(at)).to_pylist(), table["counts"].take(pa.array(at)).to_pylist()
             out = stars(links_among(list(zip(hashes, counts, strict=True)), bits, least))
+            if len(row) >= LARGE:
+                release()
         moved = out != np.arange(len(row))
         return pa.table({"a": pa.array(row[moved], pa.int64()), "b": pa.array(row[out[moved]], pa.int64())})
 
