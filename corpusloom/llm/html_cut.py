@@ -5,17 +5,19 @@ the capacities from the source and to the sink; neighbours in page order and
 blocks that share a container are joined by smoothness edges. The minimum cut
 labels every block, and the blocks on the source's side are the text.
 
-The classifier is a logistic model on features of the block and its containers.
-Its prior weights say what containers' names mean; they are fitted further on a
-bounded sample of pages, whose semantic containers (article, main, nav, footer)
-serve as labels.
+The classifier is a logistic model on what a block, its neighbours and its
+container look like: lengths, links, punctuation, place and depth. It knows no
+names of elements' roles or classes; those of a bounded sample of pages serve as
+labels only, so pages without any are judged by what was learnt from the others.
+Where a page does name its parts, that is a fixed cost beside the learnt one: a
+strong one for elements (article, nav), a weaker one for classes and ids.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections import deque
+from collections import Counter, deque
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +29,14 @@ from corpusloom.session import ship_package
 MAX_TRAINING_PAGES = 400  # pages that the classifier is fitted on
 ADJACENT, RELATED = 1.0, 0.6  # smoothness of neighbours in one container, and of a container's blocks
 APART = 0.2  # smoothness of neighbours in different containers
-SCALE = 1.0
+MOST = 4.0  # of the learnt log-odds, either way
+IN_CONTENT = np.array([0.0, 1.5, 4.0])  # costs of content: none, by name, by element
+IN_BOILER = np.array([0.0, -5.0, -5.0, -8.0])  # of boilerplate: none, by name, by firm name, by element
 
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[/!?a-zA-Z][^>]*>""", re.S
 )
-_ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_ATTRIBUTE = re.compile(r"""(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _QUOTED, _HIDDEN_FLAG = re.compile(r""""[^"]*"|'[^']*'"""), re.compile(r"(?:^|\s)hidden(?:\s|=|$)", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -65,21 +69,23 @@ WITHOUT = frozenset("no with without has have hide hidden not".split())  # what
 CONTENT_NAMES = frozenset("article content main post entry story body text".split())
 
 NAMES = (
-    "bias", "in content", "in boilerplate", "log length", "link share", "stops per word", "heading", "list item",
-    "copyright sign", "upper share",
+    "bias", "log length", "link share", "stops per word", "paragraph", "heading", "list item", "copyright sign",
+    "share of its container", "place", "place squared", "depth", "length before", "length after", "links before",
+    "links after", "upper share",
 )
-PRIOR = np.array([-0.5, 4.0, -8.0, 0.35, -3.0, 2.0, 0.5, -0.5, -2.0, -1.0])
+PRIOR = np.array([-0.5, 0.6, -3.0, 2.0, 1.0, 0.5, -0.5, -2.0, 1.0, 0.0, 0.0, 0.0, 0.1, 0.1, -0.5, -0.5, -1.0])
 
 
 class Block:
-    __slots__ = ("text", "linked", "tag", "container", "content", "boiler")
+    __slots__ = ("text", "linked", "tag", "container", "content", "boiler", "depth")
 
-    def __init__(self, text: str, linked: int, tag: str, container: int, content: bool, boiler: bool) -> None:
-        self.text, self.linked, self.tag = text, linked, tag
+    def __init__(self, text: str, linked: int, tag: str, container: int, content: int, boiler: int, depth: int = 0) -> None:
+        self.text, self.linked, self.tag, self.depth = text, linked, tag, depth
         self.container, self.content, self.boiler = container, content, boiler
 
 
-BY_NAME, FIRM = 1, 2  # marks of boilerplate
+BY_NAME, FIRM, ELEMENT = 1, 2, 3  # marks of boilerplate
+NAMED, SEMANTIC = 1, 2  # and of content
 
 
 def _names(words: str) -> set[str]:
@@ -93,8 +99,8 @@ def _names(words: str) -> set[str]:
     return names
 
 
-def _judge(tag: str, attributes: str, content: bool, boiler: int) -> tuple[bool, int, bool]:
-    """Whether an element is inside content or boilerplate, and hidden.
+def _judge(tag: str, attributes: str, content: int, boiler: int) -> tuple[int, int, bool]:
+    """How an element is marked as content or boilerplate, and whether it is hidden.
 
     A name alone is a weak mark (``BY_NAME``), as layouts name their wrappers
     after their parts: an article or main inside undoes it.
@@ -109,21 +115,24 @@ def _judge(tag: str, attributes: str, content: bool, boiler: int) -> tuple[bool,
         "hidden" in attributes and _HIDDEN_FLAG.search(_QUOTED.sub("", attributes)) is not None
     )
     if tag in BOILER_TAGS or role in BOILER_ROLES or (tag == "header" and not content):
-        return False, FIRM, hidden
+        return 0, ELEMENT, hidden
     if tag in ("article", "main") or role in ("main", "article"):
         # a reader's comment may be an article of its own
-        firm = boiler == FIRM or bool(names & {"comment", "comments", "reply"})
-        return not firm, FIRM if firm else 0, hidden
+        firm = max(boiler, FIRM if names & {"comment", "comments", "reply"} else 0)
+        return (0, firm, hidden) if firm >= FIRM else (SEMANTIC, 0, hidden)
     if names & BOILER_NAMES and tag not in ("body", "html"):
-        return False, FIRM if names & FIRM_NAMES else max(boiler, BY_NAME), hidden
-    return content or (bool(names & CONTENT_NAMES) and not boiler), boiler, hidden
+        return 0, max(boiler, FIRM if names & FIRM_NAMES else BY_NAME), hidden
+    return content or (NAMED if names & CONTENT_NAMES and not boiler else 0), boiler, hidden
 
 
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order. Elements that hold no text for reading and
-    hidden ones give none."""
+    hidden ones give none. The time is linear in the page, however malformed:
+    tags without a partner are looked for once."""
     found: list[Block] = []
-    stack: list[tuple[str, int, bool, int]] = [("", 0, False, 0)]  # tag, container, content, boiler
+    stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]  # tag, container, content, boiler
+    opened: Counter[str] = Counter()  # by tag, of the stack
+    endless: set[str] = set()  # tags that no closing one follows any more
     pieces: list[str] = []
     linked, in_link, containers = 0, 0, 0
     at, last = 0, page.rfind(">") + 1
@@ -134,7 +143,7 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(entities.unescape("".join(pieces)).split())
             if text:
                 tag, container, content, boiler = stack[-1]
-                found.append(Block(text, linked, tag, container, content, boiler > 0))
+                found.append(Block(text, linked, tag, container, content, boiler, len(stack)))
             pieces.clear()
         linked = 0
 
@@ -155,8 +164,10 @@ def blocks(page: str) -> list[Block]:
             continue
         tag, closing = m[2].lower(), bool(m[1])
         if tag in SKIPPED_TAGS:
-            if not closing and not m[3].endswith("/"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            if not closing and not m[3].endswith("/") and tag not in endless:
+                end = re.compile(rf"</{tag}\s*+>", re.I).search(page, at, last)
+                if end is None:
+                    endless.add(tag)
                 at = end.end() if end else (len(page) if tag in ("script", "style") else at)
             continue
         if tag == "a":
@@ -167,20 +178,21 @@ def blocks(page: str) -> list[Block]:
             continue
         close()
         if closing:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    del stack[depth:]
+            while opened[tag]:
+                ended = stack.pop()[0]
+                opened[ended] -= 1
+                if ended == tag:
                     break
             continue
         if tag in VOID_TAGS:
             continue
         if stack[-1][0] == "p" or (tag == stack[-1][0] and tag in ("li", "dd", "dt", "td", "th", "tr", "option")):
-            stack.pop()  # these end where the next one begins
+            opened[stack.pop()[0]] -= 1  # these end where the next one begins
         _, container, content, boiler = stack[-1]
         content, boiler, hidden = _judge(tag, m[3], content, boiler)
         if hidden and tag not in ("body", "html"):
             depth = 1
-            for inner in re.compile(rf"<(/?){tag}\b[^>]*>", re.I).finditer(page, at):
+            for inner in re.compile(rf"<(/?){tag}\b[^>]*>", re.I).finditer(page, at, last):
                 depth += -1 if inner[1] else 1
                 if depth == 0:
                     at = inner.end()
@@ -192,6 +204,7 @@ def blocks(page: str) -> list[Block]:
             containers += 1
             container = containers
         stack.append((tag, container, content, boiler))
+        opened[tag] += 1
     read(page[at:])
     close()
     return found
@@ -208,28 +221,46 @@ def upper_share(text: str) -> float:
 
 
 def features(found: list[Block]) -> np.ndarray:
-    rows = []
-    for b in found:
-        n = len(b.text)
-        words = b.text.count(" ") + 1
-        rows.append((
-            1.0, b.content, b.boiler, np.log1p(n) - 3, min(b.linked / n, 1.0),
-            sum(b.text.count(c) for c in ".,;:!?") / words, b.tag in ("h1", "h2", "h3"), b.tag in ("li", "td", "dt", "dd"),
-            "©" in b.text, upper_share(b.text),
-        ))
-    return np.array(rows, np.float64).reshape(-1, len(NAMES))
-
-
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 200, hold: float = 0.02) -> np.ndarray:
-    """Logistic weights, held near the prior: what the sample does not show stays."""
+    """What blocks, their neighbours and their containers look like."""
+    if not found:
+        return np.empty((0, len(NAMES)))
+    size = np.array([len(b.text) for b in found], np.float64)
+    log_size, links = np.log1p(size) - 3, np.array([min(b.linked / len(b.text), 1.0) for b in found])
+    _, container = np.unique([b.container for b in found], return_inverse=True)
+    held = np.bincount(container, size)[container] / size.sum()
+    place = (np.cumsum(size) - size / 2) / size.sum()
+    own = np.array([(
+        sum(b.text.count(c) for c in ".,;:!?") / (b.text.count(" ") + 1), b.tag in ("p", "pre", "blockquote"),
+        b.tag in ("h1", "h2", "h3"), b.tag in ("li", "td", "dt", "dd"), "©" in b.text,
+    ) for b in found], np.float64)
+    return np.column_stack([
+        np.ones(len(found)), log_size, links, own, held, place, place**2, [min(b.depth, 10) / 10 for b in found],
+        np.append(0, log_size[:-1]), np.append(log_size[1:], 0), np.append(0, links[:-1]), np.append(links[1:], 0),
+        [upper_share(b.text) for b in found],
+    ])
+
+
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 30, hold: float = 0.002) -> np.ndarray:
+    """Logistic weights by Newton's steps, content and boilerplate weighing alike,
+    held near the prior: what the sample does not show stays."""
     w = PRIOR.copy()
     if len(y):
+        n = np.bincount(y.astype(int), minlength=2)
+        share = 0.5 / np.maximum(n, 1)[y.astype(int)]
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            w -= 0.5 * (x.T @ (p - y) / len(y) + hold * (w - PRIOR))
+            slope = x.T @ (share * (p - y)) + hold * (w - PRIOR)
+            curve = (x.T * (share * np.maximum(p * (1 - p), 1e-3))) @ x + hold * np.eye(len(w))
+            w -= np.linalg.solve(curve, slope)
     return w
 
 
+def log_odds(found: list[Block], w: np.ndarray) -> np.ndarray:
+    """Learnt log-odds of content, and the costs of what the page names its parts."""
+    marks = IN_CONTENT[[b.content for b in found]] + IN_BOILER[[b.boiler for b in found]]
+    return np.clip(features(found) @ w, -MOST, MOST) + marks
+
+
 def smoothness(found: list[Block]) -> list[tuple[int, int, float]]:
     edges, last = [], {}
     for i, b in enumerate(found):
@@ -311,31 +342,35 @@ def main_text(page: str | None, w: np.ndarray) -> str:
     found = blocks(page or "")
     if not found:
         return ""
-    odds = SCALE * (features(found) @ w)
-    kept = min_cut(odds, smoothness(found))
+    kept = min_cut(log_odds(found, w), smoothness(found))
     return "\n\n".join(b.text for b, k in zip(found, kept, strict=True) if k)
 
 
 def train(pages: DataFrame, max_pages: int = MAX_TRAINING_PAGES) -> np.ndarray:
-    """Weights from at most ``max_pages`` pages, chosen by hash; blocks inside a
-    content container are content, those inside boilerplate are not, others are
-    no labels."""
+    """Weights from at most ``max_pages`` different pages, those of the smallest
+    hashes; blocks inside a content container are content, those inside
+    boilerplate are not, others are no labels. Only the features travel."""
     html = F.col("html").cast("string")
-    picked = pages.select(html.alias("html")).filter("html is not null").orderBy(
-        F.xxhash64("html"), F.length("html")).limit(max_pages)
+    named = pages.select(html.alias("html"), F.xxhash64(html).alias("hash")).filter("html is not null")
+    chosen = [r.hash for r in named.select("hash").distinct().orderBy("hash").limit(max_pages).collect()]
+    if not chosen:
+        return PRIOR.copy()
 
     def label(batches):
+        done: dict[int, bytes] = {}  # at most max_pages
         for batch in batches:
             out = []
-            for page in batch["html"]:
-                found = blocks(page.as_py())
-                x = features(found)
-                known = np.array([b.content or b.boiler for b in found], bool)
-                y = np.array([b.content and not b.boiler for b in found], np.float64)
-                out.append(np.hstack([x, y[:, None]])[known].astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["rows"])
-
-    got = sorted(bytes(r.rows) for r in picked.mapInArrow(label, "rows binary").collect())
+            for name, page in zip(batch["hash"].to_pylist(), batch["html"], strict=True):
+                if name not in done:
+                    found = blocks(page.as_py())
+                    known = np.array([bool(b.content or b.boiler) for b in found], bool)
+                    y = np.array([b.content > 0 and not b.boiler for b in found], np.float64)
+                    done[name] = np.hstack([features(found), y[:, None]])[known].astype(np.float32).tobytes()
+                out.append(done[name])
+            yield pa.RecordBatch.from_arrays([batch["hash"], pa.array(out, pa.binary())], ["hash", "rows"])
+
+    labelled = named.filter(F.col("hash") <= chosen[-1]).mapInArrow(label, "hash long, rows binary")
+    got = sorted(bytes(r.rows) for r in labelled.groupBy("hash").agg(F.max("rows").alias("rows")).collect())
     rows = np.frombuffer(b"".join(got), np.float32).reshape(-1, len(NAMES) + 1).astype(np.float64)
     return fit(rows[:, :-1], rows[:, -1])
 

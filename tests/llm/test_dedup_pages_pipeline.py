@@ -2,7 +2,9 @@
 
 import itertools
 import random
+import re
 import sys
+import time
 
 import numpy as np
 import pytest
@@ -236,6 +238,45 @@ def test_layout_names_do_not_empty_a_page(wrapper):
     assert got.count("Paragraph") == 4 and "Nice" not in got
 
 
+def bare(page):
+    """The page without article tags, classes, ids and roles."""
+    page = re.sub(r"</?(?:article|main)\b[^>]*>", "", page)
+    return re.sub(r"\s(?:class|id|role)=(?:\"[^\"]*\"|'[^']*')", "", page)
+
+
+@pytest.fixture(scope="module")
+def learnt(spark):
+    return html_cut.train(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+
+
+def test_pages_without_names_are_judged_by_what_was_learnt(spark, learnt):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect() if r.html]
+    assert all(not any(b.content for b in html_cut.blocks(bare(page))) for page in pages)
+    texts = [html_cut.main_text(page, learnt) for page in pages]
+    same = sum(html_cut.main_text(bare(page), learnt) == text for page, text in zip(pages, texts, strict=True))
+    assert same >= 0.95 * len(pages) and all(texts)
+
+
+def test_the_cut_overturns_the_classifier():
+    long = "<p>A paragraph of the text, which is long enough. It goes on, as paragraphs do, and ends.</p>"
+    page = "<nav><a href=x>Home</a></nav>" + long * 3 + "<h5>So</h5>" + long * 3
+    found = html_cut.blocks(page)
+    odds = html_cut.log_odds(found, html_cut.PRIOR)
+    kept = html_cut.min_cut(odds, html_cut.smoothness(found))
+    assert found[4].text == "So" and odds[4] < 0 and kept[4]  # its neighbours keep it
+    assert not kept[0] and kept[1:].all()
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 90_000 + "</p>" * 90_000, "<svg>" * 200_000, "<div hidden>" * 90_000, "<div" * 200_000 + ">",
+    "<div " + "a" * 1_000_000 + " b=c>x</div>",
+])
+def test_long_malformed_pages_take_linear_time(page):
+    start = time.perf_counter()
+    html_cut.main_text(page, html_cut.PRIOR)
+    assert time.perf_counter() - start < 10
+
+
 def test_upper_share_is_of_the_whole_block():
     for text in ("A" * 200 + "b" * 600, "Ä" * 200 + "b" * 600):
         block = html_cut.Block(text, 0, "p", 0, False, False)
