@@ -3,10 +3,12 @@
 Base patterns find assigned secrets, access keys and long hexadecimal strings.
 A wider candidate pattern finds other key-like strings; most of those are
 harmless, so their values' hashes are counted over the whole corpus by distinct
-owners and repositories: a value that many owners hold, or very many repositories
-of one owner, is a copied example; another looks like a live credential and is
-added as a span. A text counts once, however many copies of it stand in however
-many sources: copying a document does not make its key an example.
+owners and repositories. A value is a widely copied example if a large share of
+the corpus' owners and many of its repositories hold it, or a large share of all
+repositories, whoever owns them; another looks like a live credential and is
+added as a span: a key that leaked to a few owners is not an example. A text
+counts once, however many copies of it stand in however many sources: copying a
+document does not make its key an example.
 """
 
 from __future__ import annotations
@@ -17,14 +19,17 @@ import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.graph import join_unique
 from corpusloom.session import cut_lineage, ship_package
 
 KINDS = ("assign", "access", "hex", "live")
-MAX_OWNERS = 1          # a value of more owners is a widely copied example,
-MAX_REPOSITORIES = 1000  # and so is one of more repositories
+OWNER_SHARE = 1 / 4            # of all owners: a value of more of them, and of more than
+MANY_REPOSITORIES = 1 / 100_000  # of all repositories, is a widely copied example,
+REPOSITORY_SHARE = 1 / 100     # and so is one of more of all repositories,
+LEAST_REPOSITORIES = 1000      # if they are more than this: fewer show no habit of a corpus
 LEAST_ENTROPY = 3.2     # bits per character of a key-like string
 MASK = "[SECRET]"
 
@@ -133,13 +138,26 @@ def ownership(candidates: DataFrame) -> DataFrame:
     )
 
 
+def is_live(rows: DataFrame, max_owners: int | None = None, max_repositories: int | None = None) -> Column:
+    """Whether counts of ``ownership`` are those of a live credential among ``rows``.
+
+    A value is copied if more than ``max_owners`` owners and many repositories
+    hold it, or more than ``max_repositories`` repositories. Limits that are not
+    given follow the corpus (see the constants); one owner is never many.
+    """
+    everyone, everything = (rows.select(name).distinct().count() for name in ("owner", "repository"))
+    owners = max(1.0, OWNER_SHARE * everyone) if max_owners is None else max_owners
+    most = max(LEAST_REPOSITORIES, REPOSITORY_SHARE * everything) if max_repositories is None else max_repositories
+    many = (F.col("owners") > owners) & (F.col("repositories") > MANY_REPOSITORIES * everything)
+    return ~(many | (F.col("repositories") > most))
+
+
 def find_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id",
-                 max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+                 max_owners: int | None = None, max_repositories: int | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied.
 
     ``spans``: kind:start:end of all base spans and of the key-like strings that
-    no more than ``max_owners`` owners and ``max_repositories`` repositories hold
-    (see ``ownership``), by start, then kind, comma-joined.
+    are live (see ``ownership`` and ``is_live``), by start, then kind, comma-joined.
     ``n_live`` and ``n_copied`` count the document's spans (base ones too) whose
     value is owner-specific or widely copied. A null text is empty; a null owner
     or repository is one of its own; repeated rows are documents each but count
@@ -147,11 +165,11 @@ def find_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_
     """
     ship_package(docs.sparkSession)
     rows = scan(docs, owner, repository)
-    candidates = rows.select("row", "owner", "repository", "text_a", "text_b", F.explode("found").alias("f")).select(
-        "row", "owner", "repository", "text_a", "text_b", "f.*"
-    )
-    live = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
-    judged = candidates.select("row", "start", "kind", "end", "hash").join(ownership(candidates), "hash")
+    candidates = cut_lineage(rows.select(
+        "row", "owner", "repository", "text_a", "text_b", F.explode("found").alias("f")
+    ).select("row", "owner", "repository", "text_a", "text_b", "f.*"))
+    live = is_live(rows, max_owners, max_repositories)
+    judged = join_unique(candidates.select("row", "start", "kind", "end", "hash"), cut_lineage(ownership(candidates)), "hash")
     span = F.struct("start", "kind", "end")
     per_row = judged.groupBy("row").agg(
         F.collect_list(F.when(live | (F.col("kind") < 3), span)).alias("kept"),
@@ -181,7 +199,7 @@ def masked(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def mask_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id",
-                 max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+                 max_owners: int | None = None, max_repositories: int | None = None) -> DataFrame:
     """The documents with all their secrets masked; ``n_chars`` follows the text.
 
     Base spans follow from the text alone. Values of key-like strings that are
@@ -189,12 +207,12 @@ def mask_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_
     """
     ship_package(docs.sparkSession)
     rows = scan(docs, owner, repository)
-    candidates = rows.select("doc_id", "owner", "repository", "text_a", "text_b", F.explode("found").alias("f")).select(
-        "doc_id", "owner", "repository", "text_a", "text_b", "f.*"
-    )
-    keys = candidates.filter("kind = 3").select("doc_id", "start", "end", "hash")
-    owned = ownership(candidates).filter((F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories))
-    live = keys.join(owned, "hash").select(F.col("doc_id").alias("l_id"), "hash").groupBy("l_id").agg(
+    candidates = cut_lineage(rows.select(
+        "doc_id", "owner", "repository", "text_a", "text_b", F.explode("found").alias("f")
+    ).select("doc_id", "owner", "repository", "text_a", "text_b", "f.*"))
+    owned = cut_lineage(ownership(candidates).filter(is_live(rows, max_owners, max_repositories)))
+    keys = candidates.filter("kind = 3").select("doc_id", "hash")
+    live = join_unique(keys, owned, "hash").select(F.col("doc_id").alias("l_id"), "hash").groupBy("l_id").agg(
         F.collect_set("hash").alias("live"))
     columns, own_name = docs.columns, "live"
     while own_name in columns:

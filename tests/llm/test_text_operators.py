@@ -240,6 +240,45 @@ def test_copies_of_a_text_share_its_key(spark):
     assert {r.n_live for r in secrets.find_secrets(df).filter("doc_id between 10 and 30").collect()} == {1}
 
 
+def test_key_in_a_few_owners_is_live_and_example_in_most_is_not(spark):
+    key, sample = "Zx9-QwErTy_1234567890-abcDEF", "Ab1_ExampleExample_998877665544"
+    rows = [(i, f"text {i}", f"s{i % 20}") for i in range(40)]
+    rows += [(100, f"one {key}", "s3"), (101, f"another {key}", "s7")]
+    rows += [(200 + i, f"doc {i}: {sample}", f"s{i}") for i in range(15)]
+    got = {r.doc_id: r for r in secrets.find_secrets(docs_of(spark, rows)).collect()}
+    assert got[100].spans == f"live:4:{4 + len(key)}" and got[101].n_live == 1
+    assert all(got[200 + i].n_copied == 1 and not got[200 + i].spans for i in range(15))
+    masked = {r.doc_id: r.text for r in secrets.mask_secrets(docs_of(spark, rows)).collect()}
+    assert masked[100] == "one [SECRET]" and masked[101] == "another [SECRET]" and masked[200] == rows[42][1]
+
+
+def test_ownership_against_plain_counts(spark):
+    rng = random.Random(12)
+    keys = [f"Kq{i}_Zx9QwErTy1234567890abc{i * 7919}" for i in range(12)]
+    rows = []
+    for i in range(300):
+        k = min(rng.randrange(12), rng.randrange(12))
+        rows.append((i, f"note {rng.randrange(40)} {keys[k]}", rng.choice([None, *(f"s{j}" for j in range(2 + k))])))
+    plain = defaultdict(lambda: defaultdict(set))
+    first = {}
+    for i, text, source in rows:
+        plain[text.split()[-1]][source].add(text)
+        first.setdefault(text, str(i))
+        first[text] = min(first[text], str(i))
+    owners_of_all = len({s for _, _, s in rows})
+    live = {}
+    for key, held in plain.items():
+        texts = set().union(*held.values())
+        owners = min(len(held), 1 + len(texts) - max(map(len, held.values())))
+        repositories = len({first[t] for t in texts})
+        live[key] = not (owners > max(1, owners_of_all / 4) or repositories > 1000)
+    assert len(set(live.values())) == 2
+    got = {r.doc_id: r for r in secrets.find_secrets(docs_of(spark, rows)).collect()}
+    for i, text, _ in rows:
+        at = text.rindex(" ") + 1
+        assert got[i].spans == (f"live:{at}:{len(text)}" if live[text.split()[-1]] else ""), (i, text)
+
+
 def test_quality(spark):
     rng = random.Random(4)
     words = "the dry stream bed holds water after rain and fish return to pools".split()
