@@ -1,14 +1,19 @@
 """Document quality by attention-based multiple-instance learning.
 
 A document is a bag of passages (``PASSAGE`` words each, the whole text). Every
-passage is encoded by a small network from counts of its characters and words;
-gated attention weighs the encodings, and the weighted sum is scored. Only
-documents have labels: encoder, attention and scorer are learnt together from
+passage is encoded by a small network from its content and its shape: hashed
+words, word pairs and byte trigrams, each with a learnt embedding and averaged
+over the passage, beside shares of character kinds and word shapes. Gated
+attention weighs the encodings, and the weighted sum is scored. Only documents
+have labels: embeddings, encoder, attention and scorer are learnt together from
 them, on a bounded sample of labelled documents.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,48 +23,91 @@ from corpusloom.session import ship_package
 
 PASSAGE = 100            # words
 MAX_TRAINING_DOCS = 4000  # labelled documents that the network is fitted on
+MAX_TRAINING_ROWS = 32    # rows of one of them; a longer one's passages are averaged in runs
 HIDDEN, GATE = 16, 8
-ROUNDS, RATE, DECAY, SEED = 400, 0.02, 1e-4, 5
+ROUNDS, BATCH, RATE, DECAY, SEED = 600, 256, 0.01, 1e-3, 5
 DOCS_AT_ONCE = 256
+PASSAGES_AT_ONCE = 256
+WORD_BUCKETS, TRIGRAM_BUCKETS = 512, 256
+WORDS_KEPT = 1 << 16      # hashes a worker remembers before it starts anew
 
 _CLASSES = (
     (b"abcdefghijklmnopqrstuvwxyz", 0), (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", 1), (b"0123456789", 2), (b" \t\r\n\x0b\x0c", 3),
-    (b"|", 4), (b"*#$%&@^~<>{}[]\\/=+_", 5), (b"!?", 6), (b",", 7), (b".", 8), (b"\"'()-:;`", 9), (bytes(range(128, 256)), 10),
+    (b"!?", 4), (b",", 5), (b".", 6), (b"\"'()-:;`", 7), (bytes(range(128, 256)), 8),
 )
-_KIND = np.full(256, 11, np.uint8)
+_KINDS = 10
+_KIND = np.full(256, _KINDS - 1, np.uint8)  # all other symbols
 for _bytes, _class in _CLASSES:
     _KIND[list(_bytes)] = _class
-FEATURES = 12 + 9
-
-
-def passage_features(text: str | None) -> list[list[float]]:
-    """One row per passage; a text without words is one empty passage."""
+SHAPE_FEATURES = _KINDS + 9
+FEATURES = SHAPE_FEATURES + WORD_BUCKETS + TRIGRAM_BUCKETS
+_HASHES: dict[str, int] = {}
+
+
+def _word_hash(word: str) -> int:
+    known = _HASHES.get(word)
+    if known is None:
+        if len(_HASHES) >= WORDS_KEPT:
+            _HASHES.clear()
+        known = _HASHES[word] = zlib.crc32(word.lower().encode("utf-8", "replace"))
+    return known
+
+
+def _shares(row: np.ndarray, bucket: np.ndarray, rows: int, buckets: int) -> np.ndarray:
+    """Share of each bucket among the items of each row."""
+    counts = np.bincount(row * buckets + bucket, minlength=rows * buckets).reshape(rows, buckets)
+    return counts / np.maximum(counts.sum(1, keepdims=True), 1)
+
+
+def _content(passages: list[list[str]], raw: list[np.ndarray]) -> np.ndarray:
+    """Hashed words, word pairs and byte trigrams of each passage."""
+    n = len(passages)
+    words = np.array([_word_hash(w) for own in passages for w in own], np.uint64)
+    of = np.repeat(np.arange(n), [len(own) for own in passages])
+    pairs = ((words[:-1] * np.uint64(0x9E3779B1) + words[1:]) >> np.uint64(7)) % np.uint64(WORD_BUCKETS)
+    same = of[1:] == of[:-1]
+    buckets = np.concatenate([words % np.uint64(WORD_BUCKETS), pairs[same]]).astype(np.int64)
+    content = _shares(np.concatenate([of, of[1:][same]]), buckets, n, WORD_BUCKETS)
+    text, of = np.concatenate(raw).astype(np.int64), np.repeat(np.arange(n), [len(r) for r in raw])
+    triple = ((text[:-2] * 65536 + text[1:-1] * 256 + text[2:]) * 0x9E3779B1 >> 16) % TRIGRAM_BUCKETS
+    same = of[2:] == of[:-2]
+    return np.hstack([content, _shares(of[2:][same], triple[same], n, TRIGRAM_BUCKETS)])
+
+
+def passage_blocks(text: str | None) -> Iterator[np.ndarray]:
+    """Features of a text's passages in order, a bounded number of rows at a
+    time; a text without words is one empty passage."""
     text = text or ""
     words = text.split()
     if not words:
-        return [[0.0] * FEATURES]
+        yield np.zeros((1, FEATURES), np.float32)
+        return
     breaks, total = text.count("\n") / len(words), np.log1p(len(words))
-    rows = []
-    for start in range(0, len(words), PASSAGE):
-        own = words[start:start + PASSAGE]
-        n = len(own)
-        raw = np.frombuffer(" ".join(own).encode("utf-8", "replace"), np.uint8)
-        share = (np.bincount(_KIND[raw], minlength=12) / len(raw)).tolist()
-        short = sum(len(w) <= 3 for w in own)
-        kinds = len(set(own))
-        again = sum(a == b for a, b in zip(own, own[1:], strict=False))
-        rows.append([
-            *share, np.log1p(n), len(raw) / n / 10, kinds / n, short / n, again / n,
-            np.log1p(max(map(len, own))), breaks, total / 5, kinds / np.sqrt(n) / 5,
-        ])
-    return rows
-
-
-def bags(texts) -> tuple[np.ndarray, np.ndarray]:
-    """Passage features of all texts, and each text's first row."""
-    parts = [passage_features(t) for t in texts]
-    starts = np.cumsum([0, *map(len, parts)])[:-1]
-    return np.array([r for p in parts for r in p], np.float64).reshape(-1, FEATURES), starts
+    step = PASSAGE * PASSAGES_AT_ONCE
+    for start in range(0, len(words), step):
+        end = min(start + step, len(words))
+        passages = [words[i:min(i + PASSAGE, end)] for i in range(start, end, PASSAGE)]
+        raw = [np.frombuffer(" ".join(own).encode("utf-8", "replace"), np.uint8) for own in passages]
+        shapes = []
+        for own, letters in zip(passages, raw, strict=True):
+            n, kinds = len(own), len(set(own))
+            short = sum(len(w) <= 3 for w in own)
+            again = sum(a == b for a, b in zip(own, own[1:], strict=False))
+            shapes.append([
+                *(np.bincount(_KIND[letters], minlength=_KINDS) / len(letters)).tolist(), np.log1p(n), len(letters) / n / 10,
+                kinds / n, short / n, again / n, np.log1p(max(map(len, own))), breaks, total / 5, kinds / np.sqrt(n) / 5,
+            ])
+        yield np.hstack([np.array(shapes), _content(passages, raw)]).astype(np.float32)
+
+
+def training_rows(text: str | None) -> np.ndarray:
+    """All passages of a text as at most MAX_TRAINING_ROWS rows: those of longer
+    texts are means over equal runs of passages, so no part is left out."""
+    x = np.concatenate(list(passage_blocks(text)))
+    if len(x) <= MAX_TRAINING_ROWS:
+        return x
+    run = np.arange(MAX_TRAINING_ROWS + 1) * len(x) // MAX_TRAINING_ROWS
+    return (np.add.reduceat(x, run[:-1]) / np.diff(run)[:, None]).astype(np.float32)
 
 
 class Network:
@@ -74,17 +122,29 @@ class Network:
         self.p = {k: rng.standard_normal(s) / np.sqrt(s[0] if s else 1) if len(s) == 2 or k in "ao"
                   else np.zeros(s) for k, s in self.SHAPES}
 
-    def forward(self, x: np.ndarray, starts: np.ndarray) -> tuple:
+    def standard(self, x: np.ndarray) -> np.ndarray:
+        x = x - self.mean
+        x /= self.scale
+        return np.clip(x, -6, 6, out=x)
+
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        return np.tanh(x @ self.p["W"] + self.p["b"])
+
+    def attend(self, h: np.ndarray, starts: np.ndarray) -> tuple:
         p = self.p
-        x = np.clip((x - self.mean) / self.scale, -6, 6)
-        h = np.tanh(x @ p["W"] + p["b"])
         t, g = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-(h @ p["U"])))
         e = (t * g) @ p["a"]
-        bag = np.repeat(np.arange(len(starts)), np.diff([*starts, len(x)]))
+        bag = np.repeat(np.arange(len(starts)), np.diff([*starts, len(h)]))
         w = np.exp(e - np.maximum.reduceat(e, starts)[bag])
         w /= np.add.reduceat(w, starts)[bag]
         z = np.add.reduceat(w[:, None] * h, starts)
-        return 1 / (1 + np.exp(-np.clip(z @ p["o"] + p["c"], -30, 30))), (x, h, t, g, w, z, bag)
+        return 1 / (1 + np.exp(-np.clip(z @ p["o"] + p["c"], -30, 30))), (t, g, w, z, bag)
+
+    def forward(self, x: np.ndarray, starts: np.ndarray) -> tuple:
+        """Scores of bags of standard rows, and what their gradient needs."""
+        h = self.encode(x)
+        score, kept = self.attend(h, starts)
+        return score, (x, h, *kept)
 
     def gradient(self, y: np.ndarray, score: np.ndarray, kept: tuple, starts: np.ndarray) -> dict:
         p, (x, h, t, g, w, z, bag) = self.p, kept
@@ -102,29 +162,47 @@ class Network:
     def score(self, texts) -> np.ndarray:
         if not len(texts):
             return np.zeros(0)
-        x, starts = bags(texts)
-        return self.forward(x, starts)[0]
+        bags = [np.concatenate([self.encode(self.standard(x)) for x in passage_blocks(t)]) for t in texts]
+        return self.attend(np.concatenate(bags), np.cumsum([0, *map(len, bags)])[:-1])[0]
 
 
-def fit(x: np.ndarray, starts: np.ndarray, y: np.ndarray, rounds: int = ROUNDS) -> Network:
-    """Adam on all bags. Without labelled bags every score is one half."""
+def fit(bags: list[np.ndarray], y: np.ndarray, rounds: int = ROUNDS) -> Network:
+    """Adam on batches of bags, the step falling to zero. Without labelled bags
+    every score is one half."""
     if not len(y):
         flat = Network(np.zeros(FEATURES), np.ones(FEATURES))
         flat.p["o"] = np.zeros(HIDDEN)
         return flat
-    net = Network(x.mean(0), np.maximum(x.std(0), 1e-3))
+    order = np.random.default_rng(SEED).permutation(len(y))
+    bags, y = [bags[i] for i in order], y[order].astype(np.float32)
+    x = np.concatenate(bags)
+    mean = x.mean(0, dtype=np.float64)
+    spread = sum(((x[i:i + 4096] - mean) ** 2).sum(0) for i in range(0, len(x), 4096))
+    scale = np.maximum(np.sqrt(spread / len(x)), 1e-3)
+    # shares of buckets keep their proportions: a rare bucket must not count as much as a frequent one
+    for part in (slice(SHAPE_FEATURES, SHAPE_FEATURES + WORD_BUCKETS), slice(SHAPE_FEATURES + WORD_BUCKETS, FEATURES)):
+        scale[part] = np.sqrt((scale[part] ** 2).mean())
+    net = Network(mean.astype(np.float32), scale.astype(np.float32))
+    for i in range(0, len(x), 4096):
+        x[i:i + 4096] = net.standard(x[i:i + 4096])
     share = np.clip(y.mean(), 0.01, 0.99)
     net.p["c"] = np.log(share / (1 - share))
+    net.p = {k: np.asarray(v, np.float32) for k, v in net.p.items()}
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
+    edges, batches = np.cumsum([0, *map(len, bags)]), -(-len(y) // BATCH)
     for i in range(1, rounds + 1):
-        score, kept = net.forward(x, starts)
-        for k, d in net.gradient(y, score, kept, starts).items():
+        a = (i - 1) % batches * BATCH
+        b = min(a + BATCH, len(y))
+        starts = edges[a:b] - edges[a]
+        score, kept = net.forward(x[edges[a]:edges[b]], starts)
+        for k, d in net.gradient(y[a:b], score, kept, starts).items():
             d = d + DECAY * net.p[k]
             first[k] = 0.9 * first[k] + 0.1 * d
             second[k] = 0.999 * second[k] + 0.001 * d**2
             step = (first[k] / (1 - 0.9**i)) / (np.sqrt(second[k] / (1 - 0.999**i)) + 1e-8)
-            net.p[k] = net.p[k] - RATE * step
+            net.p[k] = net.p[k] - RATE * (1 - (i - 1) / rounds) * step
+    net.p = {k: np.asarray(v, np.float64) for k, v in net.p.items()}
     return net
 
 
@@ -149,16 +227,15 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAINING_DOCS,
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["y"],
-                 pa.array([np.array(passage_features(t.as_py()), np.float32).tobytes() for t in batch["text"]], pa.binary())],
+                 pa.array([training_rows(t.as_py()).tobytes() for t in batch["text"]], pa.binary())],
                 ["doc_id", "y", "x"],
             )
 
-    got = chosen.select("doc_id", "y", "text").mapInArrow(encode, "doc_id long, y double, x binary").collect()
+    # equal rows of an id say nothing new: at most max_docs ids, each with its different texts
+    got = chosen.select("doc_id", "y", "text").distinct().mapInArrow(encode, "doc_id long, y double, x binary").collect()
     got.sort(key=lambda r: (r.doc_id, r.x))
-    parts = [np.frombuffer(r.x, np.float32).reshape(-1, FEATURES) for r in got]
-    starts = np.cumsum([0, *map(len, parts)])[:-1].astype(np.int64)
-    x = np.concatenate(parts).astype(np.float64) if parts else np.zeros((0, FEATURES))
-    return fit(x, starts, np.array([r.y for r in got]), rounds)
+    bags = [np.frombuffer(r.x, np.float32).reshape(-1, FEATURES) for r in got]
+    return fit(bags, np.array([r.y for r in got]), rounds)
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:

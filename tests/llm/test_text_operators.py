@@ -303,6 +303,37 @@ def test_quality(spark):
     assert quality.judge_quality(docs_of(spark, []), labels).count() == 0
 
 
+def test_quality_reads_words(spark):
+    """Both kinds have words of the same letters, so only their order tells."""
+    rng = random.Random(9)
+    good = "stream river water plant study basin flow season result model".split()
+    kinds = [["".join(sorted(w)) for w in good], good]
+    rows = [(i, " ".join(rng.choices(kinds[i % 2], k=rng.randint(20, 400))), None) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _, _ in rows], "doc_id long, quality int")
+    held = [r for r in quality.judge_quality(docs_of(spark, rows), labels).collect() if r.held_out]
+    assert len(held) > 90 and sum(r.predicted == r.doc_id % 2 for r in held) >= 0.97 * len(held)
+
+
+@pytest.mark.parametrize("n", [0, 1, 99, 100, 101, 5000, 60_000])
+def test_passages_cover_the_text(n):
+    words = [f"w{i % 37}" for i in range(n)]
+    rows = np.concatenate(list(quality.passage_blocks(" ".join(words))))
+    assert rows.shape == (max(-(-n // quality.PASSAGE), 1), quality.FEATURES)
+    for i in {0, len(rows) // 2, len(rows) - 1} if n else ():
+        own = words[i * quality.PASSAGE:(i + 1) * quality.PASSAGE]
+        hashes = [zlib.crc32(w.encode()) for w in own]
+        buckets = Counter(h % quality.WORD_BUCKETS for h in hashes)
+        buckets.update(((a * 0x9E3779B1 + b) % 2**64 >> 7) % quality.WORD_BUCKETS for a, b in zip(hashes, hashes[1:]))
+        expected = np.zeros(quality.WORD_BUCKETS)
+        for k, c in buckets.items():
+            expected[k] = c / (2 * len(own) - 1)
+        got = rows[i][quality.SHAPE_FEATURES:quality.SHAPE_FEATURES + quality.WORD_BUCKETS]
+        assert np.allclose(got, expected, atol=1e-6)
+    few = quality.training_rows(" ".join(words))
+    assert len(few) == min(len(rows), quality.MAX_TRAINING_ROWS)
+    assert np.allclose(few.mean(0), rows.mean(0), atol=0.02)
+
+
 def test_held_out_labels_are_never_learnt(spark):
     rows = [(i, f"text number {i} " * (i % 7 + 1), None) for i in range(60)]
     held = [i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 3 == 1]
