@@ -44,7 +44,7 @@ def test_query_equals_sql(spark, duck, name):
 def test_only_model_fits_lack_sql():
     lacking = {n for n in set(QUERIES) - set(SQL) if not n.startswith("op") and n != "pipeline"}
     assert lacking == {"lda_topics", "lda_topic_terms", "lda_doc_topics", "lda_topic_trend", "lda_research_gap",
-                       "topic_count_sweep"}
+                       "topic_count_sweep", "lda_online_topics", "lda_online_doc_topics"}
 
 
 def test_fitted_study(spark):
@@ -56,6 +56,21 @@ def test_fitted_study(spark):
     assert sorted(r["topic"] for r in trend) == list(range(1, 14))
 
 
+def test_online_fit(spark):
+    """A fit has no SQL: shares add up, rows are those of the matrix, reruns agree."""
+    runs = [{(r["doc_id"], r["topic"]): r["gamma"] for r in QUERIES["lda_online_doc_topics"](spark, SF).collect()}
+            for _ in range(2)]
+    assert runs[0].keys() == runs[1].keys() and all(abs(runs[0][k] - runs[1][k]) < 1e-9 for k in runs[0])
+    shares = {}
+    for (doc, _), gamma in runs[0].items():
+        shares.setdefault(doc, []).append(gamma)
+    assert all(len(v) == 13 and abs(sum(v) - 1) < 1e-6 and min(v) >= 0 for v in shares.values())
+    matrix = {r["doc_id"] for r in QUERIES["lda_doc_topics"](spark, SF).select("doc_id").distinct().collect()}
+    assert set(shares) == matrix
+    top = QUERIES["lda_online_topics"](spark, SF).collect()
+    assert {r["topic"] for r in top} == set(range(1, 14)) and all(0 < r["beta"] <= 1 for r in top)
+
+
 def test_import_needs_no_jars_and_no_session():
     code = (
         "import pyspark; pyspark.__file__ = '/nowhere/pyspark/__init__.py'\n"
