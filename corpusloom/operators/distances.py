@@ -45,19 +45,15 @@ def bray_curtis(nested: DataFrame) -> DataFrame:
     documents that hold them. All rows have equally many weights; rows without
     any take no part. Each task sends one row.
     """
-    def add(batches):
-        rows = [r for batch in batches for r in batch.to_pylist()]
-        if rows:
-            apart, total = (np.sum([r[c] for r in rows], 0) for c in ("apart", "total"))
-            k = int(round((1 + (1 + 8 * len(apart)) ** 0.5) / 2))
-            a, b = np.triu_indices(k, 1)
-            dist = [x / y if y else None for x, y in zip(apart.tolist(), total.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a + 1, pa.int32()), pa.array(b + 1, pa.int32()), pa.array(dist, pa.float64())],
-                ["topic_a", "topic_b", "dist"])
-
     sums = nested.select("weights").mapInArrow(_pair_sums, "apart array<double>, total array<double>")
-    return sums.repartition(1).mapInArrow(add, "topic_a int, topic_b int, dist double")
+    k = "cast(round((1 + sqrt(1 + 8 * size(apart))) / 2) as int)"
+    pair = "transform(sequence(a + 1, k), b -> named_struct('topic_a', a, 'topic_b', b))"
+    of_task = sums.filter("size(apart) > 0").repartition(1).withColumn("k", F.expr(k)).select(
+        F.expr(f"flatten(transform(sequence(1, k - 1), a -> {pair}))").alias("pair"), "apart", "total"
+    )
+    return of_task.select(F.inline(F.arrays_zip("pair", "apart", "total"))).groupBy("pair.topic_a", "pair.topic_b").agg(
+        F.try_divide(F.sum("apart"), F.sum("total")).alias("dist")
+    )
 
 
 topic_dissimilarity = bray_curtis
