@@ -41,6 +41,20 @@ def test_near_titles(spark, least):
     assert len(rows) == len(got) and got == plain_near(titles, least) and got
 
 
+def test_near_titles_of_long_titles_join_a_few_numbers(spark):
+    """A title of 400 words has 81 rare ones and partners of 320 words or more: the join
+    holds no words and no row per size."""
+    sets = spark.createDataFrame([(1, list(range(400)), 400)], "id long, tokens array<long>, size int")
+    small, large = near_titles.prefix_rows(sets, 0.8)
+    assert {t for _, t in small.dtypes + large.dtypes} <= {"bigint", "int"}
+    assert small.count() == 81 and large.count() <= 3 * 81
+    words = [f"w{i}" for i in range(1500)]
+    titles = [" ".join(words), " ".join([*words[:-150], "x"]), " ".join(words[::2])]
+    papers = spark.createDataFrame([(t,) for t in titles], "title string")
+    rows = near_titles.near_titles(papers).collect()
+    assert {(r.title_a, r.title_b, round(r.similarity, 9)) for r in rows} == plain_near(titles, 0.8) and len(rows) == 1
+
+
 def test_near_titles_join_by_key(spark):
     papers = spark.createDataFrame([("a b", 1)], "title string, n int")
     out = io.StringIO()
