@@ -1,28 +1,5 @@
-"""Memory of Python workers, which are used again by later tasks."""
+"""Memory of Python workers (``corpusloom.memory``)."""
 
-from __future__ import annotations
+from corpusloom.memory import release, released, sliced
 
-import ctypes
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
-
-
-def release() -> None:
-    """Hand freed memory back to the system: idle workers should hold little."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-    if trim:
-        trim(0)
-
-
-def released(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """``work`` of a task, with a ``release`` at its end."""
-
-    def run(batches: Iterator) -> Iterator:
-        try:
-            yield from work(batches)
-        finally:
-            release()
-
-    return run
+__all__ = ["release", "released", "sliced"]

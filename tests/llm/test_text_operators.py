@@ -7,11 +7,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from corpusloom.llm import mixing, packing, quality, secrets, token_counts
+from corpusloom.llm import memory, mixing, packing, quality, secrets, token_counts
 from corpusloom.llm.tokens import Encoder, default_vocabulary
 
 DOCS = T.StructType([
@@ -366,3 +367,11 @@ def test_gradient():
         down = loss()[0]
         net.p[name][at] += 1e-6
         assert abs((up - down) / 2e-6 - slopes[name][at]) < 1e-6
+
+
+def test_batches_are_handled_in_slices():
+    """Also an empty batch comes through, for its schema."""
+    batch = pa.RecordBatch.from_pydict({"x": list(range(1100))})
+    parts = list(memory.sliced([batch, batch.slice(0, 0)]))
+    assert [p.num_rows for p in parts] == [512, 512, 76, 0]
+    assert [x for p in parts for x in p["x"].to_pylist()] == list(range(1100))

@@ -1,5 +1,6 @@
 import math
 
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -9,6 +10,7 @@ from corpusloom.functions.arrays import count_items, let, sum_of
 from corpusloom.functions.labels import has_label, mentions_label
 from corpusloom.functions.mixtures import dominant, dominant_wide, posterior, topic_short_name
 from corpusloom.functions.periods import period, period_ord
+from corpusloom.functions import stemming
 from corpusloom.functions.stemming import porter, stem_array, stem_word
 from corpusloom.functions.text import mask_words, min_len, ngrams, no_digit, not_numeric, tokenize
 
@@ -150,3 +152,14 @@ def test_topic_short_name(spark):
     df = spark.createDataFrame([("7. Sediment load",), ("Plain",)], "n string")
     assert [r["r"] for r in df.select(topic_short_name(F.col("n")).alias("r")).collect()] == \
         ["Sediment load", None]
+
+
+def test_stems_are_made_part_by_part(monkeypatch):
+    seen = []
+    real = stemming._stem_part
+    monkeypatch.setattr(stemming, "PART", 3)
+    monkeypatch.setattr(stemming, "_stem_part", lambda words: seen.append(len(words)) or real(words))
+    words = ["fishing", None, "fished", "rivers", "fishing", "waters", None]
+    got = stemming._stem_strings(pa.array(words, pa.string())).to_pylist()
+    assert got == [w and porter(w) for w in words] and seen == [3, 3, 1]
+    assert stemming._stem_strings(pa.array([], pa.string())).to_pylist() == []
