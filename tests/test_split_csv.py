@@ -105,3 +105,18 @@ def test_quotes_inside_unquoted_fields_stop_the_query(spark, tmp_path):
     (tmp_path / "q.csv").write_text('a,5" pipe,b\nc,d,e\n')
     with pytest.raises(Exception, match="unquoted field"):
         split_csv.records(spark, str(tmp_path)).collect()
+
+
+def test_workers_hold_a_slice_of_a_batch(monkeypatch):
+    """Python objects of LINES lines live at a time; state goes on from slice to slice."""
+    monkeypatch.setattr(split_csv, "LINES", 2)
+    lines = ['"a","1"', '"b', 'c","2"', '"d","3"', '"e","4"']
+    counted = pa.RecordBatch.from_pydict({"file": ["f"] * 5, "split": [0] * 5, "value": lines})
+    assert [b.to_pylist() for b in split_csv._counted([counted])] == [
+        [{"file": "f", "split": 0, "quotes": 16, "even": 4, "odd": 1}]]
+    begins = pa.array([False] * 5)
+    given = pa.RecordBatch.from_arrays([*counted.columns, begins, pa.array([7] * 5)], ["file", "split", "value", "inside", "before"])
+    cut = list(split_csv._cut([given]))
+    assert max(b.num_rows for b in cut) <= 2
+    assert [(r["place"], r["text"]) for b in cut for r in b.to_pylist()] == [
+        (7, lines[0]), (8, '"b\nc","2"'), (9, lines[3]), (10, lines[4])]
