@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.llm.memory import released, sliced
 from corpusloom.llm.tokens import encoder
 from corpusloom.session import cut_lineage, ship_package
 
@@ -111,7 +112,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
         encode = encoder(vocabulary).ids
         part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         end = END_ID.to_bytes(4, "little")
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
                 ids = encode(text.as_py()) + end
@@ -128,7 +129,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
             )
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(cut, PIECES)
+    return narrow.mapInArrow(released(cut), PIECES)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.memory import released, sliced
 from corpusloom.session import ship_package
 
 PASSAGE = 100            # words
@@ -224,7 +225,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAINING_DOCS,
     )
 
     def encode(batches):
-        for batch in batches:
+        for batch in sliced(batches, DOCS_AT_ONCE):
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["y"],
                  pa.array([training_rows(t.as_py()).tobytes() for t in batch["text"]], pa.binary())],
@@ -232,7 +233,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAINING_DOCS,
             )
 
     # equal rows of an id say nothing new: at most max_docs ids, each with its different texts
-    got = chosen.select("doc_id", "y", "text").distinct().mapInArrow(encode, "doc_id long, y double, x binary").collect()
+    got = chosen.select("doc_id", "y", "text").distinct().mapInArrow(released(encode), "doc_id long, y double, x binary").collect()
     got.sort(key=lambda r: (r.doc_id, r.x))
     bags = [np.frombuffer(r.x, np.float32).reshape(-1, FEATURES) for r in got]
     return fit(bags, np.array([r.y for r in got]), rounds)
@@ -250,7 +251,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(values, pa.float64())], ["doc_id", "score"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, score double").select(
+    return narrow.mapInArrow(released(run), "doc_id long, score double").select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
@@ -278,4 +279,4 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 values = net.score([t.as_py() for t in part["text"]])
                 yield part.filter(pa.array(values >= 0.5))
 
-    return docs.select(*columns).mapInArrow(run, docs.schema)
+    return docs.select(*columns).mapInArrow(released(run), docs.schema)

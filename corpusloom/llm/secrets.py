@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.graph import join_unique
+from corpusloom.llm.memory import released, sliced
 from corpusloom.session import cut_lineage, ship_package
 
 KINDS = ("assign", "access", "hex", "live")
@@ -87,7 +88,7 @@ def scan(docs: DataFrame, owner: str, repository: str) -> DataFrame:
     """Stored: one row per document with all candidates of its whole text."""
 
     def find(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             columns: list[list] = [[], [], [], [], []]
             for text in batch["text"]:
                 text = text.as_py() or ""
@@ -114,7 +115,7 @@ def scan(docs: DataFrame, owner: str, repository: str) -> DataFrame:
         F.col(repository).cast("string").alias("repository"), text.alias("text"),
         F.xxhash64(text).alias("text_a"), F.xxhash64(F.lit(1), text).alias("text_b"),
     )
-    return cut_lineage(narrow.mapInArrow(find, _SCANNED).withColumn("row", F.monotonically_increasing_id()))
+    return cut_lineage(narrow.mapInArrow(released(find), _SCANNED).withColumn("row", F.monotonically_increasing_id()))
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
@@ -221,7 +222,7 @@ def mask_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_
     wide = given.join(live, F.col("id").eqNullSafe(F.col("l_id")), "left").select("given.*", F.col("live").alias(own_name))
 
     def mask(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts = []
             for text, own in zip(batch["text"], batch[own_name], strict=True):
                 text, own = text.as_py(), set(own.as_py() or ())
@@ -237,7 +238,7 @@ def mask_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_
             arrays[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(arrays[:-1], batch.schema.names[:-1])
 
-    out = wide.mapInArrow(mask, docs.schema)
+    out = wide.mapInArrow(released(mask), docs.schema)
     if "n_chars" in columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(
