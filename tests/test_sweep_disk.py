@@ -44,3 +44,34 @@ def test_sweep_keeps_one_group_on_disk(spark, matrix, monkeypatch):
     assert found == [[2, 3], [4], [5]] and kept == [2, 2, 2]  # the documents and one group's counts
     assert parted == pytest.approx(whole) and sorted(parted) == KS
     assert set(session._WRITTEN) == before
+
+
+@pytest.mark.parametrize("batches", [1, 3])
+def test_counts_are_alike_in_short_and_long_rows(matrix, monkeypatch, batches):
+    from corpusloom.operators import bundles
+
+    whole = streamed_fits.fit(matrix, SIZE, [3, 4], seed=6, max_iter=2, batches=batches)
+    monkeypatch.setattr(bundles, "NUMBERS", 30)  # four terms a row, the last row is shorter
+    parted = streamed_fits.fit(matrix, SIZE, [3, 4], seed=6, max_iter=2, batches=batches)
+    assert all(np.allclose(whole[k], parted[k], atol=1e-9) for k in (3, 4))
+    assert (parted[3].shape, parted[4].shape) == ((SIZE, 3), (SIZE, 4))
+
+
+def test_rows_for_python_hold_no_nulls(spark):
+    from corpusloom.operators import topic_state
+
+    rows = spark.createDataFrame([(1, None, None), (None, b"abcdefgh", [2])], "id long, counts binary, terms array<int>")
+    found = topic_state.filled(rows).collect()
+    assert [tuple(r) for r in found] == [(1, bytearray(), []), (None, bytearray(b"abcdefgh"), [2])]
+
+
+def test_many_rows_of_a_place_are_added_up():
+    from corpusloom.operators import topic_state
+
+    at, rows, found = np.array([4] * 90 + [1] * 3 + [0]), np.random.default_rng(0).random((94, 3)), np.ones((5, 3))
+    wanted = found.copy()
+    np.add.at(wanted, at, rows)
+    topic_state.add_up(found, at, rows)
+    assert np.allclose(found, wanted, rtol=1e-13)
+    topic_state.add_up(found, at[:0], rows[:0])  # nothing to add
+    assert np.allclose(found, wanted, rtol=1e-13)
